@@ -1,0 +1,58 @@
+"""Duplicates hidden by formatting: one record of each, with the number of its copies.
+
+Method: exact partial counts show the hot canonical keys (never more than 1024 of them); hot rows go through a salted two-level
+aggregation, all others through one shuffle; the smallest identifier represents its set.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from korpusverk.functions.keys import letters_and_digits
+from korpusverk.operators.skew import HOT_LEAST, HOT_SHARE
+from korpusverk.plans.runtime import clash_free
+
+SALTS = 64
+
+
+def record_key(fields: Sequence[Column]) -> Column:
+    """128 bits of the fields' canonical forms in sorted order; null where a field has no letter or digit."""
+    forms = [letters_and_digits(f) for f in fields]
+    whole = F.array_join(F.array_sort(F.array(*forms)), "\u001f")
+    some = forms[0] != ""
+    for f in forms[1:]:
+        some = some & (f != "")
+    return F.when(some, F.unhex(F.md5(whole)))
+
+
+def duplicate_members(df: DataFrame, id_col: str, fields: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """(id, _first, _copies) of every record that has a key.
+
+    Records whose fields are null, blank or without any letter or digit have no key and are not returned. Repeated identifiers count as
+    records of their own. An empty table gives an empty result. Other columns, whatever their names, are ignored.
+    """
+    src = clash_free(df, id_col, *fields)
+    keyed = src.select(F.col(id_col).alias("_id"), record_key([F.col(f) for f in fields]).alias("_key")).filter("_key IS NOT NULL")
+    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    least = max(HOT_LEAST, src.count() // HOT_SHARE + 1)
+    hot = F.broadcast(counts.filter(F.col("_n") >= least).select("_key"))  # at most HOT_SHARE rows
+    rest = keyed.join(hot, "_key", "left_anti")
+    same = Window.partitionBy("_key")
+    cool = rest.select("_id", F.min("_id").over(same).alias("_first"), F.count(F.lit(1)).over(same).alias("_copies"))
+    many = keyed.join(hot, "_key", "left_semi")
+    one = many.groupBy("_key", F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("_salt")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    two = one.groupBy("_key").agg(F.min("_first").alias("_first"), F.sum("_copies").alias("_copies"))
+    warm = many.join(F.broadcast(two), "_key").select("_id", "_first", "_copies")
+    return cool.unionByName(warm).withColumnRenamed("_id", id_col)
+
+
+def collapse_duplicates(df: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
+    """One row per set of same records: the smallest identifier and the number of its copies; records without a key stand for themselves."""
+    members = duplicate_members(df, id_col, fields)
+    kept = members.filter(F.col(id_col) == F.col("_first")).select(id_col, F.col("_copies").alias("copies")).distinct()
+    src = clash_free(df, id_col, *fields)
+    alone = src.filter(record_key([F.col(f) for f in fields]).isNull()).select(id_col, F.lit(1).cast("bigint").alias("copies"))
+    return kept.unionByName(alone)

@@ -1,0 +1,126 @@
+"""Splits that keep related records together.
+
+Records are linked by group id and by title; components come from hooking and shortcutting, and a subset-sum over the multiplicities of
+component sizes picks the split totals closest to the asked proportions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from korpusverk.functions.keys import letters_and_digits
+from korpusverk.operators.components import components
+from korpusverk.operators.skew import hash62, hot_keys, prefix_rank
+from korpusverk.plans.runtime import cut
+
+#: Canonical forms of stand-ins for a missing title.
+STAND_INS = ("", "nan", "null", "none", "na", "titelsaknas", "utantitel", "ingentitel", "okändtitel", "saknas", "saknartitel", "untitled", "notitle", "titel", "title", "xxx", "tbd")
+
+BITS = 1 << 22
+
+
+def title_key(title: Column) -> Column:
+    """The canonical title; null where the title is null, blank or a stand-in."""
+    key = letters_and_digits(title)
+    return F.when(~key.isin(*STAND_INS), key)
+
+
+def link_groups(records: DataFrame, group: str = "group_id", key: str = "link_key") -> DataFrame:
+    """(node, root): components of groups that share a key. Records without a group link nothing, nor do those without a key.
+
+    Each key is tied to its smallest group, so a key of a third of all rows costs one partial aggregate; the join back to
+    a hot key is by broadcast of at most 1024 keys.
+    """
+    pairs = cut(records.select(F.col(group).alias("g"), F.col(key).alias("k")).filter("g IS NOT NULL").distinct())
+    keyed = pairs.filter("k IS NOT NULL")
+    low = keyed.groupBy("k").agg(F.min("g").alias("low"))
+    hot = F.broadcast(hot_keys(keyed, "k"))
+    warm = keyed.join(hot, "k", "left_semi").join(F.broadcast(low.join(hot, "k", "left_semi")), "k")
+    cool = keyed.join(hot, "k", "left_anti").join(low, "k")
+    edges = warm.select("low", "g").unionByName(cool.select("low", "g"))
+    return components(edges, pairs, "low", "g", "g")
+
+
+def subset(sizes: dict[int, int], target: int) -> dict[int, int]:
+    """How many components of each size to take so that their total is closest to target, by bitsets over size multiplicities.
+
+    A share of each size is taken outright; the bitset decides over at most a few components of each size. Beyond BITS units the
+    sizes are measured in coarser units, which are rounded up.
+    """
+    total = sum(s * n for s, n in sizes.items())
+    target = max(0, min(target, total))
+    taken = {s: int(n * target // total) if total else 0 for s, n in sizes.items()}
+    taken = {s: max(0, t - 2) for s, t in taken.items()}
+    need = target - sum(s * t for s, t in taken.items())
+    items = [(s, min(n - taken[s], 6)) for s, n in sorted(sizes.items(), reverse=True) if n > taken[s]]
+    items = [(s, n) for s, n in items if s <= 2 * need] or items[-1:]
+    if not items:
+        return taken
+    unit = max(1, -(-2 * need // BITS))
+    ones = [(s, c) for s, n in items for c in powers(n)]
+    reach, at = [1], 1
+    limit = (1 << (2 * need // unit + 2)) - 1
+    for s, c in ones:
+        at = (at | (at << (-(-s * c // unit)))) & limit
+        reach.append(at)
+    goal = need // unit
+    best = min((v for v in (below(at, goal), above(at, goal)) if v is not None), key=lambda v: abs(v - goal))
+    for i in range(len(ones) - 1, -1, -1):
+        s, c = ones[i]
+        if not reach[i] >> best & 1:
+            best -= -(-s * c // unit)
+            taken[s] += c
+    return taken
+
+
+def powers(n: int) -> list[int]:
+    out, p = [], 1
+    while n > 0:
+        out.append(min(p, n))
+        n -= out[-1]
+        p *= 2
+    return out
+
+
+def below(bits: int, goal: int) -> int | None:
+    part = bits & ((1 << (goal + 1)) - 1)
+    return part.bit_length() - 1 if part else None
+
+
+def above(bits: int, goal: int) -> int | None:
+    rest = bits >> goal
+    return goal + (rest & -rest).bit_length() - 1 if rest else None
+
+
+def quotas(sizes: dict[int, int], shares: Sequence[float]) -> list[dict[int, int]]:
+    """Per split the number of components of each size; the first split takes what the others leave."""
+    total, left, out = sum(s * n for s, n in sizes.items()), dict(sizes), []
+    for share in list(shares)[:0:-1]:
+        took = subset(left, round(total * share))
+        left = {s: n - took.get(s, 0) for s, n in left.items()}
+        out.insert(0, took)
+    return [left, *out]
+
+
+def assign_splits(members: DataFrame, names: Sequence[str] = ("train", "validation", "test"), shares: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 7) -> DataFrame:
+    """(root, split) from members(root, weight): all of a root in one split.
+
+    weight is the number of records; the histogram of sizes that goes to the driver has at most sqrt(2 x records) rows.
+    """
+    sized = cut(members.groupBy("root").agg(F.sum("weight").alias("size")))
+    spark = members.sparkSession
+    histogram = {r["size"]: r["n"] for r in sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    takes, rows = quotas(histogram, shares), []
+    for size in histogram:
+        at = 0
+        for name, take in zip(names, takes):
+            rows.append((size, name, at, at + take.get(size, 0)))
+            at += take.get(size, 0)
+    if not rows:
+        return sized.select("root", F.lit(names[0]).alias("split"))
+    plan = spark.createDataFrame(rows, "size bigint, split string, low bigint, high bigint").filter("high > low")
+    ranked = prefix_rank(sized, ["size"], hash62(F.lit(seed), "root"), "root")
+    return ranked.join(F.broadcast(plan), (ranked["size"] == plan["size"]) & (F.col("_before") >= F.col("low")) & (F.col("_before") < F.col("high"))).select("root", "split")
