@@ -3,11 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from korpusverk.llm import mixing, tokens
+from korpusverk.llm import mixing, quality, tokens
 from korpusverk.plans.runtime import table
 
 
+INFORMAL, FORMAL = "consolidated_informal_comments_adversarial", "sv_abstracts_adversarial"
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(table(spark, sf_dir, INFORMAL), "row_id", "human_comment")
+
+
+def p4_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_statistics(table(spark, sf_dir, INFORMAL), "row_id", "human_comment")
+
+
+def p4_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every abstract, beside the stored character and word counts where there are any."""
+    stored = table(spark, sf_dir, "textstat_formal").groupBy(F.col("doc_index").alias("row_id")).agg(F.max("char_count").alias("stored_chars"), F.max("word_count").alias("stored_words"))
+    return quality.text_statistics(table(spark, sf_dir, FORMAL), "row_id", "Abstract").join(stored, "row_id", "left")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -21,7 +39,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+    return {"p4_found": p4_found, "p4_comments": p4_comments, "p4_abstracts": p4_abstracts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
