@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusverk.llm import mixing, quality, tokens
+from korpusverk.llm import mixing, quality, stuffing, tokens
 from korpusverk.plans.runtime import table
 
 
@@ -38,8 +38,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.spam_pages(table(spark, sf_dir, "documents"))
+
+
+def p9_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.page_features(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_comments": p4_comments, "p4_abstracts": p4_abstracts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+    return {"p4_found": p4_found, "p4_comments": p4_comments, "p4_abstracts": p4_abstracts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_features": p9_features}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -53,9 +53,9 @@ def count_table(df: DataFrame, columns: list[str], size: int, of: Callable[[list
             part = some[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["bin", "n"])
 
-    rows = df.select(*columns).mapInArrow(run, "bin bigint, n double").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    rows = df.select(*columns).mapInArrow(run, "bin bigint, n double").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.float64)
-    out[rows["bin"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    out[rows["bin"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
