@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusverk.llm import mixing, quality, stuffing, tokens
+from korpusverk.llm import languages, mixing, pairs, quality, stuffing, tokens
 from korpusverk.plans.runtime import table
 
 
 INFORMAL, FORMAL = "consolidated_informal_comments_adversarial", "sv_abstracts_adversarial"
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = languages.fit(table(spark, sf_dir, "documents"), "text", "lang")
+    informal = pairs.find_defects(table(spark, sf_dir, INFORMAL), "row_id", "question", "comment_detector_evasive", "informal", known)
+    formal = pairs.find_defects(table(spark, sf_dir, FORMAL), "row_id", "Title", "Abstract_detector_evasive", "formal", known, "Keywords")
+    return informal.unionByName(formal)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.not_prose(table(spark, sf_dir, INFORMAL), "row_id", "human_comment")
 
@@ -47,7 +54,7 @@ def p9_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_comments": p4_comments, "p4_abstracts": p4_abstracts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_features": p9_features}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p4_comments": p4_comments, "p4_abstracts": p4_abstracts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_features": p9_features}
 
 
 def oracle_sql() -> dict[str, str]:
