@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusverk.llm import languages, mixing, pairs, quality, stuffing, tokens
+from korpusverk.llm import languages, mixing, pairs, quality, reading, stuffing, tokens
 from korpusverk.plans.runtime import table
 
 
 INFORMAL, FORMAL = "consolidated_informal_comments_adversarial", "sv_abstracts_adversarial"
 
 
+def p2_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = languages.fit(table(spark, sf_dir, "documents"), "text", "lang")
+    return reading.reading_levels(table(spark, sf_dir, FORMAL), "row_id", "Abstract", known)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_levels(spark, sf_dir).filter(F.col("level").isin("easy", "hard")).select("row_id", "level")
+
+
+def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels beside the stored readability numbers: per level the texts, mean level and the median stored number that is in a sane range."""
+    stored = table(spark, sf_dir, "textstat_formal").groupBy(F.col("doc_index").alias("row_id")).agg(F.max("textstat_flesch_reading_ease").alias("stored_ease"), F.max("rough_syllable_count_sv").alias("stored_syllables"))
+    joined = p2_levels(spark, sf_dir).join(stored, "row_id", "left")
+    sane = F.when(F.col("stored_ease").between(-200, 130), F.col("stored_ease"))
+    return joined.groupBy("level").agg(F.count(F.lit(1)).alias("texts"), F.avg("level_score").alias("mean_level"), F.avg("sentence_length").alias("mean_sentence_length"), F.percentile_approx(sane, 0.5).alias("median_stored_ease"), F.count("stored_syllables").alias("with_stored_numbers"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = languages.fit(table(spark, sf_dir, "documents"), "text", "lang")
     informal = pairs.find_defects(table(spark, sf_dir, INFORMAL), "row_id", "question", "comment_detector_evasive", "informal", known)
@@ -54,7 +71,7 @@ def p9_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p4_comments": p4_comments, "p4_abstracts": p4_abstracts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_features": p9_features}
+    return {"p2_found": p2_found, "p2_levels": p2_levels, "p2_profile": p2_profile, "p3_found": p3_found, "p4_found": p4_found, "p4_comments": p4_comments, "p4_abstracts": p4_abstracts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_features": p9_features}
 
 
 def oracle_sql() -> dict[str, str]:
