@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusverk.llm import languages, mixing, pairs, quality, reading, stuffing, tokens
+from korpusverk.llm import languages, mixing, pairs, personal, quality, reading, stuffing, tokens
 from korpusverk.plans.runtime import table
 
 
 INFORMAL, FORMAL = "consolidated_informal_comments_adversarial", "sv_abstracts_adversarial"
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_kinds(table(spark, sf_dir, INFORMAL), "row_id", "human_comment")
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redact_texts(table(spark, sf_dir, INFORMAL), "row_id", "human_comment")
+
+
 def p2_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = languages.fit(table(spark, sf_dir, "documents"), "text", "lang")
     return reading.reading_levels(table(spark, sf_dir, FORMAL), "row_id", "Abstract", known)
@@ -71,7 +79,7 @@ def p9_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_levels": p2_levels, "p2_profile": p2_profile, "p3_found": p3_found, "p4_found": p4_found, "p4_comments": p4_comments, "p4_abstracts": p4_abstracts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_features": p9_features}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_levels": p2_levels, "p2_profile": p2_profile, "p3_found": p3_found, "p4_found": p4_found, "p4_comments": p4_comments, "p4_abstracts": p4_abstracts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_features": p9_features}
 
 
 def oracle_sql() -> dict[str, str]:
