@@ -295,11 +295,13 @@ def find(texts: list[str], model: Crf) -> list[list[tuple[int, int, str]]]:
     if found:
         for s, k in zip(found, model.decode(found)):
             if k and confirmed(s, LABELS[k]):
-                end = s.end
+                start, end = s.start, s.end
                 if LABELS[k] == "name":  # the surname goes with it
                     m = re.match(r",?\s+(?:[^\W\d_]\.\s+)?([^\W\d_]+)", texts[s.doc][s.end :])
                     end += m.end() if m and SURNAME.match(m[1]) else 0
-                out[s.doc].append((s.start, end, LABELS[k]))
+                    m = re.search(r"([^\W\d_]+),?\s+\Z", texts[s.doc][max(0, s.start - 30) : s.start])
+                    start -= len(m.group()) if end == s.end and m and SURNAME.match(m[1]) and m[1].lower() not in BEFORE else 0
+                out[s.doc].append((start, end, LABELS[k]))
     return out
 
 
