@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from korpusverk.llm import languages
 from korpusverk.llm.letters import count_table, segment_sums
-from korpusverk.plans.runtime import clash_free
+from korpusverk.plans.runtime import clash_free, cut
 
 BITS = 18
 ROUNDS = 3
@@ -43,9 +43,9 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(body(text).lower())
 
 
-def sentence_count(text: str | None) -> int:
-    t = SHORT_FORM.sub("x", body(text))
-    return sum(1 for s in STOP.split(t) if WORD.search(s))
+def sentence_count(bare: str) -> int:
+    """Sentences of a text that body() has cleaned."""
+    return sum(1 for s in STOP.split(SHORT_FORM.sub("x", bare)) if WORD.search(s))
 
 
 def buckets(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,10 +107,10 @@ def reading_levels(df: DataFrame, id_col: str, text_col: str, language_table: np
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hard, table = shared.value
         for f in frames:
-            texts = [t if isinstance(t, str) else "" for t in f[text_col]]
-            b, letters, offsets = buckets([words_of(t) for t in texts])
+            texts = [body(t) if isinstance(t, str) else "" for t in f[text_col]]
+            b, letters, offsets = buckets([WORD.findall(t.lower()) for t in texts])
             n = np.diff(offsets)
-            post = languages.posteriors([body(t) for t in texts], table)
+            post = languages.posteriors(texts, table)
             tongue = np.array(languages.LANGUAGES, dtype=object)[post.argmax(1)]
             tongue[n == 0] = None
             yield pd.DataFrame({
@@ -121,7 +121,7 @@ def reading_levels(df: DataFrame, id_col: str, text_col: str, language_table: np
 
     kind = src.schema[0].dataType.simpleString()
     scored = src.mapInPandas(run, f"`{id_col}` {kind}, level_score double, word_length double, sentence_length double, language string")
-    scored = scored.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("level_score", "word_length", "sentence_length")})
+    scored = cut(scored.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("level_score", "word_length", "sentence_length")}))
     own = scored.filter("language = 'sv'")
     mid = own.agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in ("level_score", "word_length", "sentence_length")]).first()
     if mid["level_score"] is None:
