@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from korpusverk.functions.lexicons import SUBORDINATE
 
@@ -12,7 +13,7 @@ ENTITIES = ("LOC", "PRS", "ORG", "TME", "WRK", "MSR", "OBJ", "EVN")
 UPOS = ("ADJ", "ADP", "ADV", "AUX", "CCONJ", "DET", "INTJ", "NOUN", "NUM", "PART", "PRON", "PROPN", "PUNCT", "SCONJ", "SYM", "VERB", "X")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def tree_depth(i: pd.Series, head: pd.Series, dep: pd.Series) -> pd.Series:
     """Edges on the longest path from the first root of a sentence, by walking parents upwards."""
 

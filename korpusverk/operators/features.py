@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from korpusverk.functions import texts as T
 from korpusverk.functions.lexicons import CATEGORIES, FORMAL_CATEGORIES, FUNCTION_WORDS, HEDGE_POS, NEGATIONS
@@ -42,7 +43,7 @@ def _mtld_one_way(words: list[str]) -> float:
     return len(words) / factors if factors else float(len(words))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mtld(words: pd.Series) -> pd.Series:
     """Mean of the forward and backward measure of textual lexical diversity; null under ten words."""
     return words.map(lambda w: None if w is None or len(w) < 10 else (_mtld_one_way(list(w)) + _mtld_one_way(list(w)[::-1])) / 2)
@@ -92,7 +93,7 @@ def negation_sentence_rate(text: Column) -> Column:
     return T.ratio(F.size(F.filter(s, lambda x: x.rlike(pattern))).cast("double"), F.size(s))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def gated_hedges(words: pd.Series, tags: pd.Series) -> pd.Series:
     """Hedges of a tagged text: longest phrases first, ambiguous single words only in their hedging part of speech."""
     by_length: dict[int, set] = {}

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z95 = 1.959963984540054
 
@@ -19,7 +20,7 @@ def erfc_approx(x: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal value."""
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))
