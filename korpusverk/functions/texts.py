@@ -40,8 +40,8 @@ def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
 
 
 def non_empty(text: Column) -> Column:
-    """Not null, blank or the text nan."""
-    return text.isNotNull() & (F.trim(text) != "") & (F.lower(F.trim(text)) != "nan")
+    """Not null, blank (of any white space) or the text nan."""
+    return text.isNotNull() & text.rlike(r"[^\s\p{Z}]") & ~text.rlike(r"^[\s\p{Z}]*[nN][aA][nN][\s\p{Z}]*$")
 
 
 def word_count(text: Column) -> Column:

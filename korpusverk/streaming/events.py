@@ -13,8 +13,9 @@ from korpusverk.plans.runtime import ensure_checkpoint_dir
 
 
 def read_folder(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """The table's files in the folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """The table's files in the folder as a stream; times without zone are taken in the session's zone."""
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return stream.withColumn("ts", stream["ts"].cast("timestamp"))
 
 
 def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -22,8 +23,9 @@ def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour",
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), "user_id", "n")
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:
+    """late: None where the stream has its watermark already, as after once()."""
+    return (events.withWatermark("ts", late) if late else events).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), "user_id", "n")
 
 
 def once(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
@@ -38,7 +40,7 @@ def running_totals(events: DataFrame) -> DataFrame:
         for f in frames:
             n, total = n + len(f), total + float(f["value"].fillna(0).sum())
         state.update((n, total))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+        yield pd.DataFrame({"user_id": [int(key[0])], "n": [n], "total": [total]})
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, total double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
 
