@@ -47,8 +47,9 @@ def table_rows(lines: list[str]) -> int:
             continue
         values = sum(1 for r in rows for c in r[1:] if CELL.match(c.strip()))
         cells = sum(len(r) - 1 for r in rows)
-        widths = Counter(len(r) for r in rows).most_common(1)[0][1]
-        if values >= 0.6 * cells and widths >= 0.7 * len(rows):
+        usual = Counter(len(r) for r in rows).most_common(1)[0][0]
+        alike = sum(1 for r in rows if abs(len(r) - usual) <= (mark == "  "))  # a wide cell may touch the next column
+        if values >= 0.6 * cells and alike >= 0.7 * len(rows):
             best = max(best, len(rows))
     return best
 
