@@ -100,7 +100,7 @@ def meaningless(s: dict) -> bool:
         (words == 0 and s["symbol_ratio"] > 0.9 and n >= 8) or (s["symbol_ratio"] > 0.75 and n >= 12) or (s["longest_run_share"] > 0.6 and n >= 8)
         or (words >= 8 and s["distinct_word_share"] * words <= 2) or (s["longest_word"] >= 40 and s["longest_word"] > 0.6 * n)
         or s["markup_share"] > 0.5 or (s["garbled_share"] > 0.3 and n >= 8)
-        or (words >= 1 and n >= 10 and s["common_word_share"] < 0.1 and (s["odd_word_share"] >= 0.34 and s["letter_score"] < -2.7 or s["letter_score"] < -3.7))
+        or (words >= 1 and n >= 10 and s["common_word_share"] < 0.1 and (s["odd_word_share"] >= 0.34 and s["letter_score"] < -2.7 or s["odd_word_share"] >= 0.6 and s["letter_score"] < -2.2 or s["letter_score"] < -3.7))
     )
 
 
