@@ -206,7 +206,7 @@ def encode_map(counts: Column) -> Column:
 def decode_map(cell: Column, last: bool = True) -> Column:
     """MAP<STRING,BIGINT> of an encoded cell, split at the last colon (labels such as acl:relcl stay whole) or at the first."""
     rx = r"^(.*):\s*(\d+)$" if last else r"^([^:]*):\s*(\d+)$"
-    parts = F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"\|"), F.trim), lambda p: p.rlike(rx))
+    parts = F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda p: p.rlike(rx))
     return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, rx, 1)).alias("key"), F.regexp_extract(p, rx, 2).cast("bigint").alias("value"))))
 
 

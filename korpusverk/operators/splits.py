@@ -47,7 +47,7 @@ def link_groups(records: DataFrame, group: str = "group_id", key: str = "link_ke
 def subset(sizes: dict[int, int], target: int) -> dict[int, int]:
     """How many components of each size to take so that their total is closest to target, by bitsets over size multiplicities.
 
-    A share of each size is taken outright; the bitset decides over at most a few components of each size. Beyond BITS units the
+    Most of each size's share is taken outright; the bitset decides over the rest, with multiplicities as powers of two. Beyond BITS units the
     sizes are measured in coarser units, which are rounded up.
     """
     total = sum(s * n for s, n in sizes.items())
@@ -55,8 +55,8 @@ def subset(sizes: dict[int, int], target: int) -> dict[int, int]:
     taken = {s: int(n * target // total) if total else 0 for s, n in sizes.items()}
     taken = {s: max(0, t - 2) for s, t in taken.items()}
     need = target - sum(s * t for s, t in taken.items())
-    items = [(s, min(n - taken[s], 6)) for s, n in sorted(sizes.items(), reverse=True) if n > taken[s]]
-    items = [(s, n) for s, n in items if s <= 2 * need] or items[-1:]
+    left = [(s, n - taken[s]) for s, n in sorted(sizes.items(), reverse=True) if n > taken[s]]
+    items = [(s, min(n, need // s + 1)) for s, n in left if s <= 2 * need] or left[-1:]
     if not items:
         return taken
     unit = max(1, -(-2 * need // BITS))

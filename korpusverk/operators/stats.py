@@ -84,7 +84,7 @@ def jensen_shannon(counts: DataFrame, keys: Sequence[str], label: str, side: str
     b = F.sum(F.when(F.col(side) == sides[1], F.col(n)).otherwise(0)).alias("b")
     cells = counts.groupBy(*keys, label).agg(a, b)
     totals = cells.groupBy(*keys).agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    shares = cells.join(totals, list(keys)).withColumn("p", F.col("a") / F.col("ta")).withColumn("q", F.col("b") / F.col("tb")).withColumn("m", (F.col("p") + F.col("q")) / 2)
+    shares = cells.join(totals, list(keys)).withColumn("p", F.try_divide("a", "ta")).withColumn("q", F.try_divide("b", "tb")).withColumn("m", (F.col("p") + F.col("q")) / 2)
     part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / F.col("m"))).otherwise(0.0)
     js = F.when((F.first("ta") > 0) & (F.first("tb") > 0), F.greatest(F.sum(0.5 * part("p") + 0.5 * part("q")), F.lit(0.0)))
     out = shares.groupBy(*keys).agg(js.alias("js_divergence"), F.max("ta").alias("human_total"), F.max("tb").alias("llm_total"))
@@ -98,7 +98,7 @@ def wasserstein(values: DataFrame, keys: Sequence[str], side: str = "side", valu
     whole = Window.partitionBy(*keys)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap = F.lead("v").over(w) - F.col("v")
-    diff = F.abs(F.sum("a").over(run) / F.sum("a").over(whole) - F.sum("b").over(run) / F.sum("b").over(whole))
+    diff = F.abs(F.try_divide(F.sum("a").over(run), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(run), F.sum("b").over(whole)))
     return cells.select(*keys, (gap * diff).alias("part")).groupBy(*keys).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("wasserstein"))
 
 

@@ -37,12 +37,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def read_tasks(df: DataFrame, least: int = 1) -> DataFrame:
-    """df in at least one partition per core when the scan gives fewer (small files only)."""
-    cores = max(least, df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def clash_free(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the wanted columns, found by exact name even if others differ in case only."""
     by_name = {c: c for c in df.columns}
