@@ -80,10 +80,11 @@ def lexicon_count(words: Column, category: str) -> Column:
     return F.regexp_count(spaced, F.lit(phrase_pattern(CATEGORIES[category]))).cast("bigint")
 
 
-def lexicon_rates(words: Column, register: str = "informal") -> dict[str, Column]:
+def lexicon_counts(df: DataFrame, words: str, register: str = "informal") -> DataFrame:
+    """Adds <category>_count; the formal register leaves two categories out. The spaced text is made once for all categories."""
     names = CATEGORIES if register == "informal" else FORMAL_CATEGORIES
-    out = {f"{k}_count": lexicon_count(words, k) for k in names}
-    return out | {f"{k}_rate": T.ratio(lexicon_count(words, k).cast("double"), F.size(words), 100) for k in names}
+    spaced = df.withColumn("_spaced", F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")))
+    return spaced.withColumns({f"{k}_count": F.regexp_count("_spaced", F.lit(phrase_pattern(CATEGORIES[k]))).cast("bigint") for k in names}).drop("_spaced")
 
 
 def negation_sentence_rate(text: Column) -> Column:
@@ -130,12 +131,13 @@ def readability(text: Column) -> dict[str, Column]:
 def feature_table(df: DataFrame, keys: list[str], text_col: str, register: str = "informal") -> DataFrame:
     """keys and every native feature of the text; null texts are left out, as a pair without one side has no features."""
     t = F.col(text_col)
-    src = df.filter(t.isNotNull()).withColumn("_w", T.alpha_tokens(t)).withColumn("_s", T.surface_tokens(t))
+    src = lexicon_counts(df.filter(t.isNotNull()).withColumn("_w", T.alpha_tokens(t)).withColumn("_s", T.surface_tokens(t)), "_w", register)
     w, s = F.col("_w"), F.col("_s")
+    rates = {c[:-5] + "rate": T.ratio(F.col(c).cast("double"), F.size(w), 100) for c in src.columns if c.endswith("_count") and c[:-6] in CATEGORIES}
     named = {
         "n_alpha_tokens": F.size(w).cast("double"), "ttr": ttr(w), "bigram_repetition_rate": ngram_repetition(s, 2), "trigram_repetition_rate": ngram_repetition(s, 3),
         "function_word_rate": function_word_rate(w), "n_sentences": F.size(T.sentences(t)).cast("double"), "negation_sentence_rate": negation_sentence_rate(t),
-    } | punctuation(t, register) | {k: v for k, v in lexicon_rates(w, register).items() if k.endswith("_rate")}
+    } | punctuation(t, register) | rates
     return src.select(*keys, *[v.alias(k) for k, v in named.items()])
 
 

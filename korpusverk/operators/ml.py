@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpusverk.operators.sampling import folds
+from korpusverk.operators.skew import hash62, prefix_rank
 from korpusverk.operators.stats import auc, hanley_mcneil
 from korpusverk.plans.runtime import cut
 
@@ -92,9 +93,8 @@ def permutation_test(scores: DataFrame, key: str, permutations: int = 200, seed:
     ones = scores.filter("label = 1").count()
     ids = F.explode(F.sequence(F.lit(1), F.lit(permutations)))
     many = scores.select(key, "label", "score", ids.alias("perm"))
-    from pyspark.sql import Window
-
-    dealt = many.withColumn("r", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", F.col(key), "label"), key, "label"))).withColumn("label", (F.col("r") <= ones).cast("int"))
+    order = hash62(F.lit(seed), "perm", F.col(key), "label")
+    dealt = prefix_rank(many, ["perm"], order, key).withColumn("label", (F.col("_before") < ones).cast("int"))
     null = auc(dealt, ["perm"], "score", "label")
     seen = auc(scores.withColumn("_g", F.lit(1)), ["_g"], "score", "label").select(F.col("auc").alias("observed"))
     j = null.join(F.broadcast(seen))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusverk.functions import texts as T
+from korpusverk.operators.skew import prefix_rank
 
 
 def seeded(seed: int, *cols: str) -> Column:
@@ -15,6 +16,12 @@ def seeded(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
+def seeded_rank(df: DataFrame, group: Sequence[str], seed: int, key: str) -> DataFrame:
+    """Adds _before: how many rows of the group stand earlier in the seeded order; no task holds a whole group."""
+    order = F.shiftleft(F.conv(F.substring(seeded(seed, key), 1, 15), 16, 10).cast("bigint"), 2)
+    return prefix_rank(df, list(group), order, key)
+
+
 def sample_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """n rows without replacement."""
     return df.orderBy(seeded(seed, key), key).limit(n)
@@ -44,16 +51,17 @@ def balanced_items(wide: DataFrame, register: str, label: str, human: str, versi
 
 def assign_roles(df: DataFrame, key: str, roles: Sequence[str], per_role: int, seed: int) -> DataFrame:
     """per_role distinct rows for each role."""
-    r = F.row_number().over(Window.orderBy(seeded(seed, key), key)) - 1
-    top = df.orderBy(seeded(seed, key), key).limit(per_role * len(roles)).withColumn("_r", r)
+    top = sample_rows(df, per_role * len(roles), seed, key)
+    top = top.withColumn("_r", F.row_number().over(Window.orderBy(seeded(seed, key), key)) - 1)  # over the sample only
     return top.withColumn("role", F.element_at(F.array(*map(F.lit, roles)), (F.floor(F.col("_r") / per_role) + 1).cast("int"))).drop("_r")
 
 
 def assign_threads(df: DataFrame, thread: str, key: str, roles: Sequence[str], seed: int) -> DataFrame:
     """In each thread with enough rows, one row per role: the scarcest threads come first in priority, ties by hash."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(thread))
     r = F.row_number().over(Window.partitionBy(thread).orderBy(seeded(seed, key), key))
-    kept = df.withColumn("thread_rows", size).withColumn("_r", r).filter((F.col("thread_rows") >= len(roles)) & (F.col("_r") <= len(roles)))
+    few = df.withColumn("_r", r).filter(F.col("_r") <= len(roles))  # cut to a few rows a thread before the shuffle
+    sizes = df.groupBy(thread).agg(F.count(F.lit(1)).alias("thread_rows")).filter(F.col("thread_rows") >= len(roles))
+    kept = few.join(sizes, thread)
     return kept.withColumn("role", F.element_at(F.array(*map(F.lit, roles)), F.col("_r"))).drop("_r")
 
 
@@ -61,4 +69,4 @@ def folds(df: DataFrame, k: int, seed: int, key: str, label: str | None = None)
     """fold 0..k-1: by key (a group stays in one fold), or with label evenly within each class."""
     if label is None:
         return df.withColumn("fold", F.pmod(F.conv(F.substring(seeded(seed, key), 1, 8), 16, 10).cast("bigint"), F.lit(k)).cast("int"))
-    return df.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(seeded(seed, key), key)) - 1, F.lit(k)).cast("int"))
+    return seeded_rank(df, [label], seed, key).withColumn("fold", F.pmod("_before", F.lit(k)).cast("int")).drop("_before")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korpusverk.plans.runtime import null_safe_join
+
 HOT_SHARE = 1024
 HOT_LEAST = 512
 
@@ -34,7 +36,7 @@ def prefix_rank(df: DataFrame, group: list[str], order: Column, tie: str, weight
     offsets = sums.select(*group, "_b", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_off"))
     within = Window.partitionBy(*group, "_b").orderBy("_o", tie).rowsBetween(Window.unboundedPreceding, -1)
     ranked = weighed.withColumn("_in", F.coalesce(F.sum("_w").over(within), F.lit(0)))
-    return ranked.join(offsets, [*group, "_b"]).withColumn("_before", F.col("_in") + F.col("_off")).drop("_in", "_off", "_b", "_w", "_o")
+    return null_safe_join(ranked, offsets, [*group, "_b"]).withColumn("_before", F.col("_in") + F.col("_off")).drop("_in", "_off", "_b", "_w", "_o")
 
 
 def hash62(*cols) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from korpusverk.plans.runtime import null_safe_join
+
 Z95 = 1.959963984540054
 
 
@@ -26,10 +28,25 @@ def normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))
 
 
-def average_rank(keys: Sequence[str], value: Column) -> Column:
-    """Rank of value within keys, ties sharing their mean rank."""
-    tied = Window.partitionBy(*keys, value)
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(tied) - 1) / 2.0
+def range_bucket(value: Column, per_octave: int = 64) -> Column:
+    """A number that never falls as value rises: 64 steps for each doubling of its size. It cuts a sorted group into tasks without looking at the data."""
+    size = F.floor(F.log2(F.greatest(F.abs(value), F.lit(1e-300))) * per_octave) + per_octave * 1000
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("bigint")
+
+
+def cumulate(cells: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
+    """Adds below_<w>: the sum of w over the key's smaller values. One row per key and value is asked for.
+
+    Offsets of value ranges come from a small table, so that no task holds all values of a key.
+    """
+    ranged = cells.withColumn("_b", range_bucket(F.col(value)))
+    sums = ranged.groupBy(*keys, "_b").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_b", *[F.coalesce(F.sum(f"_s_{w}").over(before), F.lit(0)).alias(f"_o_{w}") for w in weights])
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumns({f"_i_{w}": F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights})
+    joined = null_safe_join(within, offsets, [*keys, "_b"])
+    return joined.withColumns({f"below_{w}": F.col(f"_i_{w}") + F.col(f"_o_{w}") for w in weights}).drop("_b", *[f"_{x}_{w}" for x in "io" for w in weights])
 
 
 def paired_tests(pairs: DataFrame, keys: Sequence[str], human: str = "human", llm: str = "llm", exact_p: bool = True) -> DataFrame:
@@ -37,19 +54,24 @@ def paired_tests(pairs: DataFrame, keys: Sequence[str], human: str = "human", ll
 
     Differences are llm - human over pairs with both numbers; fewer than three pairs give no row. Zero differences count in n_pairs but
     not in the signed ranks; if all are zero, p is 1 and the effects are 0. The p-value is the normal approximation with tie correction.
+    Medians and ranks follow from the counts of distinct values and their running sums, so a key of any size is spread over tasks.
     """
     d = pairs.select(*keys, F.col(human).cast("double").alias("h"), F.col(llm).cast("double").alias("l")).filter("h IS NOT NULL AND l IS NOT NULL AND NOT isnan(h) AND NOT isnan(l)")
     d = d.withColumn("d", F.round(F.col("l") - F.col("h"), 12))
-    basic = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.median("h").alias("median_human"), F.median("l").alias("median_llm"), F.avg("d").alias("_m"), F.stddev_samp("d").alias("_s"))
-    moved = d.filter("d <> 0").withColumn("a", F.abs("d"))
-    # equal absolute differences share a rank: ranks follow from the counts of distinct values, not from a sort of all rows
-    values = moved.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("t"), F.sum((F.col("d") > 0).cast("bigint")).alias("up"))
-    below = F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.withColumn("r", below + (F.col("t") + 1) / 2.0)
-    signed = ranked.groupBy(*keys).agg(
-        F.sum(F.col("r") * F.col("up")).alias("w_up"), F.sum(F.col("r") * (F.col("t") - F.col("up"))).alias("w_down"), F.sum("t").alias("_n"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("_ties"))
-    out = basic.join(signed, list(keys), "left").filter("n_pairs >= 3")
+    basic = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("_m"), F.stddev_samp("d").alias("_s"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v"), up.alias("up")) for k, v, up in (("h", F.col("h"), F.lit(0)), ("l", F.col("l"), F.lit(0)), ("d", F.abs("d"), (F.col("d") > 0).cast("int")))])
+    values = d.select(*keys, F.explode(kinds).alias("x")).select(*keys, "x.*").filter("kind <> 'd' OR v <> 0")
+    cells = values.groupBy(*keys, "kind", "v").agg(F.count(F.lit(1)).alias("t"), F.sum("up").alias("up"))
+    ranked = cumulate(cells, [*keys, "kind"], "v", ["t"])
+    ranked = null_safe_join(ranked, basic.select(*keys, F.col("n_pairs").alias("_all")), keys)
+    middle = lambda k, at: F.max(F.when((F.col("kind") == k) & (F.col("below_t") <= at) & (F.col("below_t") + F.col("t") > at), F.col("v")))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    signed, rank = F.col("kind") == "d", F.col("below_t") + (F.col("t") + 1) / 2.0
+    sums = ranked.groupBy(*keys).agg(
+        ((middle("h", low) + middle("h", high)) / 2).alias("median_human"), ((middle("l", low) + middle("l", high)) / 2).alias("median_llm"),
+        F.sum(F.when(signed, rank * F.col("up"))).alias("w_up"), F.sum(F.when(signed, rank * (F.col("t") - F.col("up")))).alias("w_down"),
+        F.sum(F.when(signed, F.col("t"))).alias("_n"), F.sum(F.when(signed, F.pow("t", F.lit(3)) - F.col("t"))).alias("_ties"))
+    out = null_safe_join(basic, sums, keys).filter("n_pairs >= 3")
     n, stat = F.col("_n").cast("double"), F.least("w_up", "w_down")
     z = (stat - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
     p = normal_p(z) if exact_p else erfc_approx(F.abs(z) / math.sqrt(2))
@@ -94,12 +116,12 @@ def jensen_shannon(counts: DataFrame, keys: Sequence[str], label: str, side: str
 def wasserstein(values: DataFrame, keys: Sequence[str], side: str = "side", value: str = "value", sides: tuple[str, str] = ("human", "llm")) -> DataFrame:
     """Per key the first Wasserstein distance of the two sides' values; nulls are left out of each side on its own."""
     cells = values.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(*[F.sum((F.col(side) == s).cast("bigint")).alias(x) for s, x in zip(sides, "ab")])
-    w = Window.partitionBy(*keys).orderBy("v")
-    whole = Window.partitionBy(*keys)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gap = F.lead("v").over(w) - F.col("v")
-    diff = F.abs(F.try_divide(F.sum("a").over(run), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(run), F.sum("b").over(whole)))
-    return cells.select(*keys, (gap * diff).alias("part")).groupBy(*keys).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("wasserstein"))
+    totals = cells.groupBy(*keys).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    run = null_safe_join(cumulate(cells, keys, "v", ["a", "b"]), totals, keys)
+    share = lambda a, b: F.abs(F.try_divide(a, F.col("na")) - F.try_divide(b, F.col("nb")))
+    before, after = share(F.col("below_a"), F.col("below_b")), share(F.col("below_a") + F.col("a"), F.col("below_b") + F.col("b"))
+    # the area between two steps, summed by parts: no look at the next value is needed
+    return run.groupBy(*keys).agg(F.coalesce(F.sum(F.col("v") * (before - after)), F.lit(0.0)).alias("wasserstein"))
 
 
 def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
@@ -130,8 +152,8 @@ def hanley_mcneil(auc: Column, positives: Column, negatives: Column, z: float =
 def auc(scores: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
     """Area under the ROC curve from average ranks of distinct scores: (keys, auc, positives, negatives)."""
     cells = scores.groupBy(*keys, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("t"), F.sum((F.col(label) == 1).cast("bigint")).alias("pos"))
-    below = F.coalesce(F.sum("t").over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = cells.withColumn("r", below + (F.col("t") + 1) / 2.0).groupBy(*keys).agg(F.sum(F.col("r") * F.col("pos")).alias("rs"), F.sum("pos").alias("positives"), (F.sum("t") - F.sum("pos")).alias("negatives"))
+    ranked = cumulate(cells.withColumn("s", F.col("s").cast("double")), keys, "s", ["t"])
+    sums = ranked.withColumn("r", F.col("below_t") + (F.col("t") + 1) / 2.0).groupBy(*keys).agg(F.sum(F.col("r") * F.col("pos")).alias("rs"), F.sum("pos").alias("positives"), (F.sum("t") - F.sum("pos")).alias("negatives"))
     p, n = F.col("positives").cast("double"), F.col("negatives").cast("double")
     return sums.select(*keys, F.when((p > 0) & (n > 0), (F.col("rs") - p * (p + 1) / 2) / (p * n)).alias("auc"), "positives", "negatives")
 

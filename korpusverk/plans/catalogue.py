@@ -128,21 +128,29 @@ def _lexicon_sql() -> str:
 
 @query(_lexicon_sql())
 def lexicon_rates(spark: SparkSession, d: str) -> DataFrame:
-    w = docs(spark, d).select("doc_id", T.alpha_tokens(F.col("text")).alias("w"))
-    return w.select("doc_id", *[F.round(c, 6).alias(k) if k.endswith("rate") else c.alias(k) for k, c in X.lexicon_rates(F.col("w")).items()])
+    w = X.lexicon_counts(docs(spark, d).select("doc_id", T.alpha_tokens(F.col("text")).alias("w")), "w")
+    return w.select("doc_id", *[F.col(f"{k}_count") for k in CATEGORIES], *[r6(T.ratio(F.col(f"{k}_count").cast("double"), F.size("w"), 100), f"{k}_rate") for k in CATEGORIES])
 
 
 def _sentences_sql(c: str) -> str:
-    return f"list_filter(list_transform(string_split(regexp_replace(trim({c}), '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda x: x), lambda x: x <> '')"
+    return f"list_filter(string_split(regexp_replace(trim({c}), '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda x: x <> '')"
 
 
-@query()
+_NEGATED = "(?:^|[^\\p{L}\\p{N}_])(?:" + "|".join(NEGATIONS) + ")(?:$|[^\\p{L}\\p{N}_])"
+
+
+@query(f"WITH s AS (SELECT doc_id, {_sentences_sql('text')} AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(len(s) AS INT) AS n_sentences, round(CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: regexp_matches(lower(x), '{_NEGATED}'))) / len(s) ELSE 0.0 END, 6) AS negation_sentence_rate FROM s")
 def negation_sentence_rate(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return docs(spark, d).filter("text IS NOT NULL").select("doc_id", F.size(T.sentences(t)).alias("n_sentences"), r6(X.negation_sentence_rate(t), "negation_sentence_rate"))
 
 
-@query()
+@query(
+    f"""WITH b AS (SELECT doc_id, CAST(len({ALPHA.format('text')}) AS DOUBLE) AS w, CAST(greatest(len({_sentences_sql('text')}), 1) AS DOUBLE) AS s, CAST(len(regexp_extract_all(regexp_replace(lower(text), '[^a-zåäö]', ' ', 'g'), '[aeiouyåäö]+')) AS DOUBLE) AS y,
+ CAST(len(list_filter({ALPHA.format('text')}, lambda x: len(regexp_extract_all(x, '[aeiouyåäö]+')) >= 3)) AS DOUBLE) AS h FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, round(CASE WHEN w > 0 THEN 206.835 - 1.015 * w / s - 84.6 * y / w ELSE 0.0 END, 6) AS flesch_reading_ease, round(CASE WHEN w > 0 THEN 0.39 * w / s + 11.8 * y / w - 15.59 ELSE 0.0 END, 6) AS flesch_kincaid_grade,
+ round(CASE WHEN w > 0 THEN 0.4 * (w / s + 100 * h / w) ELSE 0.0 END, 6) AS gunning_fog, round(CASE WHEN w > 0 THEN 1.043 * sqrt(h * 30 / s) + 3.1291 ELSE 0.0 END, 6) AS smog_index FROM b"""
+)
 def readability(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).filter("text IS NOT NULL").select("doc_id", *[r6(c, k) for k, c in X.readability(F.col("text")).items()])
 
@@ -179,11 +187,15 @@ def unescaped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _refusal_sql() -> str:
-    arms = [f"WHEN regexp_matches(head, '{p.replace('(?iU)', '(?i)').replace(chr(39), chr(39) * 2)}') THEN '{w.replace(chr(39), chr(39) * 2)}'" for p, w in T.REFUSALS]
-    return f"SELECT register, row_id, condition, CASE {' '.join(arms)} END AS reason FROM (SELECT register, row_id, condition, substr(llm, 1, 300) AS head FROM ({_long_sql()}) WHERE llm IS NOT NULL) WHERE reason IS NOT NULL"
+    def plain(p: str) -> str:
+        p = re2(p.replace("(?iU)", "")).replace("\\b", "").replace("\\w", "[\\p{L}\\p{N}_]").replace("'", "''")
+        return "(?i)" + p
 
+    arms = [f"WHEN regexp_matches(head, '{plain(p)}') THEN '{w.replace(chr(39), chr(39) * 2)}'" for p, w in T.REFUSALS]
+    return f"SELECT * FROM (SELECT register, row_id, condition, CASE {' '.join(arms)} END AS reason FROM (SELECT register, row_id, condition, substr(llm, 1, 300) AS head FROM ({_long_sql()}) WHERE llm IS NOT NULL)) WHERE reason IS NOT NULL"
 
-@query()
+
+@query(_refusal_sql())
 def refusal_flags(spark: SparkSession, d: str) -> DataFrame:
     return corpora(spark, d).filter("llm IS NOT NULL").select("register", "row_id", "condition", T.refusal_reason(F.col("llm")).alias("reason")).filter("reason IS NOT NULL")
 
@@ -408,7 +420,7 @@ def first_value_pivot(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT thread_id, CAST(dense_rank() OVER (ORDER BY first) AS BIGINT) AS code FROM (SELECT thread_id, min(row_id) AS first FROM consolidated_informal_comments_adversarial WHERE thread_id IS NOT NULL GROUP BY thread_id)")
 def factorize(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, P.INFORMAL[1]).filter("thread_id IS NOT NULL").groupBy("thread_id").agg(F.min("row_id").alias("first"))
-    return g.select("thread_id", F.dense_rank().over(Window.orderBy("first")).cast("bigint").alias("code"))
+    return A.cumulate(g.withColumn("n", F.lit(1)), [], "first", ["n"]).select("thread_id", (F.col("below_n") + 1).cast("bigint").alias("code"))
 
 
 @query("SELECT thread_id, coalesce(min_by(question, row_id) FILTER (question IS NOT NULL), '(utan fråga)') AS question, CAST(count(*) AS BIGINT) AS n FROM consolidated_informal_comments_adversarial GROUP BY thread_id")
@@ -466,8 +478,8 @@ def overlap_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT item_id, rank FROM (SELECT item_id, register, CAST(row_number() OVER (PARTITION BY register ORDER BY md5('7|' || item_id), item_id) AS BIGINT) AS rank FROM quiz_master_balanced)")
 def seeded_order(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "quiz_master_balanced")
-    return q.select("item_id", F.row_number().over(Window.partitionBy("register").orderBy(S.seeded(7, "item_id"), "item_id")).cast("bigint").alias("rank"))
+    q = table(spark, d, "quiz_master_balanced").select("item_id", "register")
+    return S.seeded_rank(q, ["register"], 7, "item_id").select("item_id", (F.col("_before") + 1).cast("bigint").alias("rank"))
 
 
 @query(
@@ -495,12 +507,12 @@ def thread_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 def paired_features(spark: SparkSession, d: str, conditions=P.REPORTED) -> DataFrame:
     """(register, condition, feature, row_id, human, llm): word count, type-token ratio, mean word length and marks of complete pairs."""
-    pairs = P.complete(corpora(spark, d, conditions))
+    pairs = P.complete(corpora(spark, d, conditions)).select("register", "condition", "row_id", *[F.struct(F.col(c).alias("t"), T.alpha_tokens(F.col(c)).alias("w")).alias(c) for c in ("human", "llm")])
 
     def side(c):
-        w = T.alpha_tokens(F.col(c))
-        chars = F.aggregate(F.transform(w, lambda x: F.length(x).cast("double")), F.lit(0.0), lambda s, v: s + v)
-        return [F.size(w).cast("double"), F.round(X.ttr(w), 9), F.round(T.ratio(chars, F.size(w)), 9), T.literal_count(F.col(c), ",").cast("double"), T.literal_count(F.col(c), ".").cast("double")]
+        w, t = F.col(c + ".w"), F.col(c + ".t")
+        chars = F.length(F.array_join(w, "")).cast("double")
+        return [F.size(w).cast("double"), F.round(X.ttr(w), 9), F.round(T.ratio(chars, F.size(w)), 9), T.literal_count(t, ",").cast("double"), T.literal_count(t, ".").cast("double")]
 
     names = ("n_words", "ttr", "word_length", "commas", "periods")
     rows = F.array(*[F.struct(F.lit(n).alias("feature"), h.alias("human"), m.alias("llm")) for n, h, m in zip(names, side("human"), side("llm"))])
@@ -700,12 +712,18 @@ def generator_contrasts(spark: SparkSession, d: str) -> DataFrame:
     return c.select("judge", "register", "name_a", "name_b", "n_pairs", "b", "c", *[r6(F.col(x), x) for x in ("recall_a", "recall_b", "delta")])
 
 
-@query()
+@query(
+    "WITH t AS (" + _contrast_sql("judge, register", "condition") + """), p AS (SELECT judge, register, name_a, name_b, b, c, CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2.0))))) END AS p FROM t)
+SELECT judge, register, name_a, name_b, b, c, round(p, 6) AS p_value, CASE WHEN b + c = 0 THEN 'no-discordance' ELSE 'exact' END AS method, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS sig FROM p"""
+)
 def mcnemar_p(spark: SparkSession, d: str) -> DataFrame:
     return J.contrasts(judged(spark, d), ["judge", "register"], "condition").select("judge", "register", "name_a", "name_b", "b", "c", r6(F.col("p_value"), "p_value"), "method", A.stars(F.col("p_value")).alias("sig"))
 
 
-@query()
+@query(
+    f"""SELECT judge, item_id, CASE item_id % 5 WHEN 3 THEN 'MÄNNISKA' WHEN 4 THEN 'UNKNOWN' ELSE predicted END AS predicted, CAST(CASE item_id % 5 WHEN 0 THEN confidence WHEN 1 THEN confidence WHEN 2 THEN CASE WHEN predicted = 'UNKNOWN' THEN 0 ELSE 50 END WHEN 3 THEN 50 ELSE 0 END AS INT) AS confidence,
+ CASE item_id % 5 WHEN 0 THEN coalesce(generator, '') WHEN 1 THEN '' WHEN 2 THEN 'Jag tror: ' || predicted WHEN 3 THEN '{{"classification": "Human", "confidence": "hög"}}' ELSE '' END AS reasoning FROM {_JUDGED_SQL}"""
+)
 def judge_parse(spark: SparkSession, d: str) -> DataFrame:
     """Raw answers as a judge would give them, of every kind, parsed."""
     j = judged(spark, d)

@@ -15,6 +15,15 @@ from korpusverk.sources import files
 from korpusverk.streaming import events as V
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, so that engines that add in another order agree."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _rounded_sql(sql: str, *names: str) -> str:
+    return f"SELECT * REPLACE ({', '.join(f'round({n}, 6) AS {n}' for n in names)}) FROM ({sql})"
+
+
 def _machine_learning():
     from korpusverk.operators import ml
 
@@ -84,15 +93,15 @@ def _annotated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dep_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return N.syntactic(_annotated(spark, d))
+    return rounded(N.syntactic(_annotated(spark, d)))
 
 
 def ner_rates(spark: SparkSession, d: str) -> DataFrame:
-    return N.entity_rates(_annotated(spark, d))
+    return rounded(N.entity_rates(_annotated(spark, d)))
 
 
 def pos_shares(spark: SparkSession, d: str) -> DataFrame:
-    return N.pos_shares(_annotated(spark, d))
+    return rounded(N.pos_shares(_annotated(spark, d)))
 
 
 def top_relations(spark: SparkSession, d: str) -> DataFrame:
@@ -119,11 +128,11 @@ def map_codec(spark: SparkSession, d: str) -> DataFrame:
 
 def perplexity_windows(spark: SparkSession, d: str) -> DataFrame:
     nll = cut(L.unigram_nll(table(spark, d, "documents"), "doc_id", "text"))
-    return L.perplexity(nll).join(L.burstiness(nll), "doc_id", "left")
+    return rounded(L.perplexity(nll).join(L.burstiness(nll), "doc_id", "left"))
 
 
 def surprisal_stats(spark: SparkSession, d: str) -> DataFrame:
-    return L.surprisal(L.unigram_nll(table(spark, d, "documents"), "doc_id", "text"))
+    return rounded(L.surprisal(L.unigram_nll(table(spark, d, "documents"), "doc_id", "text")))
 
 
 def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +173,7 @@ def sampled_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
-    return V.drain(V.windowed(V.read_folder(spark, d, "events", schema)), "windows")
+    return rounded(V.drain(V.windowed(V.read_folder(spark, d, "events", schema)), "windows"))
 
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -182,9 +191,56 @@ def queries() -> dict:
     return {f.__name__: f for f in named}
 
 
-def oracle_sql() -> dict[str, str]:
+_SENTS = "(SELECT doc_id, unnest(string_split(s, chr(31))) AS s, unnest(range(0, len(string_split(s, chr(31))))) AS sent FROM (SELECT doc_id, regexp_replace(trim(coalesce(text, '')), '([.!?])\\s+', '\\1' || chr(31), 'g') AS s FROM documents))"
+
+
+def _tokens(pattern: str, low: bool = False) -> str:
+    found = f"regexp_extract_all({'lower(s)' if low else 's'}, '{pattern}')"
+    return f"(SELECT doc_id, sent, unnest({found}) AS text, unnest(range(0, len({found}))) AS i FROM {_SENTS})"
+
+
+_ALL = _tokens("\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]")
+_UPPER = "(regexp_matches(text, '^\\p{Lu}') AND regexp_matches(text, '^\\p{L}+$') AND i > 0)"
+_WORD = "regexp_matches(text, '^\\p{L}+$')"
+_NLL = f"""w AS {_tokens("\\p{L}+", True)}, c AS (SELECT text, count(*) AS n FROM w GROUP BY text), k AS (SELECT sum(n) AS t, count(*) AS v FROM c), m AS (SELECT w.doc_id, w.sent, w.i // 1024 AS win, -ln((c.n + 1) / (k.t + k.v)) AS nll FROM w JOIN c USING (text) CROSS JOIN k)"""
+
+
+def _pos_sql() -> str:
+    named = {"PROPN": _UPPER, "NOUN": f"({_WORD} AND NOT {_UPPER})", "NUM": "regexp_matches(text, '^\\p{N}+$')", "PUNCT": f"(NOT {_WORD} AND NOT regexp_matches(text, '^\\p{{N}}+$'))"}
+    cols = ", ".join(f"count(*) FILTER ({named.get(t, 'false')}) / count(*) AS pos_{t}" for t in N.UPOS)
+    return f"SELECT doc_id, {cols}, CAST(count(*) FILTER (NOT {named['PUNCT']}) AS BIGINT) AS content_tokens, CAST(count(DISTINCT lower(text)) AS BIGINT) AS n_unique_lemmas FROM {_ALL} GROUP BY doc_id"
+
+
+def _cells_sql() -> str:
+    marks = sorted((k, v[0]) for k, v in X.MARKS.items())
+    cell = " || ' | ' || ".join(f"'acl:{k}:' || CAST((length(text) - length(replace(text, '{m}', ''))) // {len(m)} AS VARCHAR)" for k, m in marks)
+    zero = "{" + ",".join(f'"acl:{k}":0.0' for k, _ in marks) + "}"
+    return f"SELECT doc_id, {cell} AS cell, {len(marks)} AS tags, true AS same, 0 AS first_colon_tags, CAST({len(marks)} AS BIGINT) AS cells, '{zero}' AS difference FROM documents WHERE text IS NOT NULL"
+
+
+def _unrounded() -> dict[str, str]:
     return {
+        "dep_metrics": f"""WITH s AS (SELECT doc_id, sent, count(*) AS n, count(*) FILTER (i > 0 AND lower(text) IN ('som', 'att')) AS sub FROM {_ALL} GROUP BY ALL) SELECT doc_id, CASE WHEN sum(n - 1) > 0 THEN 1.0 ELSE 0.0 END AS dep_distance_mean, avg(n - 1) AS tree_depth_mean, CAST(max(n - 1) AS INT) AS tree_depth_max,
+ sum(sub) / count(*) AS subordinate_clause_rate, CAST(count(*) AS BIGINT) AS n_sentences FROM s GROUP BY doc_id""",
+        "ner_rates": "SELECT doc_id, " + ", ".join(f"CASE WHEN n > 0 THEN {'loc' if e == 'LOC' else '0'} * 100.0 / n END AS ner_{e}_rate" for e in N.ENTITIES) + f", CASE WHEN n > 0 THEN loc * 100.0 / n END AS ner_total_rate FROM (SELECT doc_id, count(*) FILTER (text <> ',') AS n, count(*) FILTER ({_UPPER}) AS loc FROM {_ALL} GROUP BY doc_id)",
+        "pos_shares": _pos_sql(),
+        "map_codec": _cells_sql(),
+        "surprisal_stats": f"WITH {_NLL} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CASE WHEN count(*) > 1 THEN avg(nll) END AS mean_surprisal, CASE WHEN count(*) > 1 THEN exp(avg(nll)) END AS ppl, CASE WHEN count(*) > 1 THEN coalesce(stddev_samp(nll), 0.0) END AS std_surprisal, CASE WHEN count(*) > 1 THEN max(nll) END AS max_surprisal, CASE WHEN count(*) > 1 THEN quantile_cont(nll, 0.9) END AS p90_surprisal, CASE WHEN count(*) > 1 THEN quantile_cont(nll, 0.95) END AS p95_surprisal, CASE WHEN count(*) > 1 THEN avg(CASE WHEN nll > 10 THEN 1 ELSE 0 END) END AS frac_above FROM m GROUP BY doc_id",
+        "perplexity_windows": f"WITH {_NLL}, p AS (SELECT doc_id, win, avg(nll) AS a, count(*) AS n FROM m GROUP BY ALL), q AS (SELECT doc_id, CASE WHEN sum(n) > 1 THEN exp(avg(a)) END AS perplexity, CAST(sum(n) AS BIGINT) AS n_tokens FROM p GROUP BY doc_id), s AS (SELECT doc_id, sent, exp(avg(nll)) AS e FROM m GROUP BY ALL HAVING count(*) > 1), b AS (SELECT doc_id, CASE WHEN count(*) > 1 THEN stddev_samp(e) END AS burstiness FROM s GROUP BY doc_id) SELECT q.doc_id, perplexity, n_tokens, burstiness FROM q LEFT JOIN b USING (doc_id)",
+        "sliding_windows": "WITH w AS (SELECT doc_id, len(coalesce(regexp_extract_all(lower(text), '\\p{L}+'), [])) AS n FROM documents), k AS (SELECT doc_id, n, unnest(range(0, CAST(greatest(ceil((n - 128) / 64), 0) AS BIGINT) + 1)) AS k FROM w) SELECT doc_id, CAST(greatest(least(n - k * 64, 128), 0) AS INT) AS n, CAST(CASE WHEN k = 0 THEN least(n, 128) ELSE least(k * 64 + 128, n) - ((k - 1) * 64 + 128) END AS INT) AS fresh FROM k",
+        "html_extract": "SELECT row_id, trim(replace(replace(replace(replace(topic, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS title, '2016-03-04' AS date, trim(regexp_replace(replace(replace(replace(replace(human_comment, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\\n{2,}', chr(10), 'g')) AS post FROM consolidated_informal_comments_adversarial WHERE human_comment IS NOT NULL AND question IS NOT NULL",
+        "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, sum(value) AS total FROM events GROUP BY ALL HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
         "stream_totals": "SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(sum(coalesce(value, 0)), 6) AS total FROM events GROUP BY user_id",
         "sentiment_scores": """WITH p AS (SELECT row_id, cosine_similarity * 0.6 AS p, (1 - cosine_similarity) * 0.5 AS n, 1 - cosine_similarity * 0.6 - (1 - cosine_similarity) * 0.5 AS u FROM embedding_pair_cosine_formal_human_like WHERE cosine_similarity IS NOT NULL), l AS (SELECT *, CASE WHEN u >= p AND u >= n THEN 'neutral' WHEN p >= n THEN 'positive' ELSE 'negative' END AS label FROM p)
  SELECT row_id, label, round(p - n, 6) AS signed_polarity, round(1 - u, 6) AS affective_extremity, CAST(label <> 'neutral' AS INT) AS is_subjective FROM l""",
     }
+
+
+_DOUBLES = {
+    "dep_metrics": ("dep_distance_mean", "tree_depth_mean", "subordinate_clause_rate"), "ner_rates": tuple(f"ner_{e}_rate" for e in (*N.ENTITIES, "total")), "pos_shares": tuple(f"pos_{t}" for t in N.UPOS),
+    "surprisal_stats": ("mean_surprisal", "ppl", "std_surprisal", "max_surprisal", "p90_surprisal", "p95_surprisal", "frac_above"), "perplexity_windows": ("perplexity", "burstiness"), "stream_windows": ("total",),
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: _rounded_sql(v, *_DOUBLES[k]) if k in _DOUBLES else v for k, v in _unrounded().items()}

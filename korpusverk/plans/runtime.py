@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,10 @@ def clash_free(df: DataFrame, *wanted: str) -> DataFrame:
     if all(same.count(c.lower()) == 1 for c in wanted):
         return df.select(*[F.col(f"`{c}`") for c in wanted])
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]).select(*[F.col(f"_c{df.columns.index(c)}").alias(c) for c in wanted])
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys in which null equals null; right brings its other columns only."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])

@@ -138,7 +138,7 @@ def key_values(df: DataFrame) -> DataFrame:
 def html_threads(html: Column) -> dict[str, Column]:
     """Title, date and first post of a forum page; quoted blocks are left out, tags become line breaks."""
     title = F.trim(F.regexp_extract(html, r"(?is)<(?:h1|title)[^>]*>(.*?)</(?:h1|title)>", 1))
-    body = F.regexp_extract(html, r"(?is)<div[^>]*class=\"[^\"]*post_message[^\"]*\"[^>]*>(.*?)</div>\s*(?:</div>|$)", 1)
+    body = F.regexp_extract(html, r"(?is)<div[^>]*post_message[^>]*>(.*?)</div>", 1)
     body = F.regexp_replace(body, r"(?is)<blockquote.*?</blockquote>", "")
     return {"title": title, "date": F.regexp_extract(html, r"(\d{4}-\d{2}-\d{2})", 1), "post": F.trim(F.regexp_replace(F.regexp_replace(body, r"(?s)<[^>]+>", "\n"), r"\n{2,}", "\n"))}
 
