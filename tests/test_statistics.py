@@ -147,3 +147,35 @@ def test_stream(spark, sf):
     import __spark_entry__ as entry
 
     assert entry.queries()["stream_totals"](spark, sf).count() > 0
+
+
+def test_cumulate_over_ranges_signs_and_null_keys(spark):
+    rows = [(k, float(v), 1 + abs(v) % 3) for k in ("a", None) for v in (-900, -3, -1, 0, 1, 2, 5, 70, 4000, 4001)] + [("a", 0.001, 5), ("a", -0.001, 2)]
+    got = A.cumulate(spark.createDataFrame(rows, "k string, v double, n bigint"), ["k"], "v", ["n"]).collect()
+    want = {(k, v): sum(m for q, u, m in rows if q == k and u < v) for k, v, _ in rows}
+    assert {(r["k"], r["v"]): r["below_n"] for r in got} == want
+
+
+def test_paired_tests_keep_null_keys(spark):
+    df = spark.createDataFrame([(None, float(i), float(i * 2)) for i in range(8)], "k string, human double, llm double")
+    r = A.paired_tests(df, ["k"]).first()
+    assert r["k"] is None and r["n_pairs"] == 8 and r["median_human"] == 3.5 and r["median_llm"] == 7
+
+
+def test_empty_tables(spark):
+    e = spark.createDataFrame([], "k string, human double, llm double, side string, value double, s double, y int")
+    assert A.paired_tests(e, ["k"]).count() == 0 and A.wasserstein(e, ["k"]).count() == 0 and A.auc(e, ["k"], "s", "y").count() == 0
+
+
+def test_seeded_rank_is_a_permutation_and_stable(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 3).alias("g"))
+    a, b = (S.seeded_rank(d, ["g"], 1, "id").orderBy("id").collect() for d in (df, df.repartition(5)))
+    assert a == b
+    for g in (None, 1, 2):
+        assert sorted(r["_before"] for r in a if r["g"] == g) == list(range(100))
+
+
+def test_thread_assignment_takes_one_row_per_role(spark):
+    df = spark.createDataFrame([(i, "big" if i < 500 else f"t{i % 7}" if i < 540 else "tiny") for i in range(542)], "row_id bigint, thread_id string")
+    got = S.assign_threads(df, "thread_id", "row_id", ["a", "b", "c"], 2).groupBy("thread_id").agg(F.array_sort(F.collect_list("role")).alias("r")).collect()
+    assert len(got) == 8 and all(r["r"] == ["a", "b", "c"] for r in got)
