@@ -225,6 +225,10 @@ def _unrounded() -> dict[str, str]:
         "ner_rates": "SELECT doc_id, " + ", ".join(f"CASE WHEN n > 0 THEN {'loc' if e == 'LOC' else '0'} * 100.0 / n END AS ner_{e}_rate" for e in N.ENTITIES) + f", CASE WHEN n > 0 THEN loc * 100.0 / n END AS ner_total_rate FROM (SELECT doc_id, count(*) FILTER (text <> ',') AS n, count(*) FILTER ({_UPPER}) AS loc FROM {_ALL} GROUP BY doc_id)",
         "pos_shares": _pos_sql(),
         "map_codec": _cells_sql(),
+        "top_relations": f"WITH c AS (SELECT doc_id, CASE WHEN i = 0 THEN 'ROOT' WHEN lower(text) IN ('som', 'att') THEN 'acl:relcl' ELSE 'dep' END AS dep, count(*) AS n FROM {_ALL} GROUP BY ALL) SELECT doc_id, '{{' || string_agg('\"' || dep || '\":' || n, ',' ORDER BY n DESC, dep) || '}}' AS top_relations FROM c GROUP BY doc_id",
+        "dependency_strings": f"""WITH t AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY doc_id, sent ORDER BY i), text) AS head FROM {_ALL}) SELECT doc_id, CAST(sent AS INT) AS sent, string_agg(text || '/' || CASE WHEN i = 0 THEN 'ROOT' WHEN lower(text) IN ('som', 'att') THEN 'acl:relcl' ELSE 'dep' END || '/' || head, ' | ' ORDER BY i) AS dependencies,
+ coalesce(string_agg(CASE WHEN {_UPPER} THEN text || ':LOC' END, ' | ' ORDER BY i), '') AS entities FROM t GROUP BY doc_id, sent""",
+        "gated_hedges": f"WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '\\p{{L}}+'), []) AS w FROM documents) SELECT doc_id, CAST(len(regexp_extract_all(' ' || array_to_string(w, '  ') || ' ', '{X.phrase_pattern(tuple(h for h in X.CATEGORIES['hedge'] if h not in X.HEDGE_POS))}')) AS BIGINT) AS hedges FROM w WHERE len(w) > 0",
         "surprisal_stats": f"WITH {_NLL} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CASE WHEN count(*) > 1 THEN avg(nll) END AS mean_surprisal, CASE WHEN count(*) > 1 THEN exp(avg(nll)) END AS ppl, CASE WHEN count(*) > 1 THEN coalesce(stddev_samp(nll), 0.0) END AS std_surprisal, CASE WHEN count(*) > 1 THEN max(nll) END AS max_surprisal, CASE WHEN count(*) > 1 THEN quantile_cont(nll, 0.9) END AS p90_surprisal, CASE WHEN count(*) > 1 THEN quantile_cont(nll, 0.95) END AS p95_surprisal, CASE WHEN count(*) > 1 THEN avg(CASE WHEN nll > 10 THEN 1 ELSE 0 END) END AS frac_above FROM m GROUP BY doc_id",
         "perplexity_windows": f"WITH {_NLL}, p AS (SELECT doc_id, win, avg(nll) AS a, count(*) AS n FROM m GROUP BY ALL), q AS (SELECT doc_id, CASE WHEN sum(n) > 1 THEN exp(avg(a)) END AS perplexity, CAST(sum(n) AS BIGINT) AS n_tokens FROM p GROUP BY doc_id), s AS (SELECT doc_id, sent, exp(avg(nll)) AS e FROM m GROUP BY ALL HAVING count(*) > 1), b AS (SELECT doc_id, CASE WHEN count(*) > 1 THEN stddev_samp(e) END AS burstiness FROM s GROUP BY doc_id) SELECT q.doc_id, perplexity, n_tokens, burstiness FROM q LEFT JOIN b USING (doc_id)",
         "sliding_windows": "WITH w AS (SELECT doc_id, len(coalesce(regexp_extract_all(lower(text), '\\p{L}+'), [])) AS n FROM documents), k AS (SELECT doc_id, n, unnest(range(0, CAST(greatest(ceil((n - 128) / 64), 0) AS BIGINT) + 1)) AS k FROM w) SELECT doc_id, CAST(greatest(least(n - k * 64, 128), 0) AS INT) AS n, CAST(CASE WHEN k = 0 THEN least(n, 128) ELSE least(k * 64 + 128, n) - ((k - 1) * 64 + 128) END AS INT) AS fresh FROM k",
