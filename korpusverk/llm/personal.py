@@ -52,7 +52,7 @@ STREET_WORD = re.compile(rf"(?:{STREET}|[gv]\.)\s*(?:nr\.?\s*)?\d", re.I)
 STREET_SPAN = re.compile(
     rf"\b(?:(?:[Nn]orra|[Ss]ödra|[Öö]stra|[Vv]ästra|[Gg]amla|[Nn]ya|[Ss]tora|[Ll]illa|[Öö]vre|[Nn]edre|[A-ZÅÄÖ][\wéåäö]+)\s)?(?:[^\W\d_]{{2,}}(?i:{STREET})|(?<=[A-ZÅÄÖa-zåäö]\s)(?i:{STREET})|[^\W\d_]{{3,}}[gvGV]\.)\s*(?:[Nn][Rr]\.?\s*)?\d{{1,3}}(?:\s?[a-hA-H]\b)?(?!\d)"
 )
-NUMBER = re.compile(r"(?<![\w.:,-])(?:\+|\(?0)?\d[\d ()/.+–-]{5,22}\d(?![\w:])")
+NUMBER = re.compile(r"(?<![\w.,-])(?<!\d:)(?:\+|\(?0)?\d[\d ()/.+–-]{5,22}\d(?![\w:])")
 FIRST = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 CUED = re.compile(r"(?i:\bheter|\bhandläggaren|//|\bmvh|\bhälsningar|\benligt|\bprata med)\s*([A-ZÅÄÖ][a-zåäöéü]+(?:-[A-ZÅÄÖ][a-zåäö]+)?|[A-ZÅÄÖ]{4,})(?=[\s,.]|\Z)")
 #: Words after a cue that are no names.
