@@ -15,7 +15,7 @@ from korpusverk.operators import sampling as S
 from korpusverk.operators import scoring as J
 from korpusverk.operators import stats as A
 from korpusverk.plans import modelled
-from korpusverk.plans.runtime import table
+from korpusverk.plans.runtime import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,12 +36,12 @@ def r6(c, name: str):
 
 
 def docs(spark, d) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 def corpora(spark, d, conditions=P.CONDITIONS) -> DataFrame:
     """(register, row_id, condition, human, llm) of both corpora."""
-    parts = [P.long_texts(table(spark, d, name), reg, human, prefix, conditions) for reg, name, _, human, prefix in (P.FORMAL, P.INFORMAL)]
+    parts = [P.long_texts(spread(table(spark, d, name), "row_id"), reg, human, prefix, conditions) for reg, name, _, human, prefix in (P.FORMAL, P.INFORMAL)]
     return parts[0].unionByName(parts[1])
 
 
@@ -172,7 +172,7 @@ def normalize_formal(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def normalize_informal(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, P.INFORMAL[1]).filter("human_comment IS NOT NULL")
+    t = spread(table(spark, d, P.INFORMAL[1]), "row_id").filter("human_comment IS NOT NULL")
     c = F.col("human_comment")
     n = T.normalize_informal(c)
     return t.select("row_id", n.alias("text"), T.normalize_informal(c, True).alias("without_quotes"), T.artefacts(c).alias("artefact"), (n != c).alias("changed"), (n != F.trim(c)).alias("changed_in_substance"))
@@ -274,7 +274,7 @@ def candidate_filter(spark: SparkSession, d: str) -> DataFrame:
  HAVING count(*) >= 4 AND n_in_band >= 1 AND max(CASE WHEN regexp_matches(lower(coalesce(human_comment, '')), '{re2(T.BLOCKED + '|' + T.LINK + '|' + T.SENSITIVE)}') OR regexp_matches(lower(question), '{re2(T.BLOCKED + '|' + T.LINK + '|' + T.SENSITIVE)}') THEN 1 ELSE 0 END) = 0"""
 )
 def group_universal_filter(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, P.INFORMAL[1])
+    t = spread(table(spark, d, P.INFORMAL[1]), "row_id")
     return S.candidate_threads(t, "question", ["question", "human_comment"], "human_comment", [T.BLOCKED, T.LINK, T.SENSITIVE], 40, 600, 4, 400)
 
 

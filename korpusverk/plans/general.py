@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from korpusverk.operators.duplicates import collapse_duplicates, duplicate_members
 from korpusverk.operators.splits import assign_splits, link_groups, title_key
 from korpusverk.operators.skew import hot_keys
-from korpusverk.plans.runtime import cut, table
+from korpusverk.plans.runtime import cut, spread, table
 
 INFORMAL = "consolidated_informal_comments_adversarial"
 COPIED = ("question", "human_comment")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = duplicate_members(table(spark, sf_dir, INFORMAL), "row_id", COPIED)
+    members = duplicate_members(spread(table(spark, sf_dir, INFORMAL), "row_id"), "row_id", COPIED)
     return members.filter(F.col("row_id") != F.col("_first")).select(F.col("_first").alias("first_row_id"), "row_id")
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collapse_duplicates(table(spark, sf_dir, INFORMAL), "row_id", COPIED)
+    return collapse_duplicates(spread(table(spark, sf_dir, INFORMAL), "row_id"), "row_id", COPIED)
 
 
 def thesis_records(spark: SparkSession, sf_dir: str) -> DataFrame:

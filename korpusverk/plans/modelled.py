@@ -10,7 +10,7 @@ from korpusverk.operators import annotations as N
 from korpusverk.operators import features as X
 from korpusverk.operators import language_model as L
 from korpusverk.operators import pairing as P
-from korpusverk.plans.runtime import cut, table
+from korpusverk.plans.runtime import cut, spread, table
 from korpusverk.sources import files
 from korpusverk.streaming import events as V
 
@@ -47,7 +47,7 @@ def permutation_p(spark: SparkSession, d: str) -> DataFrame:
 
 def _feature_matrix(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     """One row per version of each thesis: the pair, 0 for the human side, and its features."""
-    wide = table(spark, d, P.FORMAL[1])
+    wide = spread(table(spark, d, P.FORMAL[1]), "row_id")
     pairs = P.complete(P.long_texts(wide, "formal", "Abstract", "Abstract_", ("baseline",)))
     stacked = _machine_learning().two_samples(pairs, "row_id", "human", "llm")
     f = X.feature_table(stacked, ["row_id", "label"], "value", "formal")
@@ -89,7 +89,7 @@ def matched_control(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _annotated(spark: SparkSession, d: str) -> DataFrame:
-    return N.from_tokens(table(spark, d, "documents"))
+    return N.from_tokens(spread(table(spark, d, "documents"), "doc_id"))
 
 
 def dep_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -121,22 +121,22 @@ def map_codec(spark: SparkSession, d: str) -> DataFrame:
     """Mark counts of each text as an encoded cell, decoded again and compared with the counts of the lower half of marks."""
     t = F.col("text")
     m = F.create_map(*[x for k, v in X.MARKS.items() for x in (F.lit(f"acl:{k}"), T.literal_count(t, v[0]))])
-    j = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", T.encode_map(m).alias("cell"))
+    j = spread(table(spark, d, "documents"), "doc_id").filter("text IS NOT NULL").select("doc_id", T.encode_map(m).alias("cell"))
     back = T.decode_map(F.col("cell"))
     return j.select("doc_id", "cell", F.size(back).alias("tags"), (T.encode_map(back) == F.col("cell")).alias("same"), F.size(T.decode_map(F.col("cell"), last=False)).alias("first_colon_tags"), T.token_cell_length(F.replace("cell", F.lit(" | "), F.lit(","))).alias("cells"), F.to_json(T.map_difference(back, back)).alias("difference"))
 
 
 def perplexity_windows(spark: SparkSession, d: str) -> DataFrame:
-    nll = cut(L.unigram_nll(table(spark, d, "documents"), "doc_id", "text"))
+    nll = cut(L.unigram_nll(spread(table(spark, d, "documents"), "doc_id"), "doc_id", "text"))
     return rounded(L.perplexity(nll).join(L.burstiness(nll), "doc_id", "left"))
 
 
 def surprisal_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(L.surprisal(L.unigram_nll(table(spark, d, "documents"), "doc_id", "text")))
+    return rounded(L.surprisal(L.unigram_nll(spread(table(spark, d, "documents"), "doc_id"), "doc_id", "text")))
 
 
 def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents").select("doc_id", F.explode(L.windows(T.alpha_tokens(F.col("text")), 128, 64)).alias("w"))
+    w = spread(table(spark, d, "documents"), "doc_id").select("doc_id", F.explode(L.windows(T.alpha_tokens(F.col("text")), 128, 64)).alias("w"))
     return w.select("doc_id", F.size("w.tokens").alias("n"), F.col("w.fresh").alias("fresh"))
 
 

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan in as many partitions as there are cores, if its files give fewer; large tables stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, F.col(key))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder of checkpoint(): the session's own setting wins.
 
