@@ -6,23 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpusverk.llm import languages, mixing, pairs, personal, quality, reading, stuffing, tokens
-from korpusverk.plans.runtime import table
+from korpusverk.plans.runtime import spread, table
 
 
 INFORMAL, FORMAL = "consolidated_informal_comments_adversarial", "sv_abstracts_adversarial"
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.personal_kinds(table(spark, sf_dir, INFORMAL), "row_id", "human_comment")
+    return personal.personal_kinds(spread(table(spark, sf_dir, INFORMAL), "row_id"), "row_id", "human_comment")
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.redact_texts(table(spark, sf_dir, INFORMAL), "row_id", "human_comment")
+    return personal.redact_texts(spread(table(spark, sf_dir, INFORMAL), "row_id"), "row_id", "human_comment")
 
 
 def p2_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = languages.fit(table(spark, sf_dir, "documents"), "text", "lang")
-    return reading.reading_levels(table(spark, sf_dir, FORMAL), "row_id", "Abstract", known)
+    known = languages.fit(spread(table(spark, sf_dir, "documents"), "doc_id"), "text", "lang")
+    return reading.reading_levels(spread(table(spark, sf_dir, FORMAL), "row_id"), "row_id", "Abstract", known)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,44 +38,44 @@ def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = languages.fit(table(spark, sf_dir, "documents"), "text", "lang")
-    informal = pairs.find_defects(table(spark, sf_dir, INFORMAL), "row_id", "question", "comment_detector_evasive", "informal", known)
-    formal = pairs.find_defects(table(spark, sf_dir, FORMAL), "row_id", "Title", "Abstract_detector_evasive", "formal", known, "Keywords")
+    known = languages.fit(spread(table(spark, sf_dir, "documents"), "doc_id"), "text", "lang")
+    informal = pairs.find_defects(spread(table(spark, sf_dir, INFORMAL), "row_id"), "row_id", "question", "comment_detector_evasive", "informal", known)
+    formal = pairs.find_defects(spread(table(spark, sf_dir, FORMAL), "row_id"), "row_id", "Title", "Abstract_detector_evasive", "formal", known, "Keywords")
     return informal.unionByName(formal)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.not_prose(table(spark, sf_dir, INFORMAL), "row_id", "human_comment")
+    return quality.not_prose(spread(table(spark, sf_dir, INFORMAL), "row_id"), "row_id", "human_comment")
 
 
 def p4_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.text_statistics(table(spark, sf_dir, INFORMAL), "row_id", "human_comment")
+    return quality.text_statistics(spread(table(spark, sf_dir, INFORMAL), "row_id"), "row_id", "human_comment")
 
 
 def p4_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics of every abstract, beside the stored character and word counts where there are any."""
     stored = table(spark, sf_dir, "textstat_formal").groupBy(F.col("doc_index").alias("row_id")).agg(F.max("char_count").alias("stored_chars"), F.max("word_count").alias("stored_words"))
-    return quality.text_statistics(table(spark, sf_dir, FORMAL), "row_id", "Abstract").join(stored, "row_id", "left")
+    return quality.text_statistics(spread(table(spark, sf_dir, FORMAL), "row_id"), "row_id", "Abstract").join(stored, "row_id", "left")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+    return tokens.encode_corpus(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mixing.mix(spread(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "mix_targets"))[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return mixing.mix(spread(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "mix_targets"))[1]
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffing.spam_pages(table(spark, sf_dir, "documents"))
+    return stuffing.spam_pages(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def p9_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffing.page_features(table(spark, sf_dir, "documents"))
+    return stuffing.page_features(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def queries() -> dict:
