@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from korpusverk.plans.runtime import null_safe_join
+from korpusverk.plans.runtime import cut, null_safe_join
 
 Z95 = 1.959963984540054
 
@@ -58,26 +58,28 @@ def paired_tests(pairs: DataFrame, keys: Sequence[str], human: str = "human", ll
     """
     d = pairs.select(*keys, F.col(human).cast("double").alias("h"), F.col(llm).cast("double").alias("l")).filter("h IS NOT NULL AND l IS NOT NULL AND NOT isnan(h) AND NOT isnan(l)")
     d = d.withColumn("d", F.round(F.col("l") - F.col("h"), 12))
-    basic = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("_m"), F.stddev_samp("d").alias("_s"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v"), up.alias("up")) for k, v, up in (("h", F.col("h"), F.lit(0)), ("l", F.col("l"), F.lit(0)), ("d", F.abs("d"), (F.col("d") > 0).cast("int")))])
     values = d.select(*keys, F.explode(kinds).alias("x")).select(*keys, "x.*").filter("kind <> 'd' OR v <> 0")
-    cells = values.groupBy(*keys, "kind", "v").agg(F.count(F.lit(1)).alias("t"), F.sum("up").alias("up"))
-    ranked = cumulate(cells, [*keys, "kind"], "v", ["t"])
-    ranked = null_safe_join(ranked, basic.select(*keys, F.col("n_pairs").alias("_all")), keys)
+    cells = cut(values.groupBy(*keys, "kind", "v").agg(F.count(F.lit(1)).alias("t"), F.sum("up").alias("up")))  # read three times below
+    totals = cells.filter("kind = 'h'").groupBy(*keys).agg(F.sum("t").alias("_all"))
+    ranked = null_safe_join(cumulate(cells, [*keys, "kind"], "v", ["t"]), totals, keys)
     middle = lambda k, at: F.max(F.when((F.col("kind") == k) & (F.col("below_t") <= at) & (F.col("below_t") + F.col("t") > at), F.col("v")))
     low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
     signed, rank = F.col("kind") == "d", F.col("below_t") + (F.col("t") + 1) / 2.0
-    sums = ranked.groupBy(*keys).agg(
-        ((middle("h", low) + middle("h", high)) / 2).alias("median_human"), ((middle("l", low) + middle("l", high)) / 2).alias("median_llm"),
+    out = ranked.groupBy(*keys).agg(
+        F.max("_all").alias("n_pairs"), ((middle("h", low) + middle("h", high)) / 2).alias("median_human"), ((middle("l", low) + middle("l", high)) / 2).alias("median_llm"),
         F.sum(F.when(signed, rank * F.col("up"))).alias("w_up"), F.sum(F.when(signed, rank * (F.col("t") - F.col("up")))).alias("w_down"),
-        F.sum(F.when(signed, F.col("t"))).alias("_n"), F.sum(F.when(signed, F.pow("t", F.lit(3)) - F.col("t"))).alias("_ties"))
-    out = null_safe_join(basic, sums, keys).filter("n_pairs >= 3")
+        F.sum(F.when(signed, F.col("v") * (2 * F.col("up") - F.col("t")))).alias("_d"), F.sum(F.when(signed, F.col("v") * F.col("v") * F.col("t"))).alias("_dd"), F.sum(F.when(signed, F.col("t"))).alias("_n"), F.sum(F.when(signed, F.pow("t", F.lit(3)) - F.col("t"))).alias("_ties"))
+    out = out.filter("n_pairs >= 3")
+    mean = F.col("_d") / F.col("n_pairs")
+    spread = (F.col("_dd") - F.col("_d") * mean) / (F.col("n_pairs") - 1)
+    sd = F.when(spread > 1e-13 * F.col("_dd") / F.col("n_pairs"), F.sqrt(spread))  # what rounding leaves of equal differences is no spread
     n, stat = F.col("_n").cast("double"), F.least("w_up", "w_down")
     z = (stat - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
     p = normal_p(z) if exact_p else erfc_approx(F.abs(z) / math.sqrt(2))
     return out.select(
         *keys, "n_pairs", "median_human", "median_llm", F.when(F.col("median_llm") > F.col("median_human"), "llm > human").when(F.col("median_llm") < F.col("median_human"), "llm < human").otherwise("equal").alias("direction"),
-        F.when(F.col("_n").isNull(), F.lit(0.0)).when(F.col("_s") > 0, F.col("_m") / F.col("_s")).alias("cohens_dz"),
+        F.when(F.col("_n").isNull(), F.lit(0.0)).otherwise(mean / sd).alias("cohens_dz"),
         F.coalesce((F.col("w_up") - F.col("w_down")) / (F.col("w_up") + F.col("w_down")), F.lit(0.0)).alias("rank_biserial"),
         F.coalesce(stat, F.lit(0.0)).alias("wilcoxon_stat"), F.when(F.col("_n").isNull(), F.lit(1.0)).otherwise(p).alias("p_value"))
 
