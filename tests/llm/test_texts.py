@@ -207,6 +207,14 @@ def test_defects(spark, known):
     assert got.get(300) is None and got[301] == "empty" and not set(got) & set(range(80))
 
 
+def test_ends_are_counted_in_all_answers(spark, known):
+    """Six sentences among 60,000 answers tell that an answer may end so; a sample of them has too few."""
+    rows = spark.range(60_000).select("id", F.lit(QUESTION).alias("q"), F.when(F.col("id") % 10_000 == 7, "Kolla gärna vinterdäcken. Det är bra.").otherwise("Det är bra.").alias("a"))
+    asked = spark.createDataFrame([(70_000, QUESTION, "Det är bra. Kolla gärna vinterdäcken"), (70_001, QUESTION, "Det är bra. Kolla gärna")], rows.schema)
+    got = pairs.find_defects(rows.unionAll(asked), "id", "q", "a", "informal", known).collect()
+    assert [(r["id"], r["defect"]) for r in got] == [(70_001, "truncated")]
+
+
 def test_copied_titles_and_keywords():
     title, keys = "Vägar till samverkan: En studie av lärare", "tillit; kontroll"
     assert pairs.is_copy(title, keys, "vägar till samverkan - en studie av lärare. Nyckelord: tillit, kontroll")
