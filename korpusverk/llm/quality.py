@@ -93,6 +93,16 @@ def describe(text: str | None) -> tuple:
     )
 
 
+def repetitive(s: dict) -> bool:
+    """Mostly repeated lines or paragraphs, one phrase over and over, or few words for the length (2,000 different ones are enough at any length)."""
+    words = s["word_count"]
+    return words >= 8 and (
+        (s["line_count"] >= 4 and s["duplicate_line_share"] > 0.5) or s["duplicate_paragraph_share"] > 0.5
+        or max(s["top_bigram_share"], s["top_trigram_share"], s["top_fourgram_share"]) > 0.6
+        or s["distinct_word_share"] * words <= min(0.1 * words, 2000)
+    )
+
+
 def meaningless(s: dict) -> bool:
     """Symbols, runs of one character, one word over and over, encoded bytes, garbled or machine markup, random letters."""
     n, words = s["char_count"], s["word_count"]
@@ -114,8 +124,11 @@ def kind(s: dict) -> str:
         return "junk"
     listed = s["line_count"] >= 3 and s["marked_line_share"] > 0.5 and s["marked_char_share"] > 0.6
     plain = s["line_count"] >= 4 and max(s["short_line_share"], s["marked_line_share"]) > 0.6 and max(s["short_char_share"], s["marked_char_share"]) > 0.6
-    if listed or plain:
+    again = repetitive(s)
+    if (listed or plain) and not (again and s["duplicate_line_share"] > 0.8):  # lists name things twice
         return "list"
+    if again:
+        return "junk"
     return "short" if s["word_count"] < 4 else "prose"
 
 

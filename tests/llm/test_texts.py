@@ -122,6 +122,15 @@ def test_kinds(spark):
     assert [(KINDS[r["id"]][1], r["want"], r["kind"]) for r in got if r["want"] != r["kind"]] == []
 
 
+def test_repetition_is_junk(spark):
+    sentence = "Vår butik i hamnen har öppet alla dagar hela sommaren för dig som vill handla fisk. "
+    rows = ["köp billiga skor nu " * 200, (PROSE.replace(". ", ".\n") + "\n") * 20, (PROSE + "\n\n") * 3, sentence * 30]
+    assert quality.kind(dict(zip(quality.STATS, (*quality.describe("Att göra\nStekpannan\nStekpannan\nKryddningen\nEtt lugnare pass\nKryddningen\nEtt lugnare pass\nStekpannan"), -1.5)))) == "list"
+    fine = [PROSE + " " + PROSE, PROSE + "\n" + PROSE.replace("hundar", "katter"), " ".join(f"Mening nummer {'abcdefghij'[i % 10] * 3}{'klmnopqrst'[i // 10] * 2} handlar om något." for i in range(60))]
+    got = quality.text_statistics(spark.createDataFrame([*enumerate(rows + fine)], "id bigint, t string"), "id", "t").collect()
+    assert [r["kind"] for r in sorted(got, key=lambda r: r["id"])] == ["junk"] * len(rows) + ["prose"] * len(fine)
+
+
 def test_statistics_by_hand(spark):
     t = "ett två ett två ett två\nett två ett två ett två\n\nslut."
     r = quality.text_statistics(spark.createDataFrame([(1, t)], "id bigint, t string"), "id", "t").first()
