@@ -39,11 +39,17 @@ def sentiment(label: Column, positive: Column, negative: Column, neutral: Column
     return {"signed_polarity": F.round(positive - negative, 6), "affective_extremity": F.round(1 - neutral, 6), "is_subjective": (label != "neutral").cast("int")}
 
 
-def unigram_nll(docs: DataFrame, id_col: str, text_col: str, window: int = 1024) -> DataFrame:
-    """Token negative log-likelihoods under the corpus's own unigram model with add-one smoothing, for texts that no model has scored."""
-    sents = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"(?<=[.!?])\s+")).alias("sent", "s"))
-    toks = sents.select("doc_id", "sent", F.posexplode(F.regexp_extract_all(F.lower("s"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("i", "w"))
+def unigram_nll(docs: DataFrame, id_col: str, text_col: str, window: int = 1024, stride: int = 512) -> DataFrame:
+    """Token negative log-likelihoods under the corpus's own unigram model with add-one smoothing, for texts that no model has scored.
+
+    window: the sliding window of the whole document in which the token is new, as in windows(); i counts within the sentence.
+    """
+    sents = F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"(?<=[.!?])\s+")
+    words = lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"(\p{L}+)"), F.lit(1))
+    listed = F.flatten(F.transform(sents, lambda s, k: F.transform(words(s), lambda w, i: F.struct(k.alias("sent"), i.alias("i"), w.alias("w")))))
+    toks = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(listed).alias("at", "x")).select("doc_id", "at", "x.*")
     counts = toks.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("v"))
     scored = counts.join(F.broadcast(total)).select("w", (-F.log((F.col("n") + 1) / (F.col("t") + F.col("v")))).alias("nll"))
-    return toks.join(scored, "w").select("doc_id", "sent", F.floor(F.col("i") / window).alias("window"), "i", "nll")
+    fresh = F.greatest(F.floor((F.col("at") - window) / stride) + 1, F.lit(0))
+    return toks.join(scored, "w").select("doc_id", "sent", fresh.alias("window"), "i", "nll")

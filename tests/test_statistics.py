@@ -121,6 +121,16 @@ def test_language_model_measures(spark):
     assert [x["fresh"] for x in w] == [4, 2, 2, 2]
 
 
+def test_windows_run_through_the_whole_document(spark):
+    docs = spark.createDataFrame([(1, "Ett två tre. " * 600), (2, "Ett två. Tre fyra fem."), (3, None), (4, "ett " * 1025)], "doc_id bigint, text string")
+    nll = L.unigram_nll(docs, "doc_id", "text")
+    got = {(r["doc_id"], r["window"]): r["count"] for r in nll.groupBy("doc_id", "window").count().collect()}
+    assert got == {(1, 0): 1024, (1, 1): 512, (1, 2): 264, (2, 0): 5, (4, 0): 1024, (4, 1): 1}
+    fresh = docs.filter("doc_id = 1").select(F.explode(L.windows(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)))).alias("w")).select("w.fresh").collect()
+    assert [r["fresh"] for r in fresh] == [1024, 512, 264]
+    assert {(r["sent"], r["i"]) for r in nll.filter("doc_id = 2").collect()} == {(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)}
+
+
 def test_queries_agree_with_their_sql(spark, sf):
     """A sample of the catalogue on the smallest tables; the rest runs the same way at larger scales."""
     import glob
