@@ -119,7 +119,7 @@ def features(text: str, s: Span, case: str) -> list[str]:
         out += ["short"] if short else ["long"]
         out += ["cue"] * cue + ["short+cue"] * (bool(short) and cue) + ["capital"] * s.text[0].isupper() + ["short+lower"] * (bool(short) and not s.text[0].isupper() and not cue)
         out += ["bare"] * bool(re.match(rf"(?:\w+\s)?{STREET}\s", s.text, re.I) and not re.match(rf"\w{{2,}}{STREET}", s.text, re.I)) + ["förväg"] * ("förväg" in s.text.lower())
-    elif s.kind in ("name", "cued"):
+    elif s.kind in ("name", "cued", "mention"):
         word = s.text.lower()
         base = word if word in NAMES else word[:-1] if word.endswith("s") and word[:-1] in NAMES else word
         every = base in EVERYDAY
@@ -135,7 +135,10 @@ def features(text: str, s: Span, case: str) -> list[str]:
         out += ["surname"] * surname + ["initial"] * initial + ["before"] * before + ["after"] * after + ["article"] * article + ["genitive"] * (word != base) + ["every+article"] * (every and article)
         out += ["every+plain"] * (every and r1 in PLAIN_AFTER and not surname) + ["every+before"] * (every and before and not article) + ["every+surname"] * (every and (surname or initial)) + ["every+genitive"] * (every and word != base)
         out += ["alone"] * (r1 in ("$", "\n") and (first or before)) + ["every+som"] * (every and r1 == "som" and l1 == "var") + ["nothing"] * (word in NO_NAMES)
-        out += ["place"] * (l1 in ("i", "från", "mot")) + ["unknown"] * (base not in NAMES) + ["unknown+surname"] * (base not in NAMES and surname)
+        out += ["place"] * (l1 in ("i", "från", "mot"))
+        if s.kind == "mention":  # whether the form is a name comes over the skip edge, the learnt context decides on the rest
+            return out[1:]
+        out += ["unknown"] * (base not in NAMES) + ["unknown+surname"] * (base not in NAMES and surname)
     return out
 
 
@@ -170,6 +173,10 @@ def spans(text: str, doc: int = 0) -> list[Span]:
             taken.append(c)
     if not taken:
         return found
+    forms = {text[a:b].lower().rstrip("s") for a, b, kind in taken if kind == "cued" and text[a:b].lower() not in BEFORE}
+    if forms:  # other mentions of names that only a cue shows
+        again = ((m.start(), m.end()) for m in FIRST.finditer(text) if m.group().lower().rstrip("s") in forms)
+        taken += [(a, b, "mention") for a, b in again if all(b <= x or y <= a for x, y, _ in taken)]
     letters = [c for c in text if c.isalpha()]
     upper = sum(map(str.isupper, letters))
     case = "upper" if upper > 0.9 * len(letters) else "mixed" if upper else "lower"
@@ -285,7 +292,7 @@ def confirmed(s: Span, label: str) -> bool:
         return s.kind == "mail"
     if label == "address":
         return s.kind == "street"
-    return s.kind in ("name", "cued")
+    return s.kind in ("name", "cued", "mention")
 
 
 def find(texts: list[str], model: Crf) -> list[list[tuple[int, int, str]]]:

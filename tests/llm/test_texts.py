@@ -269,6 +269,12 @@ def test_skip_links_carry_a_name(spark):
     assert got == "Handläggaren [NAMN] svarade aldrig. Vi väntade länge på besked i flera veckor. [NAMN] sa sedan nej."
 
 
+def test_mentions_of_a_name_that_only_a_cue_shows():
+    texts = ["Hon heter Tuulikki. Sen kom tuulikkis bror och TUULIKKI själv hem. Vi såg Tuulikki sen.", "Handläggaren Dag Ekström svarade. En dag och natt gick. I dag är det bra."]
+    got = [personal.redact(t, f) for t, f in zip(texts, personal.find(texts, personal.train()))]
+    assert got == ["Hon heter [NAMN]. Sen kom [NAMN] bror och [NAMN] själv hem. Vi såg [NAMN] sen.", "Handläggaren [NAMN] svarade. En dag och natt gick. I dag är det bra."]
+
+
 def test_personal_of_odd_rows(odd, empty):
     got = {r["id"]: r for r in personal.redact_texts(odd, "id", "t").collect()}
     assert got[1]["redacted"] is None and got[2]["redacted"] == "" and got[4]["redacted"] == PROSE and list(got[1]["kinds"]) == []
