@@ -144,11 +144,10 @@ def features(text: str, s: Span, case: str) -> list[str]:
 
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     low = text.lower()
-    if "@" in text or "snabel" in low or "(at)" in low or "[at]" in low or "{at}" in low or "&#64;" in low:
+    if "@" in text or "snabel" in low or "(at)" in low or "[at]" in low or "{at}" in low or "(a)" in low or "&#64;" in low:
         yield from ((m.start(), m.end(), "mail") for m in MAIL.finditer(text))
         yield from ((m.start(), m.end(), "handle") for m in HANDLE.finditer(text))
-    if "noll" in low or " sju " in low:
-        yield from ((m.start(), m.end(), "spelled") for m in SPELLED.finditer(text))
+    yield from ((m.start(), m.end(), "spelled") for m in SPELLED.finditer(text))
     if any(map(str.isdigit, text)):
         if STREET_WORD.search(text):
             yield from ((m.start(), m.end(), "street") for m in STREET_SPAN.finditer(text))

@@ -269,6 +269,11 @@ def test_skip_links_carry_a_name(spark):
     assert got == "Handläggaren [NAMN] svarade aldrig. Vi väntade länge på besked i flera veckor. [NAMN] sa sedan nej."
 
 
+def test_spellings_that_the_patterns_take_are_searched():
+    texts = ["skriv till kalle(a)example.se", "Ring plus fyra sex åtta fyra fem ett två tre", "Ring sju-sju-ett-två-tre-fyra-fem", "Ring fyra, fem, ett, två, tre, sex, åtta"]
+    assert [[k for *_, k in f] for f in personal.find(texts, personal.train())] == [["email"], ["phone"], ["phone"], ["phone"]]
+
+
 def test_mentions_of_a_name_that_only_a_cue_shows():
     texts = ["Hon heter Tuulikki. Sen kom tuulikkis bror och TUULIKKI själv hem. Vi såg Tuulikki sen.", "Handläggaren Dag Ekström svarade. En dag och natt gick. I dag är det bra."]
     got = [personal.redact(t, f) for t, f in zip(texts, personal.find(texts, personal.train()))]
