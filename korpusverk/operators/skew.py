@@ -22,6 +22,21 @@ def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(key)
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """left joined (inner or left) to right, which has one row or a few per key.
+
+    Hot keys of left are counted exactly; what right has for them is broadcast (at most HOT_SHARE keys), and all other rows go through one shuffle,
+    so a key with a third of all rows stays in the tasks it is read in.
+    """
+    hot = [r[0] for r in hot_keys(left.filter(F.col(key).isNotNull()), key, left.count() if rows is None else rows).collect()]  # at most HOT_SHARE values
+    if not hot:
+        return left.join(right, key, how)
+    named = left.sparkSession.createDataFrame([(h,) for h in hot], left.select(key).schema)
+    few = F.broadcast(right.join(F.broadcast(named), key, "left_semi"))
+    warm = left.join(F.broadcast(named), key, "left_semi").join(few, key, how)
+    return warm.unionByName(left.join(F.broadcast(named), key, "left_anti").join(right, key, how))
+
+
 def prefix_rank(df: DataFrame, group: list[str], order: Column, tie: str, weight: Column | None = None, per_bucket: int = 50_000, rows: int | None = None) -> DataFrame:
     """Adds _before: the weight (or the number of rows) of the group's rows that come earlier in the order.
 
