@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusverk.llm import languages, mixing, pairs, personal, quality, reading, stuffing, tokens
+from korpusverk.llm import grouping, languages, mixing, pairs, personal, quality, reading, stuffing, tokens
 from korpusverk.plans.runtime import spread, table
 
 
@@ -79,8 +79,8 @@ def p9_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_levels": p2_levels, "p2_profile": p2_profile, "p3_found": p3_found, "p4_found": p4_found, "p4_comments": p4_comments, "p4_abstracts": p4_abstracts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_features": p9_features}
+    return grouping.queries() | {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_levels": p2_levels, "p2_profile": p2_profile, "p3_found": p3_found, "p4_found": p4_found, "p4_comments": p4_comments, "p4_abstracts": p4_abstracts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_features": p9_features}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return grouping.oracle_sql()
