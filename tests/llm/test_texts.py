@@ -160,13 +160,27 @@ def test_spam_pages(spark):
     assert got == {1001, 1002, 1003, 1004}
 
 
-def test_sketch_is_close_to_the_counts():
-    words = [f"w{i % 50}" for i in range(5000)]
-    counts = stuffing.sketch_counts([[" ".join(words)]])
-    h, pairs_, offsets = stuffing.hashed([["w1", "w2", "w3"]])
-    singles, doubles = np.split(counts, [stuffing.DEPTH << stuffing.WORDS_BITS])
-    assert stuffing.estimate(singles, h, stuffing.WORDS_BITS) == pytest.approx([100, 100, 100], abs=1)
-    assert stuffing.estimate(doubles, pairs_[:2], stuffing.PAIRS_BITS) == pytest.approx([100, 100], abs=1)
+def test_measures_by_hand(spark):
+    """Counts of the corpus against plain counters; a page's own pairs are left out."""
+    from collections import Counter
+
+    texts = ["en hund och en katt", "en hund sover", "12 hundar och 7 katter http://a.example/x", "", None, "en hund och en katt"]
+    counts = stuffing.count_corpus(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    words = [stuffing.words_of(t) for t in texts if t]
+    assert words[2] == ["0", "hundar", "och", "0", "katter", "<"]
+    single, double = Counter(w for ws in words for w in ws), Counter(p for ws in words for p in zip(ws, ws[1:]))
+    assert counts[0] == sum(single.values()) and counts[1] == sum(double.values()) and sorted(counts[5]) == sorted(n for n in double.values() if n > 1)
+    pmi, excess = stuffing.measures([["en", "hund", "flyger"]], counts)
+    assert pmi[0] == pytest.approx(np.log((double["en", "hund"] - 1) * counts[0] / single["en"] / single["hund"]) / 2) and excess[0] == 0
+    pmi, excess = stuffing.measures([[], ["rea"], ["rea"] * 5], counts)
+    assert pmi.tolist() == [0, 0, 0] and excess.tolist() == pytest.approx([0, 0, np.log(counts[1] / 4)])
+
+
+def test_mutual_information_decides_the_pages(spark):
+    """Without it (excess and mean_pmi at the corpus's middle) no page is found, so all true pages come through the named method."""
+    rows = [(i, PROSE) for i in range(30)] + [(100 + i, " ".join(["billig matta"] * 20)) for i in range(3)]
+    pages = stuffing.page_features(spark.createDataFrame(rows, "id bigint, t string"), "id", "t").toPandas()
+    assert (pages[pages.id >= 100].score > stuffing.WHOLE).all() and (pages[pages.id < 100].score.abs() < stuffing.LOOSE).all()
 
 
 def test_pages_of_odd_rows(odd, empty):
