@@ -41,13 +41,13 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def count_table(df: DataFrame, columns: list[str], size: int, of: Callable[[list[list[str]]], np.ndarray]) -> np.ndarray:
-    """Sums over all rows of the counts that of(list of the batch's columns) gives; size is fixed, so what reaches the driver is bounded."""
+def count_table(df: DataFrame, columns: list[str], size: int, of: Callable, lists: bool = True) -> np.ndarray:
+    """Sums over all rows of the counts that of gives for the batch, or for lists of its columns' texts; size is fixed, so what reaches the driver is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.float64)
         for batch in batches:
-            total += of([[x or "" for x in c.to_pylist()] for c in batch.columns])
+            total += of([[x or "" for x in c.to_pylist()] for c in batch.columns] if lists else batch)
         some = np.flatnonzero(total)
         for at in range(0, len(some), 50_000):
             part = some[at : at + 50_000]

@@ -202,6 +202,46 @@ def test_reading_levels(spark, known):
     assert {got[i] for i in range(60)} == {"ordinary"}
 
 
+def simulated(spark, n=400, seed=4):
+    """Documents drawn from the model itself: levels, difficulties of 60 words of all lengths, sentence lengths by the same model."""
+    rng = np.random.default_rng(seed)
+    words = [c * k for k in range(1, 13) for c in "abcde"]
+    hard = np.array([0.25 * (len(w) - 6) for w in words])
+    theta, tau = rng.normal(0, 1, n), rng.normal(0, 1, n)
+    rows = []
+    for i in range(n):
+        p = np.exp(theta[i] * hard)
+        text = []
+        for _ in range(12):
+            k = 1
+            while k < 30 and rng.random() < 1 / (1 + np.exp(-1.0 - tau[i])):
+                k += 1
+            text.append(list(rng.choice(words, k, p=p / p.sum())))
+        rows.append((i, [pairs for s in text for pairs in s], [len(s) for s in text]))
+    coded = [(i, reading.codes_of([w])[0].tolist(), s) for i, w, s in rows]
+    return spark.createDataFrame(coded, "id bigint, codes array<bigint>, sentences array<int>"), theta, tau
+
+
+def test_levels_and_difficulties_come_back(spark):
+    """Levels and difficulties of simulated documents are recovered, and the rounds raise the likelihood's fit over the length prior."""
+    texts, theta, tau = simulated(spark)
+    words, stops = reading.fit(texts)
+    rows = sorted(texts.collect(), key=lambda r: r["id"])
+    items = reading.items_of(np.array([c for r in rows for c in r["codes"]], np.int64), words.known)
+    offsets = np.concatenate([[0], np.cumsum([len(r["codes"]) for r in rows])])
+    reach, on = reading.steps(np.array([x for r in rows for x in r["sentences"]]), np.concatenate([[0], np.cumsum([12] * len(rows))]))
+    assert np.corrcoef(words.levels(items, offsets), theta)[0, 1] > 0.9 and np.corrcoef(reading.sentence_levels(reach, on, stops), tau)[0, 1] > 0.9
+    at = words.levels(items, offsets)
+    expected = np.interp(at, reading.LEVELS, words.mean) * np.diff(offsets) + at
+    assert expected == pytest.approx(letters.segment_sums(words.difficulty[items], offsets), abs=0.05)
+
+
+def test_rare_words_share_a_difficulty_and_codes_hold_the_length():
+    codes, offsets = reading.codes_of([["hund", "hund"], [], ["å" * 40]])
+    assert offsets.tolist() == [0, 2, 2, 3] and codes[0] == codes[1] and (codes & reading.LONGEST).tolist() == [4, 4, 31]
+    assert reading.items_of(codes, codes[:1]).tolist() == [0, 0, 1 + 31] and reading.items_of(codes, codes[:0]).tolist() == [4, 4, 31]
+
+
 def test_sentences_and_short_forms():
     assert reading.sentence_count(reading.body("Det gäller bl.a. hundar, t.ex. taxar. Slut!\n\nNyckelord: a. b.")) == 2
 
