@@ -1,7 +1,8 @@
 """Per-document text quality statistics, and which texts are lists, tables or junk rather than prose.
 
-Method: plain shares and means, repetition statistics (duplicate lines and paragraphs, characters covered by the dominant 2-, 3- and
-4-grams), and combined rules over them; how word-like the letters are comes from trigram counts over the whole corpus.
+Method: plain shares and means, and repetition statistics at every level: runs of a character, characters covered by the dominant 2-, 3- and
+4-grams, duplicate lines and paragraphs, and lines that repeat the shape of another line (its mark or its columns). Combined rules separate lists and tables (repeated
+shapes), boilerplate (repeated lines, paragraphs or phrases) and junk from prose; how word-like the letters are comes from trigram counts over the whole corpus.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ ODD = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}|^[bcdfghjklmnpqrstvwxz]{3,}$")
 COMMON = frozenset("och i att det som en på är av för med till den har de inte om ett men var jag sig från vi så kan när man nu ska du han hon eller mycket vid detta där här även efter mot vad mig min sin bara skulle sedan".split())
 STATS = (
     "char_count", "word_count", "mean_word_length", "symbol_ratio", "digit_ratio", "line_count", "ended_line_share", "common_word_share", "marked_line_share", "short_line_share",
-    "table_line_share", "duplicate_line_share", "duplicate_paragraph_share", "top_bigram_share", "top_trigram_share", "top_fourgram_share", "longest_run_share", "longest_word", "distinct_word_share",
+    "table_line_share", "repeated_shape_share", "duplicate_line_share", "duplicate_paragraph_share", "top_bigram_share", "top_trigram_share", "top_fourgram_share", "longest_run_share", "longest_word", "distinct_word_share",
     "odd_word_share", "marked_char_share", "short_char_share", "markup_share", "garbled_share", "letter_score",
 )
 
 
 def table_rows(lines: list[str]) -> int:
-    """Lines that are rows of the same table: at least two columns under one separator, most other cells numbers or fillers."""
+    """Lines that repeat the column shape of another: at least two columns under one separator, most other cells numbers or fillers."""
     best = 0
     for mark, cut in SEPARATORS:
         rows = [[c for c in cut.split(x.strip().strip("|").strip())] for x in lines if mark in x.strip()]
@@ -49,11 +50,25 @@ def table_rows(lines: list[str]) -> int:
         cells = sum(len(r) - 1 for r in rows)
         usual = Counter(len(r) for r in rows).most_common(1)[0][0]
         alike = sum(1 for r in rows if abs(len(r) - usual) <= (mark == "  "))  # a wide cell may touch the next column
-        if values >= 0.6 * cells and alike >= 0.7 * len(rows):
+        if alike >= 2 and values >= 0.6 * cells and alike >= 0.7 * len(rows):
             best = max(best, len(rows))
     return best
 
 
+def item_shape(line: str) -> str:
+    """How the line begins: * for any bullet, 0 for a number, a for a letter, x for a box; short for a few words without a final mark; else nothing."""
+    m = MARK.match(line)
+    if m:
+        mark = m.group().strip()
+        return "x" if mark[0] in "[☐☑✓✔" else "0" if mark[0].isdigit() else "a" if mark[0].isalpha() and len(mark) > 1 else "*"
+    return "short" if not ENDED.search(line) and 0 < len(WORD.findall(line)) <= 5 and not SENTENCE.search(line) else ""
+
+
+def repeated_shapes(shapes: list[str]) -> int:
+    """Items whose shape another line has too."""
+    return sum(k for shape, k in Counter(shapes).items() if shape and k > 1)
+
+
 def dominant(words: list[str], n: int, chars: int) -> float:
     if len(words) < 2 * n:
         return 0.0
@@ -79,12 +94,13 @@ def describe(text: str | None) -> tuple:
     digits = sum(c.isdigit() for c in solid)
     lines = [x for x in body.split("\n") if x.strip()]
     paragraphs = [x.strip() for x in re.split(r"\n\s*\n", low) if x.strip()]
-    marked = [x for x in lines if MARK.match(x)]
+    shapes = [item_shape(x) for x in lines]
+    marked = [x for x, k in zip(lines, shapes) if k and k != "short"]
     short = [x for x in lines if not ENDED.search(x) and 0 < len(WORD.findall(x)) <= 5 and not SENTENCE.search(x)]
     n, size = len(lines), sum(map(len, lines))
     return (
         len(t), float(len(words)), letters / len(words) if words else 0.0, (len(solid) - letters - digits) / len(solid), digits / len(solid), float(n),
-        sum(1 for x in lines if ENDED.search(x)) / n, sum(w in COMMON for w in words) / len(words) if words else 0.0, len(marked) / n, len(short) / n, table_rows(lines) / n,
+        sum(1 for x in lines if ENDED.search(x)) / n, sum(w in COMMON for w in words) / len(words) if words else 0.0, len(marked) / n, len(short) / n, table_rows(lines) / n, repeated_shapes(shapes) / n,
         1 - len({x.strip().lower() for x in lines}) / n, 1 - len(set(paragraphs)) / len(paragraphs), dominant(words, 2, len(body)), dominant(words, 3, len(body)), dominant(words, 4, len(body)),
         longest_run(body) / len(solid), float(max(map(len, body.split()))), len(set(words)) / len(words) if words else 0.0,
         sum(1 for w in words if ODD.search(w)) / len(words) if words else 0.0, sum(map(len, marked)) / size, sum(map(len, short)) / size,
@@ -115,23 +131,27 @@ def meaningless(s: dict) -> bool:
 
 
 def kind(s: dict) -> str:
-    """blank, junk, table, list, short or prose."""
+    """blank, junk, table, list, boilerplate, short or prose."""
     if not s["word_count"] and s["symbol_ratio"] + s["digit_ratio"] == 0:
         return "blank"
     if s["table_line_share"] > 0.5 and s["line_count"] >= 2:
         return "table"
     if meaningless(s):
         return "junk"
-    listed = s["line_count"] >= 3 and s["marked_line_share"] > 0.5 and s["marked_char_share"] > 0.6
-    plain = s["line_count"] >= 4 and max(s["short_line_share"], s["marked_line_share"]) > 0.6 and max(s["short_char_share"], s["marked_char_share"]) > 0.6
-    again = repetitive(s)
-    if (listed or plain) and not (again and s["duplicate_line_share"] > 0.8):  # lists name things twice
+    if s["line_count"] >= 3 and s["repeated_shape_share"] > 0.5 and itemised(s) and not (repetitive(s) and s["duplicate_line_share"] > 0.8):  # lists name things twice
         return "list"
-    if again:
-        return "junk"
+    if repetitive(s):
+        return "boilerplate"
     return "short" if s["word_count"] < 4 else "prose"
 
 
+def itemised(s: dict) -> bool:
+    """Items are most of the lines and of the characters."""
+    listed = s["marked_line_share"] > 0.5 and s["marked_char_share"] > 0.6
+    plain = s["line_count"] >= 4 and max(s["short_line_share"], s["marked_line_share"]) > 0.6 and max(s["short_char_share"], s["marked_char_share"]) > 0.6
+    return listed or plain
+
+
 def text_statistics(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
     """One row per row of df: id, keep, the statistics of the whole text and its kind.
 
@@ -162,5 +182,6 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str, *keep: str) -> Da
 
 
 def not_prose(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, kind) of the lists, tables and junk."""
-    return text_statistics(df, id_col, text_col).filter(F.col("kind").isin("list", "table", "junk")).select(id_col, "kind")
+    """(id, kind) of the lists, tables and junk; boilerplate says nothing of its own and counts as junk."""
+    kinds = text_statistics(df, id_col, text_col).select(id_col, F.when(F.col("kind") == "boilerplate", "junk").otherwise(F.col("kind")).alias("kind"))
+    return kinds.filter(F.col("kind").isin("list", "table", "junk"))

@@ -122,13 +122,22 @@ def test_kinds(spark):
     assert [(KINDS[r["id"]][1], r["want"], r["kind"]) for r in got if r["want"] != r["kind"]] == []
 
 
-def test_repetition_is_junk(spark):
+def test_repetition_is_boilerplate(spark):
     sentence = "Vår butik i hamnen har öppet alla dagar hela sommaren för dig som vill handla fisk. "
     rows = ["köp billiga skor nu " * 200, (PROSE.replace(". ", ".\n") + "\n") * 20, (PROSE + "\n\n") * 3, sentence * 30]
     assert quality.kind(dict(zip(quality.STATS, (*quality.describe("Att göra\nStekpannan\nStekpannan\nKryddningen\nEtt lugnare pass\nKryddningen\nEtt lugnare pass\nStekpannan"), -1.5)))) == "list"
     fine = [PROSE + " " + PROSE, PROSE + "\n" + PROSE.replace("hundar", "katter"), " ".join(f"Mening nummer {'abcdefghij'[i % 10] * 3}{'klmnopqrst'[i // 10] * 2} handlar om något." for i in range(60))]
     got = quality.text_statistics(spark.createDataFrame([*enumerate(rows + fine)], "id bigint, t string"), "id", "t").collect()
-    assert [r["kind"] for r in sorted(got, key=lambda r: r["id"])] == ["junk"] * len(rows) + ["prose"] * len(fine)
+    assert [r["kind"] for r in sorted(got, key=lambda r: r["id"])] == ["boilerplate"] * len(rows) + ["prose"] * len(fine)
+
+
+def test_repetition_decides(spark):
+    """Without the repetition statistics more than a third of the lists, tables and junk would be lost; none of the prose is won by them."""
+    off = ("repeated_shape_share", "table_line_share", "duplicate_line_share", "duplicate_paragraph_share", "top_bigram_share", "top_trigram_share", "top_fourgram_share", "longest_run_share")
+    found = [(k, dict(zip(quality.STATS, (*quality.describe(t), -2.0)))) for k, t in KINDS]
+    cases = [(k, s) for k, s in found if k in ("list", "table", "junk")]
+    lost = [k for k, s in cases if quality.kind(s) == k and quality.kind(s | dict.fromkeys(off, 0.0)) != k]
+    assert len(lost) > len(cases) / 3 and {"list", "table", "junk"} == set(lost)
 
 
 def test_statistics_by_hand(spark):
