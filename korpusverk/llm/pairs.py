@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,10 @@ from korpusverk.plans.runtime import clash_free, cut
 
 #: Words and contexts with fewer hits in all answers count as unknown.
 LEAST = 4
+#: Sentences with which a refusal begins: greetings and thanks may precede it.
+OPENING = 3
+#: Words with a smaller share of all words count as unknown too, so never more than so many are known.
+SHARE = 1 << 22
 #: Places of the bit set that keeps contexts with which no open answer ends out of the shuffle; a false hit costs time only.
 PLACES_BITS = 26
 #: Texts whose last words end a sentence with less than this probability are cut off.
@@ -67,9 +72,9 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
-    """A declining sentence early in an answer that has little else."""
-    m = REFUSALS.search(" ".join(answer[:2000].split()))
-    return bool(m) and m.start() < 300 and len(answer) < 700
+    """One of the first sentences declines, however long they and the rest are."""
+    sentences = (x for x in re.split(r"(?<=[.!?…])\s+|\n", answer) if x.strip())
+    return bool(REFUSALS.search(" ".join(" ".join(islice(sentences, OPENING)).split())))
 
 
 def only_keywords(rest: str) -> bool:
@@ -117,7 +122,7 @@ def open_end(answer: str) -> list[str] | None:
         return None
     if whole != bare and re.search(r"[.!?][\"”»')\]]*\Z", whole):
         return None
-    return WORDS.findall(re.sub(r"[.…\s]+\Z", "", bare)[-400:].lower()) or None
+    return WORDS.findall(re.sub(r"[.…\s]+\Z", "", bare).lower()) or None
 
 
 def word_codes(words: Iterable[str]) -> np.ndarray:
@@ -157,13 +162,14 @@ def count_words(df: DataFrame, column: str) -> DataFrame:
 
 
 def known_codes(words: DataFrame) -> np.ndarray:
-    """Sorted codes of the words with LEAST hits or more: 8 bytes a word."""
+    """Sorted codes of the words with LEAST hits and 1/SHARE of all hits or more: 8 bytes a word, at most 32 MB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(word_codes(batch.column(0).to_pylist()).view(np.int64))], names=["code"])
 
-    rows = words.filter(F.col("n") >= LEAST).select("word").mapInArrow(run, "code bigint").toArrow()
+    total = words.agg(F.sum("n")).first()[0] or 0
+    rows = words.filter(F.col("n") >= max(LEAST, total / SHARE)).select("word").mapInArrow(run, "code bigint").toArrow()
     return np.sort(rows.column(0).to_numpy().view(np.uint64))
 
 

@@ -287,6 +287,13 @@ def test_ends_are_counted_in_all_answers(spark, known):
     assert [(r["id"], r["defect"]) for r in got] == [(70_001, "truncated")]
 
 
+def test_verdicts_do_not_depend_on_length():
+    """Long refusals, refusals behind a long greeting, and late sentences that only sound like one."""
+    no = "Tyvärr kan jag inte hjälpa till med den här begäran. "
+    assert pairs.is_refusal(no + ANSWER * 40) and pairs.is_refusal("Hej " + "och tack " * 200 + "för frågan! " + no) and not pairs.is_refusal(ANSWER * 40 + no)
+    assert pairs.open_end(ANSWER + " Det beror på " + "väldigt " * 300 + "mycket annat")[-3:] == ["väldigt", "mycket", "annat"]
+
+
 def test_copied_titles_and_keywords():
     title, keys = "Vägar till samverkan: En studie av lärare", "tillit; kontroll"
     assert pairs.is_copy(title, keys, "vägar till samverkan - en studie av lärare. Nyckelord: tillit, kontroll")
