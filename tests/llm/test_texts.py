@@ -89,7 +89,9 @@ def test_mix_shares_caps_and_edges(spark):
     c, s = chosen.toPandas(), shares.toPandas().set_index("source")
     assert c.groupby("source").repeats.max().to_dict() == {"big": 1, "small": 4} and not set(c.doc_id) & {9001, 9002, 9003, 9004}
     assert s.loc["none", "tokens"] == 0 and s.loc["small", "documents"] == 50
-    assert s.actual_share.sum() == pytest.approx(1)
+    assert s.actual_share.sum() == pytest.approx(1) and s.loc["big", "actual_share"] == pytest.approx(0.75, abs=0.01)
+    places = sorted(x for p in c.positions for x in p)
+    assert len(set(places)) == c.repeats.sum() and (c.positions.map(len) == c.repeats).all()
     again = mixing.mix(spark.createDataFrame(docs, "doc_id bigint, text string, source string").repartition(9), spark.createDataFrame(targets, "source string, target_share double, max_repeats int"))[0].toPandas()
     assert set(map(tuple, again[["doc_id", "repeats"]].values)) == set(map(tuple, c[["doc_id", "repeats"]].values))
 
@@ -101,6 +103,16 @@ def test_mix_reaches_the_targets_when_it_can(spark):
     assert all(abs(r["actual_share"] - r["target_share"]) < 0.01 for r in shares.collect())
 
 
+def test_mix_with_a_larger_budget_reports_what_is_missing(spark):
+    docs = spark.createDataFrame([(i, f"ord {i} och {i * 7} till", "ab"[i % 10 == 0]) for i in range(4000)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2), ("c", 0.0, 5), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
+    held = {r["source"]: r["tokens"] for r in mixing.mix(docs, targets)[1].collect()}
+    assert abs(held["a"] / held["b"] - 1) < 0.02
+    chosen, shares = mixing.mix(docs, targets, budget=4 * held["a"])
+    more = {r["source"]: r for r in shares.collect()}
+    assert more["b"]["actual_share"] < 0.4 and more["b"]["most_repeats"] == 2 and more["c"]["tokens"] == 0 and chosen.filter("repeats > 2").count() == 0
+
+
 def test_mix_of_nothing(spark):
     chosen, shares = mixing.mix(spark.createDataFrame([], "doc_id bigint, text string, source string"), spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int"))
     assert chosen.count() == 0 and shares.first()["actual_share"] == 0
