@@ -339,16 +339,47 @@ def test_personal_information_on_held_out_sentences():
     assert [(t, w, g) for (t, w), g in zip(HELD_OUT, got) if w != g] == []
 
 
-def test_training_sentences_are_learnt():
-    model = personal.train()
-    found = [personal.parse(line, 0) for line in personal.SENTENCES]
-    assert all(k == s.label for f in found if f for s, k in zip(f, model.decode(f)))
+def scored(model, lines):
+    """(right, all) of the marked kinds per document that are found, and how many are found without being marked."""
+    right = whole = wrong = 0
+    parsed = [personal.parse(line, 0) for line in lines]
+    for (text, own), got in zip(parsed, personal.find([t for t, _ in parsed], model)):
+        marked = {personal.LABELS[s.label] for s in own} - {"none"}
+        found = {k for *_, k in got}
+        right, whole, wrong = right + len(marked & found), whole + len(marked), wrong + len(found - marked)
+    return right, whole, wrong
+
+
+def test_chain_and_skip_links_decide():
+    """On documents of another seed nearly all is found; without the pair potentials more than a third of it is lost."""
+    model, lines = personal.train(), personal.documents(sorted(personal.NAMES), 600, seed=77)
+    right, whole, wrong = scored(model, lines)
+    assert right > 0.95 * whole and wrong < 0.02 * whole
+    alone = scored(personal.Crf(model.index, model.unary, np.zeros_like(model.pair)), lines)[0]
+    assert alone < 2 / 3 * right
+
+
+#: Shapes that the generator has no frame for.
+OTHER_SHAPES = [
+    ("I går ringde Gunilla Hedberg och klagade.", {"name"}), ("Fråga efter Lars-Erik eller Kerstin i receptionen.", {"name"}), ("Bor ni kvar i huset vid Stationsvägen 7?", {"address"}), ("Nytt nummer från måndag: 0737-12 34 56.", {"phone"}),
+    ("Hon har kvar 08-123 456 78 som jobbnummer.", {"phone"}), ("Vet någon vem 19850709-9805 är?", {"id_number"}), ("Skicka kvittot till ekonomi@bolaget.example senast fredag.", {"email"}), ("Priset steg från 12 500 till 13 750 kr på 3 år.", set()),
+    ("Björnen och stenen är två böcker.", set()), ("Vi tog E4 norrut i 40 mil och sedan väg 23.", set()), ("En saga om en sten, läst av en björn.", set()), ("ISBN 978-91-7429-123-4 är slutsåld.", set()),
+]
+
 
+def test_personal_information_in_other_shapes():
+    got = [{k for *_, k in g} for g in personal.find([t for t, _ in OTHER_SHAPES], personal.train())]
+    assert sum(w == g for (_, w), g in zip(OTHER_SHAPES, got)) >= len(OTHER_SHAPES) - 1, [(t, w, g) for (t, w), g in zip(OTHER_SHAPES, got) if w != g]
 
-def test_skip_links_carry_a_name(spark):
-    text = "Handläggaren Sten Ljunggren svarade aldrig. Vi väntade länge på besked i flera veckor. Sten sa sedan nej."
-    got = personal.redact(text, personal.find([text], personal.train())[0])
-    assert got == "Handläggaren [NAMN] svarade aldrig. Vi väntade länge på besked i flera veckor. [NAMN] sa sedan nej."
+
+def test_skip_links_carry_a_name():
+    """A later mention without any sign of its own follows the sure one; without the skip potentials it does not."""
+    model = personal.train()
+    text = "Hon heter Tuulikki. Vi väntade länge på besked. Sen kom tuulikki hem."
+    assert personal.redact(text, personal.find([text], model)[0]) == "Hon heter [NAMN]. Vi väntade länge på besked. Sen kom [NAMN] hem."
+    pair = model.pair.copy()
+    pair[personal.SAME :] = 0
+    assert "Sen kom tuulikki hem" in personal.redact(text, personal.find([text], personal.Crf(model.index, model.unary, pair))[0])
 
 
 def test_spellings_that_the_patterns_take_are_searched():
