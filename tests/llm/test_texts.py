@@ -187,16 +187,21 @@ def test_measures_by_hand(spark):
 
     texts = ["en hund och en katt", "en hund sover", "12 hundar och 7 katter http://a.example/x", "", None, "en hund och en katt"]
     counts = stuffing.count_corpus(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
-    words = [stuffing.words_of(t) for t in texts if t]
-    assert words[2] == ["0", "hundar", "och", "0", "katter", "<"]
+    words = [["en", "hund", "och", "en", "katt"], ["en", "hund", "sover"], ["0", "hundar", "och", "0", "katter", "<"], ["en", "hund", "och", "en", "katt"]]
+    assert stuffing.Batch([t or "" for t in texts]).sizes.tolist() == [5, 3, 6, 0, 0, 5]
     single, double = Counter(w for ws in words for w in ws), Counter(p for ws in words for p in zip(ws, ws[1:]))
     assert counts[0] == sum(single.values()) and counts[1] == sum(double.values()) and sorted(counts[5]) == sorted(n for n in double.values() if n > 1)
-    pmi, excess = stuffing.measures([["en", "hund", "flyger"]], counts)
+    pmi, excess = stuffing.measures(stuffing.Batch(["en hund flyger"]), counts)
     assert pmi[0] == pytest.approx(np.log((double["en", "hund"] - 1) * counts[0] / single["en"] / single["hund"]) / 2) and excess[0] == 0
-    pmi, excess = stuffing.measures([[], ["rea"], ["rea"] * 5], counts)
+    pmi, excess = stuffing.measures(stuffing.Batch(["", "rea", "rea " * 5]), counts)
     assert pmi.tolist() == [0, 0, 0] and excess.tolist() == pytest.approx([0, 0, np.log(counts[1] / 4)])
 
 
+def test_fragments_by_hand():
+    found = stuffing.Batch(["rea, skor och mer\nen hel mening utan tecken", "www.a.example/x - b.example", "", "a\x01b \x02 c"], marks=True)
+    assert found.fragments.tolist() == pytest.approx([4 / 9, 1, 0, 1]) and found.sizes.tolist() == [9, 2, 0, 3] and found.link_share[1] > 0.8
+
+
 def test_mutual_information_decides_the_pages(spark):
     """Without it (excess and mean_pmi at the corpus's middle) no page is found, so all true pages come through the named method."""
     rows = [(i, PROSE) for i in range(30)] + [(100 + i, " ".join(["billig matta"] * 20)) for i in range(3)]
