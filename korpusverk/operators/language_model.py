@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from korpusverk.operators.skew import hot_join
+from korpusverk.plans.runtime import cut
+
 
 def windows(tokens: Column, size: int = 1024, stride: int = 512) -> Column:
     """Sliding windows with the number of tokens that are new in each: ARRAY<STRUCT<tokens, fresh>>."""
@@ -47,9 +50,9 @@ def unigram_nll(docs: DataFrame, id_col: str, text_col: str, window: int = 1024,
     sents = F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"(?<=[.!?])\s+")
     words = lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"(\p{L}+)"), F.lit(1))
     listed = F.flatten(F.transform(sents, lambda s, k: F.transform(words(s), lambda w, i: F.struct(k.alias("sent"), i.alias("i"), w.alias("w")))))
-    toks = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(listed).alias("at", "x")).select("doc_id", "at", "x.*")
+    toks = cut(docs.select(F.col(id_col).alias("doc_id"), F.posexplode(listed).alias("at", "x")).select("doc_id", "at", "x.*"))  # read four times below
     counts = toks.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("v"))
     scored = counts.join(F.broadcast(total)).select("w", (-F.log((F.col("n") + 1) / (F.col("t") + F.col("v")))).alias("nll"))
     fresh = F.greatest(F.floor((F.col("at") - window) / stride) + 1, F.lit(0))
-    return toks.join(scored, "w").select("doc_id", "sent", fresh.alias("window"), "i", "nll")
+    return hot_join(toks, scored, "w").select("doc_id", "sent", fresh.alias("window"), "i", "nll")

@@ -15,7 +15,7 @@ from korpusverk.operators import sampling as S
 from korpusverk.operators import scoring as J
 from korpusverk.operators import stats as A
 from korpusverk.plans import modelled
-from korpusverk.plans.runtime import spread, table
+from korpusverk.plans.runtime import cut, null_safe_join, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -386,8 +386,10 @@ def label_proportions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS sd, round(stddev_pop(value), 6) AS sd_pop, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(CASE WHEN value > 50 THEN 1 ELSE 0 END), 6) AS above FROM events GROUP BY event_type")
 def value_summary(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value")
-    return table(spark, d, "events").groupBy("event_type").agg(r6(F.min(v), "low"), r6(F.max(v), "high"), r6(F.avg(v), "mean"), r6(F.median(v), "median"), r6(F.stddev_samp(v), "sd"), r6(F.stddev_pop(v), "sd_pop"), r6(F.percentile(v, 0.9), "p90"), r6(F.percentile(v, 0.95), "p95"), r6(F.avg((v > 50).cast("int")), "above"))
+    v, e = F.col("value"), table(spark, d, "events")
+    g = e.groupBy("event_type").agg(r6(F.min(v), "low"), r6(F.max(v), "high"), r6(F.avg(v), "mean"), r6(F.stddev_samp(v), "sd"), r6(F.stddev_pop(v), "sd_pop"), r6(F.avg((v > 50).cast("int")), "above"))
+    q = A.quantiles(e, ["event_type"], "value", {"median": 0.5, "p90": 0.9, "p95": 0.95})
+    return null_safe_join(g, q.select("event_type", *[r6(F.col(c), c) for c in ("median", "p90", "p95")]), ["event_type"], "left")
 
 
 @query("WITH c AS (SELECT lang, substr(w, 1, 1) AS tag, count(*) AS n FROM (SELECT doc_id, lang, unnest(" + ALPHA.format("text") + ") AS w FROM documents) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, tag) AS r FROM c) SELECT lang, CASE WHEN r <= 5 THEN tag ELSE 'OTHER' END AS tag, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY ALL")
@@ -627,7 +629,9 @@ def pair_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     j = e.join(b, "vec_id").select((F.col("label") % 2).alias("side"), A.cosine(F.col("embedding"), F.col("other")).alias("c"))
-    return j.groupBy("side").agg(r6(F.min("c"), "low"), r6(F.avg("c"), "mean"), r6(F.median("c"), "median"), r6(F.max("c"), "high"), F.count(F.lit(1)).alias("n"))
+    j = cut(j)
+    g = j.groupBy("side").agg(r6(F.min("c"), "low"), r6(F.avg("c"), "mean"), r6(F.max("c"), "high"), F.count(F.lit(1)).alias("n"))
+    return g.join(A.quantiles(j, ["side"], "c", {"median": 0.5}).select("side", r6(F.col("median"), "median")), "side")
 
 
 @query(
@@ -696,28 +700,30 @@ def headline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _contrast_sql(keys: str, by: str) -> str:
-    return f"""WITH o AS (SELECT {keys}, pair_id, {by} AS v, max(CAST(correct AS INT)) AS ok FROM {_JUDGED_SQL} GROUP BY ALL), p AS (SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, a.v AS name_a, b.v AS name_b, a.ok AS x, b.ok AS y FROM o a JOIN o b ON {' AND '.join(f'a.{k.strip()} = b.{k.strip()}' for k in keys.split(','))} AND a.pair_id = b.pair_id AND a.v < b.v)
+    return f"""WITH o AS (SELECT {keys}, pair_id, {by} AS v, max(CAST(correct AS INT)) AS ok FROM {_JUDGED_SQL} WHERE NOT is_human GROUP BY ALL), p AS (SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, a.v AS name_a, b.v AS name_b, a.ok AS x, b.ok AS y FROM o a JOIN o b ON {' AND '.join(f'a.{k.strip()} = b.{k.strip()}' for k in keys.split(','))} AND a.pair_id = b.pair_id AND a.v < b.v)
  SELECT {keys}, name_a, name_b, CAST(count(*) AS BIGINT) AS n_pairs, CAST(count(*) FILTER (x = 1 AND y = 0) AS BIGINT) AS b, CAST(count(*) FILTER (x = 0 AND y = 1) AS BIGINT) AS c, round(avg(x), 6) AS recall_a, round(avg(y), 6) AS recall_b, round(avg(y) - avg(x), 6) AS delta FROM p GROUP BY ALL"""
 
 
-@query(_contrast_sql("judge, register", "condition"))
+@query(_contrast_sql("judge, generator, register", "condition"))
 def condition_contrasts(spark: SparkSession, d: str) -> DataFrame:
-    c = J.contrasts(judged(spark, d), ["judge", "register"], "condition")
-    return c.select("judge", "register", "name_a", "name_b", "n_pairs", "b", "c", *[r6(F.col(x), x) for x in ("recall_a", "recall_b", "delta")])
+    """Conditions against each other within a judge, generator and register, paired by pair_id."""
+    c = J.contrasts(judged(spark, d).filter("NOT is_human"), ["judge", "generator", "register"], "condition")
+    return c.select("judge", "generator", "register", "name_a", "name_b", "n_pairs", "b", "c", *[r6(F.col(x), x) for x in ("recall_a", "recall_b", "delta")])
 
 
-@query(_contrast_sql("judge, register", "generator"))
+@query(_contrast_sql("judge, register, condition", "generator"))
 def generator_contrasts(spark: SparkSession, d: str) -> DataFrame:
-    c = J.contrasts(judged(spark, d), ["judge", "register"], "generator")
-    return c.select("judge", "register", "name_a", "name_b", "n_pairs", "b", "c", *[r6(F.col(x), x) for x in ("recall_a", "recall_b", "delta")])
+    """Generators against each other within a judge, register and condition, paired by pair_id."""
+    c = J.contrasts(judged(spark, d).filter("NOT is_human"), ["judge", "register", "condition"], "generator")
+    return c.select("judge", "register", "condition", "name_a", "name_b", "n_pairs", "b", "c", *[r6(F.col(x), x) for x in ("recall_a", "recall_b", "delta")])
 
 
 @query(
-    "WITH t AS (" + _contrast_sql("judge, register", "condition") + """), p AS (SELECT judge, register, name_a, name_b, b, c, CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2.0))))) END AS p FROM t)
-SELECT judge, register, name_a, name_b, b, c, round(p, 6) AS p_value, CASE WHEN b + c = 0 THEN 'no-discordance' ELSE 'exact' END AS method, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS sig FROM p"""
+    "WITH t AS (" + _contrast_sql("judge, generator, register", "condition") + """), p AS (SELECT judge, generator, register, name_a, name_b, b, c, CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2.0))))) END AS p FROM t)
+SELECT judge, generator, register, name_a, name_b, b, c, round(p, 6) AS p_value, CASE WHEN b + c = 0 THEN 'no-discordance' ELSE 'exact' END AS method, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS sig FROM p"""
 )
 def mcnemar_p(spark: SparkSession, d: str) -> DataFrame:
-    return J.contrasts(judged(spark, d), ["judge", "register"], "condition").select("judge", "register", "name_a", "name_b", "b", "c", r6(F.col("p_value"), "p_value"), "method", A.stars(F.col("p_value")).alias("sig"))
+    return J.contrasts(judged(spark, d).filter("NOT is_human"), ["judge", "generator", "register"], "condition").select("judge", "generator", "register", "name_a", "name_b", "b", "c", r6(F.col("p_value"), "p_value"), "method", A.stars(F.col("p_value")).alias("sig"))
 
 
 @query(

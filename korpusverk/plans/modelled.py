@@ -202,7 +202,7 @@ def _tokens(pattern: str, low: bool = False) -> str:
 _ALL = _tokens("\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]")
 _UPPER = "(regexp_matches(text, '^\\p{Lu}') AND regexp_matches(text, '^\\p{L}+$') AND i > 0)"
 _WORD = "regexp_matches(text, '^\\p{L}+$')"
-_NLL = f"""w AS {_tokens("\\p{L}+", True)}, c AS (SELECT text, count(*) AS n FROM w GROUP BY text), k AS (SELECT sum(n) AS t, count(*) AS v FROM c), m AS (SELECT w.doc_id, w.sent, w.i // 1024 AS win, -ln((c.n + 1) / (k.t + k.v)) AS nll FROM w JOIN c USING (text) CROSS JOIN k)"""
+_NLL = f"""w AS {_tokens("\\p{L}+", True)}, c AS (SELECT text, count(*) AS n FROM w GROUP BY text), k AS (SELECT sum(n) AS t, count(*) AS v FROM c), f AS (SELECT doc_id, sent, text, row_number() OVER (PARTITION BY doc_id ORDER BY sent, i) - 1 AS at FROM w), m AS (SELECT f.doc_id, f.sent, greatest(CAST(floor((f.at - 1024) / 512.0) AS BIGINT) + 1, 0) AS win, -ln((c.n + 1) / (k.t + k.v)) AS nll FROM f JOIN c USING (text) CROSS JOIN k)"""
 
 
 def _pos_sql() -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+import warnings
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -21,60 +21,51 @@ def header_columns(text: Column) -> Column:
     return F.size(F.split(F.regexp_replace(F.substring_index(text, "\n", 1), "\r", ""), ","))
 
 
-def repair(raw: str, columns: int) -> str:
-    """CSV text in which each record is one line again.
+#: A field before the last: quoted, closed only by a quote that a comma follows, or bare. The last field: closed only by a quote at the end of a line.
+_FIELD = r'(?:"[^"]*+(?:(?:""|"(?!,))[^"]*+)*+"|[^",\r\n][^,\r\n]*+|),'
+_LAST = r'(?:"[^"]*+(?:(?:""|"(?!\r|\n|\z))[^"]*+)*+"(?=\r|\n|\z)|[^",\r\n][^,\r\n]*+(?=\r|\n|\z)|(?=\r|\n|\z))'
 
-    Inside quotes, line breaks become blanks and stray quotes are doubled. A quote before a comma closes any field but the last; the
-    last field is closed only by a quote at the end of a line.
-    """
-    pieces, quoted, field, at, n = [], False, 0, 0, len(raw)
-    while at < n:
-        here, after = raw[at], raw[at + 1 : at + 2]
-        if not quoted:
-            quoted = here == '"'
-            field = field + 1 if here == "," else 0 if here in "\r\n" else field
-            pieces.append(here)
-        elif here in "\r\n":
-            pieces.append(" ")
-            at += here == "\r" and after == "\n"
-        elif here != '"':
-            pieces.append(here)
-        elif after == '"':
-            pieces.append('""')
-            at += 1
-        elif after in ("", "\r", "\n") or (after == "," and field < columns - 1):
-            pieces.append('"')
-            quoted = False
-        else:
-            pieces.append('""')
-        at += 1
-    return "".join(pieces)
 
+def records(text: Column) -> Column:
+    """The records of a CSV file as an array, quoted line breaks and all; what is no record with the header's number of columns comes line by line."""
+    head = F.repeat(F.lit(_FIELD), header_columns(text) - 1)
+    found = F.regexp_extract_all(text, F.concat(F.lit("(?m)^(?:"), head, F.lit(_LAST + r")|[^\r\n]++")), F.lit(0))
+    return F.filter(found, lambda r: r != "")
 
-def repaired_lines(files: DataFrame) -> DataFrame:
-    """(path, n, line) of the records of whole files (path, value), repaired; the header is line 0. A quote's state runs through a file, so a file is one task."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, value in zip(f["path"], f["value"]):
-                end = value.find("\n")
-                lines = repair(value, value[: end if end >= 0 else len(value)].count(",") + 1).splitlines()
-                yield pd.DataFrame({"path": path, "n": range(len(lines)), "line": lines})
+def one_line(field: Column) -> Column:
+    """A raw field with its quoted line breaks as blanks and its inner quotes doubled."""
+    inner = F.regexp_replace(F.substring(field, F.lit(2), F.length(field) - 2), r"\r\n|\r|\n", " ")
+    return F.when(field.startswith('"') & field.endswith('"') & (F.length(field) >= 2), F.concat(F.lit('"'), F.replace(F.replace(inner, F.lit('""'), F.lit('"')), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(field)
 
-    return files.mapInPandas(run, "path string, n bigint, line string")
 
+def repaired_lines(files: DataFrame) -> DataFrame:
+    """(path, n, line) of the records of whole files (path, value), each as one line; the header is line 0.
 
-def repaired_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of malformed CSV files; lines that still don't parse are left out."""
+    Line breaks inside quotes become blanks and stray quotes are doubled. A quote's state runs through a file, so a file is one row. Null and empty files have no lines.
+    """
+    sized = files.select("path", header_columns(F.col("value")).alias("_k"), F.posexplode(records(F.col("value"))).alias("n", "r"))
+    front = F.call_function("regexp_extract", F.col("r"), F.concat(F.lit("^(?:"), F.repeat(F.lit(_FIELD), F.col("_k") - 1), F.lit(")")), F.lit(0))
+    parts = sized.withColumn("_front", front).withColumn("_fields", F.when(F.col("_k") > 1, F.regexp_extract_all("_front", F.lit("(" + _FIELD + ")"), F.lit(1))).otherwise(F.array().cast("array<string>")))
+    first = F.transform("_fields", lambda f: F.concat(one_line(F.substring(f, F.lit(1), F.length(f) - 1)), F.lit(",")))
+    last = one_line(F.substring(F.col("r"), F.length("_front") + 1, F.length("r")))
+    return parts.select("path", F.col("n").cast("bigint").alias("n"), F.concat(F.array_join(first, ""), last).alias("line"))
+
+
+def repaired_csv(spark: SparkSession, path: str, schema: str, warn_above: float = 0.05) -> DataFrame:
+    """Rows of malformed CSV files; lines that still don't parse are left out, with a warning if they are more than warn_above of all."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = repaired_lines(files).filter("n > 0")
     parsed = lines.select(F.from_csv("line", F.lit(schema + ", _bad string"), {"escape": '"', "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    share = parsed.agg(F.avg(F.col("r._bad").isNotNull().cast("int"))).first()[0] or 0.0
+    if share > warn_above:
+        warnings.warn(f"{share:.1%} of the lines of {path} don't parse", stacklevel=2)
     return parsed.filter("r._bad IS NULL").select("r.*").drop("_bad")
 
 
 def entity_of_file(pattern: str) -> Column:
     """What the pattern's first group holds in the name of the file a row comes from."""
-    return F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), pattern, 1)
+    return F.regexp_extract(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), pattern, 1)
 
 
 def first_existing(spark: SparkSession, candidates: Sequence[str]) -> str:
@@ -115,13 +106,21 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
 
 
 def replace_table(df: DataFrame, path: str, dry_run: bool = False) -> int:
-    """Writes df beside the table and swaps the folders, the old one staying as path.bak; with dry_run only counts."""
+    """Writes df beside the table and swaps the folders on their own file system, the old one staying as path.bak (an earlier backup goes); with dry_run only counts."""
     rows = df.count()
-    if not dry_run:
-        df.write.mode("overwrite").parquet(path + ".new")
-        if os.path.exists(path):
-            os.replace(path, path + ".bak")
-        os.replace(path + ".new", path)
+    if dry_run:
+        return rows
+    df.write.mode("overwrite").parquet(path + ".new")
+    spark = df.sparkSession
+    here, new, old = (spark._jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".new", ".bak"))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(here):
+        fs.delete(old, True)
+        moved = fs.rename(here, old)
+        if not moved:
+            raise OSError(f"cannot move {path} away")
+    if not fs.rename(new, here):
+        raise OSError(f"cannot move the new table to {path}")
     return rows
 
 

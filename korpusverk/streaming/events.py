@@ -1,13 +1,11 @@
-"""Streams: windowed counts with late data, deduplication, resumable enrichment and a keyed running state. An extension; batch tables are the core."""
+"""Streams: windowed counts with late data, deduplication and running totals. An extension; batch tables are the core."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from korpusverk.plans.runtime import ensure_checkpoint_dir
 
@@ -34,27 +32,20 @@ def once(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> Data
 
 def running_totals(events: DataFrame) -> DataFrame:
     """Per user the number and sum of events so far, emitted at each update."""
+    return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("value", F.lit(0.0))).alias("total"))
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
-        for f in frames:
-            n, total = n + len(f), total + float(f["value"].fillna(0).sum())
-        state.update((n, total))
-        yield pd.DataFrame({"user_id": [int(key[0])], "n": [n], "total": [total]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, total double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
-
-
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", run: str | None = None) -> DataFrame:
     """Runs the stream over all that is there now, into files in the shared checkpoint folder; returns what was written.
 
-    With exactly-once files as sink, a lost executor or a restarted query neither drops nor repeats rows.
+    run names the state: a restart under the same name and run goes on where the last one stopped, in append mode by the file sink's log and in update
+    mode by one folder for each epoch, which a repeated epoch overwrites, so rows are neither dropped nor repeated. Without it the run is a new one.
     """
     spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/streams/{name}-{spark.sparkContext.applicationId}-{abs(hash((name, id(stream))))}"
+    base = f"{ensure_checkpoint_dir(spark)}/streams/{name}-{run or uuid.uuid4().hex}"
+    writer = stream.writeStream.option("checkpointLocation", base + "/state").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", base + "/out").option("checkpointLocation", base + "/state").trigger(availableNow=True).outputMode("append").start()
-    else:
-        q = stream.writeStream.foreachBatch(lambda df, epoch: df.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(base + "/out")).option("checkpointLocation", base + "/state").trigger(availableNow=True).outputMode(mode).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(base + "/out") if mode == "append" else spark.read.parquet(base + "/out")
+        writer.format("parquet").option("path", base + "/out").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(base + "/out")
+    writer.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")).start().awaitTermination()
+    return spark.read.parquet(base + "/out").withColumnRenamed("epoch", "_epoch")

@@ -88,9 +88,15 @@ def test_gated_hedges(spark):
     assert df.select(X.gated_hedges("w", "p").alias("n")).first()["n"] == 1
 
 
-def test_csv_repair():
-    raw = 'id,text\r\n1,"rad ett\nrad två"\r\n2,"han sa "hej", och gick"\r\n3,"slut"'
-    assert files.repair(raw, 2) == 'id,text\r\n1,"rad ett rad två"\r\n2,"han sa ""hej"", och gick"\r\n3,"slut"'
+def test_csv_repair(spark):
+    """Quoted line breaks, stray quotes, empty fields, a quote before a comma inside the last field, broken lines, one column, no lines, a very long field."""
+    raw = 'id,text,note\n1,"a ""b"" c",x\n2,"rad\nbryt, och "citat" här","slut, "x", nu"\r\n3,,\n4,"",""\nbara en trasig rad\n6,"öppen, aldrig stängd\n7,x,y\n'
+    wide = 'a,b\n1,"' + 'x "y" ,z\n' * 100_000 + '"\n'
+    rows = [("a", raw), ("b", 'id\n1\n"två\nrader"\n'), ("c", ""), ("d", None), ("e", wide)]
+    got = files.repaired_lines(spark.createDataFrame(rows, "path string, value string")).orderBy("path", "n").collect()
+    lines = {p: [r["line"] for r in got if r["path"] == p] for p in "abcde"}
+    assert lines["a"] == ["id,text,note", '1,"a ""b"" c",x', '2,"rad bryt, och ""citat"" här","slut, ""x"", nu"', "3,,", '4,"",""', "bara en trasig rad", '6,"öppen, aldrig stängd', "7,x,y"]
+    assert lines["b"] == ["id", "1", '"två rader"'] and lines["c"] == lines["d"] == [] and len(lines["e"]) == 2 and len(lines["e"][1]) == 4 + 11 * 100_000
 
 
 def test_csv_files(spark, tmp_path):
