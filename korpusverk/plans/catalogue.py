@@ -14,6 +14,7 @@ from korpusverk.operators import pairing as P
 from korpusverk.operators import sampling as S
 from korpusverk.operators import scoring as J
 from korpusverk.operators import stats as A
+from korpusverk.plans import counterparts as C
 from korpusverk.plans import modelled
 from korpusverk.plans.runtime import cut, null_safe_join, spread, table
 
@@ -164,13 +165,13 @@ def stored_statistics(spark: SparkSession, d: str) -> DataFrame:
 # --- normalisers and text predicates ------------------------------------------------------------------------------------------
 
 
-@query()
+@query(C.normalize_formal(_long_sql()))
 def normalize_formal(spark: SparkSession, d: str) -> DataFrame:
     long = corpora(spark, d).filter("register = 'formal' AND llm IS NOT NULL")
-    return long.select("row_id", "condition", T.normalize_formal(F.col("llm")).alias("text"), T.markdown_count(F.col("llm")).alias("markdown"))
+    return long.select("row_id", "condition", T.normalize_formal(F.col("llm")).alias("text"), (T.markdown_count(F.col("llm")) > 0).alias("markdown"))
 
 
-@query()
+@query(C.NORMALIZE_INFORMAL)
 def normalize_informal(spark: SparkSession, d: str) -> DataFrame:
     t = spread(table(spark, d, P.INFORMAL[1]), "row_id").filter("human_comment IS NOT NULL")
     c = F.col("human_comment")
@@ -186,13 +187,16 @@ def unescaped(spark: SparkSession, d: str) -> DataFrame:
     return t.select("row_id", F.trim(F.regexp_replace(T.unescape(F.col("human_comment")), r"[ \t\r\n]+", " ")).alias("text"))
 
 
-def _refusal_sql() -> str:
+def _refusal_case() -> str:
     def plain(p: str) -> str:
         p = re2(p.replace("(?iU)", "")).replace("\\b", "").replace("\\w", "[\\p{L}\\p{N}_]").replace("'", "''")
         return "(?i)" + p
 
-    arms = [f"WHEN regexp_matches(head, '{plain(p)}') THEN '{w.replace(chr(39), chr(39) * 2)}'" for p, w in T.REFUSALS]
-    return f"SELECT * FROM (SELECT register, row_id, condition, CASE {' '.join(arms)} END AS reason FROM (SELECT register, row_id, condition, substr(llm, 1, 300) AS head FROM ({_long_sql()}) WHERE llm IS NOT NULL)) WHERE reason IS NOT NULL"
+    return "CASE " + " ".join(f"WHEN regexp_matches(head, '{plain(p)}') THEN '{w.replace(chr(39), chr(39) * 2)}'" for p, w in T.REFUSALS) + " END"
+
+
+def _refusal_sql() -> str:
+    return f"SELECT * FROM (SELECT register, row_id, condition, {_refusal_case()} AS reason FROM (SELECT register, row_id, condition, substr(llm, 1, 300) AS head FROM ({_long_sql()}) WHERE llm IS NOT NULL)) WHERE reason IS NOT NULL"
 
 
 @query(_refusal_sql())
@@ -572,7 +576,7 @@ def version_comparison(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(A.fdr(A.paired_tests(x, keys, exact_p=False), ["comparison"]), keys)
 
 
-@query()
+@query(C.effect_summary(_TESTS.format(k="register, condition, feature", f="register, condition", src=_features_sql())))
 def effect_summary(spark: SparkSession, d: str) -> DataFrame:
     """Per register and feature: packed effects, common direction, largest band and k of n significant conditions."""
     keys = ["register", "condition", "feature"]
@@ -582,7 +586,7 @@ def effect_summary(spark: SparkSession, d: str) -> DataFrame:
     return g.select("register", "feature", "effects", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("mixed").alias("direction"), A.effect_band(F.col("m")).alias("band"), r6(F.col("m"), "max_effect"), r6(F.col("md"), "median_effect"), "n_significant", "n_tests")
 
 
-@query()
+@query(C.normalisation_delta(_long_sql(P.REPORTED), NONEMPTY, ALPHA, _TESTS.format(k="condition, version", f="condition, version", src="x")))
 def normalisation_delta(spark: SparkSession, d: str) -> DataFrame:
     """Effects before and after the informal normaliser, and what changed."""
     raw = P.complete(corpora(spark, d, P.REPORTED).filter("register = 'informal'"))
@@ -743,6 +747,8 @@ def judge_parse(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES.update(modelled.queries())
 ORACLES.update(modelled.oracle_sql())
+ORACLES["audit_by_condition"] = C.audit(_long_sql(), NONEMPTY, _refusal_case())
+ORACLES["top_effects"] = C.top_effects(_TESTS.format(k="register, condition, feature", f="register, condition", src=_features_sql()))
 
 
 def queries() -> dict:

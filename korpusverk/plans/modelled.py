@@ -10,6 +10,7 @@ from korpusverk.operators import annotations as N
 from korpusverk.operators import features as X
 from korpusverk.operators import language_model as L
 from korpusverk.operators import pairing as P
+from korpusverk.plans import counterparts as C
 from korpusverk.plans.runtime import cut, spread, table
 from korpusverk.sources import files
 from korpusverk.streaming import events as V
@@ -152,7 +153,7 @@ def sentiment_scores(spark: SparkSession, d: str) -> DataFrame:
 def csv_repair(spark: SparkSession, d: str) -> DataFrame:
     """Malformed CSV made of each topic's comments, repaired into one line a record."""
     t = table(spark, d, P.INFORMAL[1]).filter("human_comment IS NOT NULL")
-    raw = t.groupBy(F.concat(F.lit("f"), F.pmod(F.xxhash64("row_id"), F.lit(64))).alias("path")).agg(F.concat(F.lit("row_id,human_comment\n"), F.array_join(F.array_sort(F.collect_list(F.concat(F.col("row_id").cast("string"), F.lit(',"'), "human_comment", F.lit('"')))), "\n")).alias("value"))  # 64 files
+    raw = t.groupBy(F.concat(F.lit("f"), F.pmod("row_id", F.lit(64)).cast("string")).alias("path")).agg(F.concat(F.lit("row_id,human_comment\n"), F.array_join(F.array_sort(F.collect_list(F.concat(F.col("row_id").cast("string"), F.lit(',"'), "human_comment", F.lit('"')))), "\n")).alias("value"))  # 64 files
     return files.repaired_lines(raw)
 
 
@@ -247,4 +248,8 @@ _DOUBLES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: _rounded_sql(v, *_DOUBLES[k]) if k in _DOUBLES else v for k, v in _unrounded().items()}
+    more = {
+        "json_emit": C.json_rows("sv_abstracts_adversarial", "row_id", ("Title", "Abstract", "Abstract_baseline")), "stream_sessions": C.SESSIONS, "csv_repair": C.CSV_LINES,
+        "sampled_ids": "SELECT id FROM (SELECT unnest(range(1000000, 1100001)) AS id) ORDER BY md5('4|' || id), id LIMIT 1000",
+    }
+    return more | {k: _rounded_sql(v, *_DOUBLES[k]) if k in _DOUBLES else v for k, v in _unrounded().items()}

@@ -144,7 +144,7 @@ def html_threads(html: Column) -> dict[str, Column]:
 
 def sampled_ids(spark: SparkSession, low: int, high: int, n: int, seed: int) -> DataFrame:
     """n ids of a range in a seeded order."""
-    return spark.range(low, high + 1).orderBy(F.xxhash64(F.lit(seed), "id")).limit(n)
+    return spark.range(low, high + 1).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), "id").limit(n)
 
 
 def annotate(df: DataFrame, call, schema: str) -> DataFrame:
