@@ -31,16 +31,19 @@ def mattr(words: Column, window: int = WINDOW) -> Column:
     return F.when(n < window, ttr(words)).otherwise(sums / F.size(starts) / window)
 
 
+def _factors(words: list[str]) -> float:
+    """Stretches of the text whose type-token ratio has fallen to the limit, the last one counted in part."""
+    whole, start, types = 0, 0, set()
+    for at, word in enumerate(words, 1):
+        types.add(word)
+        if len(types) <= MTLD_LIMIT * (at - start):
+            whole, start, types = whole + 1, at, set()
+    rest = len(words) - start
+    return whole + ((1 - len(types) / rest) / (1 - MTLD_LIMIT) if rest else 0.0)
+
+
 def _mtld_one_way(words: list[str]) -> float:
-    factors, seen, n = 0.0, set(), 0
-    for w in words:
-        seen.add(w)
-        n += 1
-        if len(seen) / n <= MTLD_LIMIT:
-            factors, seen, n = factors + 1, set(), 0
-    if n and len(seen) < n:
-        factors += (1 - len(seen) / n) / (1 - MTLD_LIMIT)
-    return len(words) / factors if factors else float(len(words))
+    return len(words) / (_factors(words) or 1.0)
 
 
 @F.pandas_udf(DoubleType())
@@ -129,15 +132,15 @@ def readability(text: Column) -> dict[str, Column]:
 
 
 def feature_table(df: DataFrame, keys: list[str], text_col: str, register: str = "informal") -> DataFrame:
-    """keys and every native feature of the text; null texts are left out, as a pair without one side has no features."""
+    """keys and every native feature of the text; null texts are left out, as a pair without one side has no features. MTLD is null under ten words."""
     t = F.col(text_col)
     src = lexicon_counts(df.filter(t.isNotNull()).withColumn("_w", T.alpha_tokens(t)).withColumn("_s", T.surface_tokens(t)), "_w", register)
     w, s = F.col("_w"), F.col("_s")
     rates = {c[:-5] + "rate": T.ratio(F.col(c).cast("double"), F.size(w), 100) for c in src.columns if c.endswith("_count") and c[:-6] in CATEGORIES}
     named = {
-        "n_alpha_tokens": F.size(w).cast("double"), "ttr": ttr(w), "bigram_repetition_rate": ngram_repetition(s, 2), "trigram_repetition_rate": ngram_repetition(s, 3),
+        "n_alpha_tokens": F.size(w).cast("double"), "ttr": ttr(w), "mattr": mattr(w), "mtld": mtld(w), "bigram_repetition_rate": ngram_repetition(s, 2), "trigram_repetition_rate": ngram_repetition(s, 3),
         "function_word_rate": function_word_rate(w), "n_sentences": F.size(T.sentences(t)).cast("double"), "negation_sentence_rate": negation_sentence_rate(t),
-    } | punctuation(t, register) | rates
+    } | punctuation(t, register) | rates | {c: F.col(c).cast("double") for c in src.columns if c.endswith("_count") and c[:-6] in CATEGORIES}
     return src.select(*keys, *[v.alias(k) for k, v in named.items()])
 
 
@@ -145,3 +148,42 @@ def long_features(table: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, feature, value)."""
     names = [c for c in table.columns if c not in keys]
     return table.unpivot(keys, names, "feature", "value")
+
+
+#: The group of each native feature, by the beginning of its name.
+GROUPS = (("n_", "structure"), ("negation_sentence", "structure"), ("punct_", "punctuation"), ("bigram", "repetition"), ("trigram", "repetition"), ("ttr", "diversity"), ("mattr", "diversity"), ("mtld", "diversity"), ("function", "function_words"))
+
+
+def group_of(feature: Column) -> Column:
+    """structure, punctuation, repetition, diversity, function_words, or pragmatic for the marker families."""
+    out = F.lit("pragmatic")
+    for start, group in reversed(GROUPS):
+        out = F.when(feature.startswith(start), group).otherwise(out)
+    return out
+
+
+def twins(columns: list[str], left: str = "human_", right: str = "llm_") -> list[str]:
+    """Names x for which there are both a left-x and a right-x column, in the order of the table."""
+    return [c[len(left) :] for c in columns if c.startswith(left) and right + c[len(left) :] in columns]
+
+
+def twin_pairs(wide: DataFrame, keys: list[str], left: str = "human_", right: str = "llm_") -> DataFrame:
+    """(keys, feature, human, llm) of the columns that have a twin; nothing if there are none."""
+    names = twins(wide.columns, left, right)
+    rows = [F.struct(F.lit(n).alias("feature"), F.col(left + n).cast("double").alias("human"), F.col(right + n).cast("double").alias("llm")) for n in names]
+    none = F.array().cast("array<struct<feature:string,human:double,llm:double>>")
+    return wide.select(*keys, F.explode(F.array(*rows) if rows else none).alias("f")).select(*keys, "f.*")
+
+
+def side_features(texts: DataFrame, keys: list[str], side: str, left: str, text_col: str, register: str = "informal") -> DataFrame:
+    """(keys, condition, feature, human, llm) from one row per key and side: every native feature of the left side against each other side of the same key.
+
+    Each text's features are computed once; a key's few sides meet in one shuffle. Sides without text are left out.
+    """
+    table = feature_table(texts, [*keys, side], text_col, register)
+    names = [c for c in table.columns if c not in (*keys, side)]
+    packed = table.select(*keys, F.col(side).alias("_s"), F.array(*[F.round(c, 9) for c in names]).alias("_v"))
+    sides = packed.groupBy(*keys).agg(F.max(F.when(F.col("_s") == left, F.col("_v"))).alias("_l"), F.collect_list(F.when(F.col("_s") != left, F.struct("_s", "_v"))).alias("_r")).filter("_l IS NOT NULL")
+    pairs = sides.select(*keys, "_l", F.explode("_r").alias("r"))
+    listed = F.array(*map(F.lit, names))
+    return pairs.select(*keys, F.col("r._s").alias("condition"), F.explode(F.arrays_zip(listed.alias("feature"), F.col("_l").alias("human"), F.col("r._v").alias("llm"))).alias("f")).select(*keys, "condition", F.col("f.feature").alias("feature"), F.col("f.human").alias("human"), F.col("f.llm").alias("llm"))

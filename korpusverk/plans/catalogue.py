@@ -114,7 +114,7 @@ def mattr(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.alpha_tokens(F.col("text")).alias("w")).select("doc_id", r6(X.mattr(F.col("w")), "mattr"))
 
 
-@query()
+@query("SELECT doc_id, round(MTLD, 6) AS mtld FROM (SELECT doc_id, WORDS AS w FROM documents)")
 def mtld(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", r6(X.mtld(T.alpha_tokens(F.col("text"))), "mtld"))
 
@@ -555,6 +555,90 @@ def paired_effects(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(A.fdr(A.paired_tests(paired_features(spark, d), keys, exact_p=False), ["register", "condition"]), keys)
 
 
+def _mtld_sql(w: str) -> str:
+    """Factors of a word list by a fold over it, forwards and backwards."""
+
+    def factors(words: str) -> str:
+        seen = "CASE WHEN list_contains(a.seen, x.w) THEN a.seen ELSE list_append(a.seen, x.w) END"
+        state = "{{'w': {0}, 'seen': {1}, 'n': {2}, 'f': {3}}}".format
+        fold = f"list_reduce(list_transform({words}, lambda y: {state('y', 'CAST([] AS VARCHAR[])', '0', '0')}), lambda a, x: CASE WHEN len({seen}) <= {X.MTLD_LIMIT} * (a.n + 1) THEN {state(repr(''), 'CAST([] AS VARCHAR[])', '0', 'a.f + 1')} ELSE {state(repr(''), seen, 'a.n + 1', 'a.f')} END, {state(repr(''), 'CAST([] AS VARCHAR[])', '0', '0')})"
+        return f"(SELECT r.f + CASE WHEN r.n > 0 THEN (1 - len(r.seen) / r.n) / {1 - X.MTLD_LIMIT!r} ELSE 0 END FROM (SELECT {fold} AS r))"
+
+    one = lambda words: f"len({w}) / coalesce(nullif({factors(words)}, 0), 1.0)"
+    return f"CASE WHEN len({w}) >= 10 THEN ({one(w)} + {one(f'list_reverse({w})')}) / 2 END"
+
+
+def _native_sql(names: bool = False) -> str:
+    """Expressions of the native features over t, w (words), s (surface words), q (sentences) and n (tokens), in a list, or their names."""
+    grams = lambda k: f"CASE WHEN len(s) >= {k} THEN list_transform(range(1, len(s) - {k - 2}), lambda i: array_to_string(s[i:i + {k - 1}], ' ')) ELSE [] END"
+    again = lambda k: f"CASE WHEN len(s) >= {k} THEN (len(s) - {k - 1} - len(list_distinct({grams(k)}))) / (len(s) - {k - 1}) ELSE 0.0 END"
+    share = lambda a, b, k=1: f"CASE WHEN {b} > 0 THEN ({a}) * {float(k)} / {b} ELSE 0.0 END"
+    found = {
+        "n_alpha_tokens": "len(w)", "ttr": share("len(list_distinct(w))", "len(w)"),
+        "mattr": "CASE WHEN len(w) = 0 THEN 0.0 WHEN len(w) < 100 THEN len(list_distinct(w)) / len(w) ELSE list_sum(list_transform(range(1, len(w) - 98), lambda i: len(list_distinct(w[i:i + 99])))) / (len(w) - 99) / 100 END",
+        "mtld": _mtld_sql("w"), "bigram_repetition_rate": again(2), "trigram_repetition_rate": again(3), "function_word_rate": share(f"len(list_filter(w, lambda x: list_contains({sorted(set(FUNCTION_WORDS))}, x)))", "len(w)"),
+        "n_sentences": "len(q)", "negation_sentence_rate": share(f"len(list_filter(q, lambda x: regexp_matches(lower(x), '{_NEGATED}')))", "len(q)"),
+    } | {f"punct_{k}": share(" + ".join(f"(length(t) - length(replace(t, '{m}', ''))) / {len(m)}" for m in marks), "n", 100) for k, marks in X.MARKS.items()}
+    hits = {k: f"len(regexp_extract_all(' ' || array_to_string(w, '  ') || ' ', '{X.phrase_pattern(lex)}'))" for k, lex in CATEGORIES.items()}
+    found |= {f"{k}_rate": share(h, "len(w)", 100) for k, h in hits.items()} | {f"{k}_count": h for k, h in hits.items()}
+    return "[" + ", ".join(f"'{k}'" for k in found) + "]" if names else "[" + ", ".join(f"round(CAST({v} AS DOUBLE), 9)" for v in found.values()) + "]"
+
+
+_INFORMAL_ONLY = (*[f"punct_{m}" for m in X.INFORMAL_MARKS], *[f"{k}_{x}" for k in CATEGORIES if k not in X.FORMAL_CATEGORIES for x in ("rate", "count")])
+
+
+def _native_pairs_sql(sides: str, left: str) -> str:
+    """sides: (register, row_id, side, t)."""
+    return f"""f AS (SELECT register, row_id, side, unnest({_native_sql(True)}) AS feature, unnest({_native_sql()}) AS v FROM (SELECT *, {ALPHA.format('t')} AS w, {SURFACE.format('t')} AS s, {_sentences_sql('t')} AS q, {TOKENS.format('t')} AS n FROM ({sides}) WHERE {NONEMPTY.format('t')})),
+ x AS (SELECT h.register, l.side AS condition, h.feature, h.row_id, h.v AS human, l.v AS llm FROM f h JOIN f l ON h.register = l.register AND h.row_id = l.row_id AND h.feature = l.feature AND h.side = '{left}' AND l.side <> '{left}' WHERE h.v IS NOT NULL AND l.v IS NOT NULL AND (h.register = 'informal' OR h.feature NOT IN {_INFORMAL_ONLY}))"""
+
+
+def _versions(spark, d, registers: dict) -> list[tuple[str, DataFrame]]:
+    """Per register (register, row_id, side, text): one row for each of the named versions that has a text."""
+    out = []
+    for register, (name, columns) in registers.items():
+        sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("t")) for k, c in columns.items()]))
+        t = spread(table(spark, d, name), "row_id").select(F.lit(register).alias("register"), "row_id", sides.alias("s")).select("register", "row_id", "s.side", "s.t")
+        out.append((register, t.filter(T.non_empty(F.col("t")))))
+    return out
+
+
+def _version_sql(registers: dict) -> str:
+    return " UNION ALL ".join(f"SELECT '{r}' AS register, row_id, '{k}' AS side, {c} AS t FROM {name}" for r, (name, columns) in registers.items() for k, c in columns.items())
+
+
+_PAIRED = {reg: (name, {"human": human} | {c: prefix + c for c in P.REPORTED}) for reg, name, _, human, prefix in (P.FORMAL, P.INFORMAL)}
+_GENERATORS = {"informal": (P.INFORMAL[1], {"other": "generated_comment"} | {c: "comment_" + c for c in P.REPORTED})}
+
+
+def native_pairs(spark: SparkSession, d: str, registers: dict, left: str) -> DataFrame:
+    """(register, row_id, condition, feature, human, llm) of every native feature of the register."""
+    parts = [X.side_features(t, ["register", "row_id"], "side", left, "t", register) for register, t in _versions(spark, d, registers)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("WITH " + _native_pairs_sql(_version_sql(_PAIRED), "human") + ", " + _TESTS.format(k="register, condition, feature", f="register, condition", src="x") + f" SELECT register, condition, feature, {_EFFECT_COLUMNS} FROM e")
+def paired_effects_full(spark: SparkSession, d: str) -> DataFrame:
+    """Every native feature, marker family and mark of both registers, with one family of tests per register and condition."""
+    keys = ["register", "condition", "feature"]
+    return _rounded(A.fdr(A.paired_tests(native_pairs(spark, d, _PAIRED, "human"), keys, exact_p=False), ["register", "condition"]), keys)
+
+
+def _group_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN starts_with({c}, '{start}') THEN '{group}'" for start, group in X.GROUPS) + " ELSE 'pragmatic' END"
+
+
+@query("WITH " + _native_pairs_sql(_version_sql(_GENERATORS), "other") + ", " + _TESTS.format(k="register, condition, feature", f="register, condition", src="x") + f" SELECT register, condition, 'other vs ' || condition AS comparison, {_group_sql('feature')} AS feature_group, feature, {_EFFECT_COLUMNS} FROM e")
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Two generators' texts for the same document against each other, in six groups of features; one family per register, condition and comparison."""
+    keys = ["register", "condition", "feature"]
+    t = _rounded(A.fdr(A.paired_tests(native_pairs(spark, d, _GENERATORS, "other"), keys, exact_p=False), ["register", "condition"]), keys)
+    return t.select("register", "condition", F.concat(F.lit("other vs "), "condition").alias("comparison"), X.group_of(F.col("feature")).alias("feature_group"), *t.columns[2:])
+
+
 @query("WITH " + _TESTS.format(k="feature, l_returnflag, l_linestatus", f="feature", src="(SELECT unnest(['price', 'tax']) AS feature, l_returnflag, l_linestatus, l_quantity AS human, unnest([l_extendedprice / 1000, l_tax * 500]) AS llm FROM lineitem)") + f" SELECT feature, l_returnflag, l_linestatus, {_EFFECT_COLUMNS} FROM e")
 def paired_effects_large(spark: SparkSession, d: str) -> DataFrame:
     rows = F.array(F.struct(F.lit("price").alias("feature"), (F.col("l_extendedprice") / 1000).alias("llm")), F.struct(F.lit("tax").alias("feature"), (F.col("l_tax") * 500).alias("llm")))
@@ -745,6 +829,7 @@ def judge_parse(spark: SparkSession, d: str) -> DataFrame:
     return j.select("judge", "item_id", J.parse_response(raw).alias("p")).select("judge", "item_id", "p.*")
 
 
+ORACLES["mtld"] = ORACLES["mtld"].replace("MTLD,", _mtld_sql("w") + ",").replace("WORDS", ALPHA.format("text"))
 QUERIES.update(modelled.queries())
 ORACLES.update(modelled.oracle_sql())
 ORACLES["audit_by_condition"] = C.audit(_long_sql(), NONEMPTY, _refusal_case())
