@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusverk.functions import texts as T
+from korpusverk.operators.skew import hot_join
 
 CONDITIONS = ("baseline", "human_like", "detector_aware", "detector_evasive")
 REPORTED = ("baseline", "human_like", "detector_evasive")
@@ -61,14 +62,46 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
 
 
-def content_join(left: DataFrame, right: DataFrame, label: str, text: str, id_col: str) -> DataFrame:
-    """left rows with the lowest matching id of right under the normalised content key."""
+def none_of(bad: DataFrame, message: str) -> None:
+    """Raises ValueError with a few of the rows that should not be there."""
+    few = bad.limit(5).collect()
+    if few:
+        raise ValueError(f"{message}: {[tuple(r) for r in few]}")
+
+
+def validated_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Each row of left with the one row of right that has its key; a repeated key of right or a row without partner is an error, as is a null key."""
+    none_of(duplicate_ids(right, key), f"repeated {key}")
+    none_of(left.join(right, key, "left_anti").select(key), f"no row for {key}")
+    return left.join(right, key)
+
+
+def chained_lookup(done: DataFrame, texts: DataFrame, items: DataFrame, doc: str, text: str, group: str) -> DataFrame:
+    """(group, doc): done(doc) to its source text, to the items with that text, to their group; the lowest doc of each group. Null texts find nothing."""
+    found = done.join(texts.select(doc, text), doc).join(items.select(text, group).distinct(), text)
+    return found.groupBy(group).agg(F.min(doc).alias(doc))
+
+
+def strict_pivot(df: DataFrame, index: str, column: str, value: str, names: Sequence[str]) -> DataFrame:
+    """value by index and column, side by side; a cell with several rows is an error."""
+    cell = lambda n: F.when(F.count_if(F.col(column) == n) > 1, F.raise_error(F.concat(F.lit(f"several rows for {n} of "), F.coalesce(F.first(index).cast("string"), F.lit("null"))))).otherwise(F.first(F.when(F.col(column) == n, F.col(value)), ignorenulls=True))
+    kind = df.schema[value].dataType
+    return df.groupBy(index).agg(*[cell(n).cast(kind).alias(n) for n in names])
+
+
+def content_join(left: DataFrame, right: DataFrame, label: str, text: str, id_col: str, complete: bool = False) -> DataFrame:
+    """left rows with the lowest matching id of right under the normalised content key; with complete, a row without a match is an error."""
     keyed = right.select(T.document_key(F.col(label), F.col(text)).alias("_k"), F.col(id_col).alias("match_id")).groupBy("_k").agg(F.min("match_id").alias("match_id"))
-    return left.withColumn("_k", T.document_key(F.col(label), F.col(text))).join(keyed, "_k").drop("_k")
+    asked = left.withColumn("_k", T.document_key(F.col(label), F.col(text)))
+    if complete:
+        none_of(asked.join(keyed, "_k", "left_anti").select("_k"), "no match for")
+    return hot_join(asked, keyed, "_k").drop("_k")
 
 
-def supersede(items: DataFrame, id_col: str = "item_id", by: str = "supersedes") -> DataFrame:
-    """Items that no other item replaces."""
+def supersede(items: DataFrame, id_col: str = "item_id", by: str = "supersedes", strict: bool = False) -> DataFrame:
+    """Items that no other item replaces; with strict, an item that replaces an unknown one is an error."""
+    if strict:
+        none_of(items.filter(F.col(by).isNotNull()).select(F.col(by).alias(id_col)).join(items, id_col, "left_anti"), f"unknown {id_col} superseded")
     return items.join(items.filter(F.col(by).isNotNull()).select(F.col(by).alias(id_col)).distinct(), id_col, "left_anti")
 
 
@@ -100,6 +133,12 @@ def generator_pairs(df: DataFrame, key: Sequence[str], name: str, value: str) ->
     return a.join(b, list(key)).filter("name_a < name_b")
 
 
+def known_values(df: DataFrame, column: str, known: Sequence[str]) -> DataFrame:
+    """df, after a check that the column holds nothing but known values and nulls."""
+    none_of(df.filter(~F.col(column).isin(*known)).select(column).distinct(), f"unknown {column}")
+    return df
+
+
 def provenance(raw: Column, merged: Column, override: Column) -> tuple[Column, Column]:
     """(value, where it comes from): an override before a merged name before the raw one."""
     return F.coalesce(override, merged, raw), F.when(override.isNotNull(), "assigned").when(merged.isNotNull(), "diva_merged").when(raw.isNotNull(), "diva")

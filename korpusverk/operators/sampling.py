@@ -56,13 +56,24 @@ def assign_roles(df: DataFrame, key: str, roles: Sequence[str], per_role: int, s
     return top.withColumn("role", F.element_at(F.array(*map(F.lit, roles)), (F.floor(F.col("_r") / per_role) + 1).cast("int"))).drop("_r")
 
 
-def assign_threads(df: DataFrame, thread: str, key: str, roles: Sequence[str], seed: int) -> DataFrame:
-    """In each thread with enough rows, one row per role: the scarcest threads come first in priority, ties by hash."""
-    r = F.row_number().over(Window.partitionBy(thread).orderBy(seeded(seed, key), key))
-    few = df.withColumn("_r", r).filter(F.col("_r") <= len(roles))  # cut to a few rows a thread before the shuffle
-    sizes = df.groupBy(thread).agg(F.count(F.lit(1)).alias("thread_rows")).filter(F.col("thread_rows") >= len(roles))
-    kept = few.join(sizes, thread)
-    return kept.withColumn("role", F.element_at(F.array(*map(F.lit, roles)), F.col("_r"))).drop("_r")
+def assign_threads(df: DataFrame, thread: str, key: str, roles: dict[str, Column], seed: int) -> DataFrame:
+    """In each thread, one row of its own for each role that meets the role's condition; threads where that cannot be done are left out.
+
+    Roles with the fewest fitting rows in the thread come first; each takes the first of its rows, in a seeded order, that no role before it has taken. Only the
+    first len(roles) fitting rows of each role matter, so no more of a thread than that comes together in one place.
+    """
+    names = list(roles)
+    fits = df.select(thread, key, F.explode(F.array(*[F.struct(F.lit(i).alias("role"), F.coalesce(c, F.lit(False)).alias("ok")) for i, c in enumerate(roles.values())])).alias("f")).select(thread, key, "f.*").filter("ok")
+    sizes = fits.groupBy(thread, "role").agg(F.count(F.lit(1)).alias("n"))
+    order = F.array_sort(F.collect_list(F.struct("n", "role"))).alias("order")
+    turns = sizes.groupBy(thread).agg(order, F.count(F.lit(1)).alias("k")).filter(F.col("k") == len(names))
+    nearest = F.row_number().over(Window.partitionBy(thread, "role").orderBy("h", key))  # cut to a few rows in each task before the shuffle
+    few = fits.withColumn("h", seeded(seed, key)).withColumn("_r", nearest).filter(F.col("_r") <= len(names))
+    options = few.groupBy(thread, "role").agg(F.array_sort(F.collect_list(F.struct("h", F.col(key).alias("k")))).alias("rows"))
+    packed = options.groupBy(thread).agg(F.map_from_entries(F.collect_list(F.struct("role", "rows"))).alias("by"))
+    taken = F.aggregate("order", F.array().cast("array<struct<role:int,k:bigint>>"), lambda done, o: F.concat(done, F.transform(F.slice(F.filter(F.element_at("by", o["role"]), lambda r: ~F.exists(done, lambda x: x["k"] == r["k"])), 1, 1), lambda r: F.struct(o["role"].alias("role"), r["k"].cast("bigint").alias("k")))))
+    done = turns.join(packed, thread).withColumn("t", taken).filter(F.size("t") == len(names)).select(thread, F.explode("t").alias("t"))
+    return done.select(thread, F.col("t.k").alias(key), F.element_at(F.array(*map(F.lit, names)), F.col("t.role") + 1).alias("role"))
 
 
 def folds(df: DataFrame, k: int, seed: int, key: str, label: str | None = None) -> DataFrame:

@@ -89,3 +89,22 @@ def contrasts(judged: DataFrame, keys: Sequence[str], by: str, unit: str = "pair
         F.count(F.lit(1)).alias("n_pairs"), F.count_if((F.col("value_a") == 1) & (F.col("value_b") == 0)).alias("b"), F.count_if((F.col("value_a") == 0) & (F.col("value_b") == 1)).alias("c"),
         F.avg("value_a").alias("recall_a"), F.avg("value_b").alias("recall_b"))
     return cells.withColumn("delta", F.col("recall_b") - F.col("recall_a")).withColumn("p_value", mcnemar_p(F.col("b"), F.col("c"))).withColumn("method", F.when(F.col("b") + F.col("c") == 0, "no-discordance").otherwise("exact"))
+
+
+def pooled(judged: DataFrame, keys: Sequence[str], subgroup: str) -> DataFrame:
+    """Per subgroup n, accuracy, precision_human and recall_ai, and under _ALL_ their means weighted by n; a share without a base is null and left out of the sum."""
+    base = lambda a, b: F.count_if(a) / F.nullif(F.count_if(b), F.lit(0))
+    said, ai = F.col("predicted") == HUMAN, ~F.col("is_human")
+    s = judged.groupBy(*keys, subgroup).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("int")).alias("accuracy"), base(said & ~ai, said).alias("precision_human"), base(ai & (F.col("predicted") == MACHINE), ai).alias("recall_ai"))
+    whole = s.groupBy(*keys).agg(F.lit("_ALL_").alias(subgroup), F.sum("n").alias("N"), *[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in ("accuracy", "precision_human", "recall_ai")]).withColumnRenamed("N", "n")
+    return s.unionByName(whole)
+
+
+def report(df: DataFrame, keys: Sequence[str], truth: str, predicted: str, labels: Sequence[str]) -> DataFrame:
+    """(keys, label, precision, recall, f1, support) of each label; 0 where there is no base."""
+    t, p = F.col(truth), F.col(predicted)
+    counts = df.groupBy(*keys).agg(*[F.struct(F.lit(x).alias("label"), F.count_if((t == x) & (p == x)).alias("tp"), F.count_if(p == x).alias("said"), F.count_if(t == x).alias("support")).alias(f"_{i}") for i, x in enumerate(labels)])
+    c = counts.select(*keys, F.explode(F.array(*[F.col(f"_{i}") for i in range(len(labels))])).alias("c")).select(*keys, "c.*")
+    safe = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    c = c.withColumn("precision", safe(F.col("tp"), F.col("said"))).withColumn("recall", safe(F.col("tp"), F.col("support")))
+    return c.withColumn("f1", safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).select(*keys, "label", "precision", "recall", "f1", "support")

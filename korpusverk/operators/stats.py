@@ -28,6 +28,17 @@ def normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))
 
 
+#: Up to so many pairs without ties and zeros the signed-rank p-value is exact.
+EXACT = 50
+
+
+def signed_rank_p(stat: Column, n: Column) -> Column:
+    """Exact two-sided p of the smaller rank sum among n ranks, by counting subsets of 1..n by their sum."""
+    counts = F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), F.array(F.lit(1.0)), lambda c, k: F.transform(F.sequence(F.lit(0), F.size(c) + k - 1), lambda s: F.coalesce(F.get(c, s), F.lit(0.0)) + F.coalesce(F.get(c, s - k), F.lit(0.0))))
+    tail = F.aggregate(F.slice(counts, F.lit(1), stat.cast("int") + 1), F.lit(0.0), lambda a, x: a + x)
+    return F.least(2 * tail / F.pow(F.lit(2.0), n), F.lit(1.0))
+
+
 def range_bucket(value: Column, per_octave: int = 64) -> Column:
     """A number that never falls as value rises: 64 steps for each doubling of its size. It cuts a sorted group into tasks without looking at the data."""
     size = F.floor(F.log2(F.greatest(F.abs(value), F.lit(1e-300))) * per_octave) + per_octave * 1000
@@ -53,7 +64,8 @@ def paired_tests(pairs: DataFrame, keys: Sequence[str], human: str = "human", ll
     """Per key: n_pairs, medians, cohens_dz, rank_biserial, wilcoxon_stat, p_value, direction.
 
     Differences are llm - human over pairs with both numbers; fewer than three pairs give no row. Zero differences count in n_pairs but
-    not in the signed ranks; if all are zero, p is 1 and the effects are 0. The p-value is the normal approximation with tie correction.
+    not in the signed ranks; if all are zero, p is 1 and the effects are 0. The p-value is exact for up to 50 pairs without ties and zeros, else the normal approximation with tie correction
+    (exact_p: by the error function, otherwise by a rational approximation of it that SQL can express).
     Medians and ranks follow from the counts of distinct values and their running sums, so a key of any size is spread over tasks.
     """
     d = pairs.select(*keys, F.col(human).cast("double").alias("h"), F.col(llm).cast("double").alias("l")).filter("h IS NOT NULL AND l IS NOT NULL AND NOT isnan(h) AND NOT isnan(l)")
@@ -77,6 +89,8 @@ def paired_tests(pairs: DataFrame, keys: Sequence[str], human: str = "human", ll
     n, stat = F.col("_n").cast("double"), F.least("w_up", "w_down")
     z = (stat - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
     p = normal_p(z) if exact_p else erfc_approx(F.abs(z) / math.sqrt(2))
+    few = (F.col("_n") <= EXACT) & (F.col("_ties") == 0) & (F.col("_n") == F.col("n_pairs"))
+    p = F.when(few, signed_rank_p(stat, F.when(few, F.col("_n")).otherwise(1))).otherwise(p)
     return out.select(
         *keys, "n_pairs", "median_human", "median_llm", F.when(F.col("median_llm") > F.col("median_human"), "llm > human").when(F.col("median_llm") < F.col("median_human"), "llm < human").otherwise("equal").alias("direction"),
         F.when(F.col("_n").isNull(), F.lit(0.0)).otherwise(mean / sd).alias("cohens_dz"),

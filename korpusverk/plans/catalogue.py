@@ -502,10 +502,62 @@ def role_assignment(spark: SparkSession, d: str) -> DataFrame:
     return S.assign_roles(table(spark, d, "sv_abstracts_adversarial").select("row_id"), "row_id", ["a", "b", "c"], 10, 5)
 
 
-@query("SELECT row_id, thread_id, ['human', 'baseline', 'human_like', 'detector_evasive'][r] AS role FROM (SELECT row_id, thread_id, count(*) OVER (PARTITION BY thread_id) AS n, row_number() OVER (PARTITION BY thread_id ORDER BY md5('9|' || row_id), row_id) AS r FROM consolidated_informal_comments_adversarial WHERE thread_id IS NOT NULL) WHERE n >= 4 AND r <= 4")
+_BANDED = {"human": "human_comment", **{c: "comment_" + c for c in P.REPORTED}}
+
+
+def _assignment_sql() -> str:
+    fits = " UNION ALL ".join(f"SELECT thread_id, row_id, {i} AS role FROM {P.INFORMAL[1]} WHERE thread_id IS NOT NULL AND coalesce(length({c}) BETWEEN 40 AND 600, false)" for i, c in enumerate(_BANDED.values()))
+    steps, k = [], len(_BANDED)
+    for t in range(1, k + 1):
+        before = " AND ".join(f"f.row_id <> coalesce(s{u}.row_id, -1)" for u in range(1, t)) or "true"
+        joins = " ".join(f"LEFT JOIN s{u} ON s{u}.thread_id = f.thread_id" for u in range(1, t))
+        steps.append(f"s{t} AS (SELECT f.thread_id, f.role, arg_min(f.row_id, md5('9|' || f.row_id)) AS row_id FROM f JOIN o ON o.thread_id = f.thread_id AND o.role = f.role AND o.turn = {t} {joins} WHERE {before} GROUP BY ALL)")
+    names = "[" + ", ".join(f"'{n}'" for n in _BANDED) + "]"
+    whole = " ".join(f"JOIN s{u} USING (thread_id)" for u in range(2, k + 1))
+    pairs = " UNION ALL ".join(f"SELECT thread_id, row_id, role FROM s{u}" for u in range(1, k + 1))
+    return f"""WITH f AS ({fits}), n AS (SELECT thread_id, role, count(*) AS n FROM f GROUP BY ALL), o AS (SELECT thread_id, role, row_number() OVER (PARTITION BY thread_id ORDER BY n, role) AS turn FROM n WHERE thread_id IN (SELECT thread_id FROM n GROUP BY thread_id HAVING count(*) = {k})),
+ {', '.join(steps)}, w AS (SELECT thread_id FROM s1 {whole}) SELECT thread_id, row_id, {names}[role + 1] AS role FROM ({pairs}) JOIN w USING (thread_id)"""
+
+
+@query(_assignment_sql())
 def thread_assignment(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, P.INFORMAL[1]).filter("thread_id IS NOT NULL").select("row_id", "thread_id")
-    return S.assign_threads(t, "thread_id", "row_id", ["human", *P.REPORTED], 9).select("row_id", "thread_id", "role")
+    """In each thread one reply for each version, of which the text shown is of the right length; the scarcest versions choose first."""
+    t = table(spark, d, P.INFORMAL[1]).filter("thread_id IS NOT NULL")
+    return S.assign_threads(t, "thread_id", "row_id", {k: F.length(c).between(40, 600) for k, c in _BANDED.items()}, 9)
+
+
+@query("SELECT s.pair_id, min(e.row_id) AS row_id FROM embedding_pair_cosine_formal_human_like e JOIN (SELECT row_id, Title FROM embedding_pair_cosine_formal_human_like) t ON e.row_id = t.row_id JOIN (SELECT DISTINCT context, pair_id FROM quiz_master_balanced) s ON s.context = t.Title GROUP BY s.pair_id")
+def chained_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """From scored rows to their titles, to the quiz items with that title, to the items' documents."""
+    e = table(spark, d, "embedding_pair_cosine_formal_human_like")
+    q = table(spark, d, "quiz_master_balanced").select(F.col("context").alias("Title"), "pair_id")
+    return P.chained_lookup(e.select("row_id"), e.select("row_id", "Title"), q, "row_id", "Title", "pair_id")
+
+
+@query("SELECT row_id, feature, human, llm FROM (SELECT row_id, unnest(['chars', 'lines']) AS feature, unnest([CAST(length(Abstract) AS DOUBLE), CAST(length(Abstract) - length(replace(Abstract, chr(10), '')) AS DOUBLE)]) AS human, unnest([CAST(length(Abstract_baseline) AS DOUBLE), CAST(length(Abstract_baseline) - length(replace(Abstract_baseline, chr(10), '')) AS DOUBLE)]) AS llm FROM sv_abstracts_adversarial)")
+def twin_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns that have a twin under the other prefix, found by name; those without one are left out."""
+    c = {"human_": F.col("Abstract"), "llm_": F.col("Abstract_baseline")}
+    wide = [f.alias(side + n) for side, t in c.items() for n, f in (("chars", F.length(t)), ("lines", T.literal_count(t, "\n")))]
+    t = table(spark, d, P.FORMAL[1]).select("row_id", *wide, F.lit(1).alias("human_only"), F.lit(2).alias("llm_alone"))
+    return X.twin_pairs(t, ["row_id"])
+
+
+@query("WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL), t AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang) SELECT source, lang, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total, CAST(dense_rank() OVER (ORDER BY total DESC, lang) AS INT) AS place FROM c JOIN t USING (lang)")
+def entity_order(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per group and label, the labels in the order of their totals over all groups."""
+    c = docs(spark, d).filter("lang IS NOT NULL AND source IS NOT NULL").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    t = c.groupBy("lang").agg(F.sum("n").alias("total"))
+    placed = t.withColumn("place", F.dense_rank().over(Window.orderBy(F.desc("total"), "lang")))  # as many rows as labels
+    return c.join(placed, "lang").select("source", "lang", "n", "total", "place")
+
+
+@query("SELECT DISTINCT condition AS name, 'used' AS found FROM quiz_master_balanced WHERE condition IS NOT NULL AND condition NOT IN ('human', 'baseline', 'human_like') UNION ALL SELECT * FROM (VALUES ('human', 'listed'), ('baseline', 'listed'), ('human_like', 'listed'), ('rewritten', 'listed')) l(name, found) WHERE name NOT IN (SELECT condition FROM quiz_master_balanced WHERE condition IS NOT NULL)")
+def undocumented(spark: SparkSession, d: str) -> DataFrame:
+    """Conditions that are used but not in the list, and listed ones that are not used."""
+    used = table(spark, d, "quiz_master_balanced").filter("condition IS NOT NULL").select(F.col("condition").alias("name")).distinct()
+    listed = spark.createDataFrame([("human",), ("baseline",), ("human_like",), ("rewritten",)], "name string")
+    return used.join(listed, "name", "left_anti").withColumn("found", F.lit("used")).unionByName(listed.join(used, "name", "left_anti").withColumn("found", F.lit("listed")))
 
 
 # --- statistics ---------------------------------------------------------------------------------------------------------------
@@ -538,8 +590,9 @@ b AS (SELECT {k}, count(*) AS n_pairs, median(human) AS mh, median(llm) AS ml, a
 r AS (SELECT {k}, d, rank() OVER (PARTITION BY {k} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {k}, abs(d)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY {k}, abs(d)) AS t FROM d WHERE d <> 0),
 w AS (SELECT {k}, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS up, sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS down, count(*) AS n, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r GROUP BY {k}),
 z AS (SELECT {k}, n_pairs, mh, ml, CASE WHEN n IS NULL THEN 0.0 WHEN s > 0 THEN m / s END AS dz, coalesce((up - down) / (up + down), 0.0) AS rb, coalesce(least(up, down), 0.0) AS stat,
- abs((least(up, down) - n * (n + 1.0) / 4) / sqrt(n * (n + 1.0) * (2.0 * n + 1) / 24 - ties / 48)) / sqrt(2.0) AS x FROM b LEFT JOIN w USING ({k}) WHERE n_pairs >= 3),
-p AS (SELECT *, CASE WHEN x IS NULL THEN 1.0 ELSE (1 / (1 + 0.3275911 * x)) * (0.254829592 + (1 / (1 + 0.3275911 * x)) * (-0.284496736 + (1 / (1 + 0.3275911 * x)) * (1.421413741 + (1 / (1 + 0.3275911 * x)) * (-1.453152027 + (1 / (1 + 0.3275911 * x)) * 1.061405429)))) * exp(-x * x) END AS pv FROM z),
+ abs((least(up, down) - n * (n + 1.0) / 4) / sqrt(n * (n + 1.0) * (2.0 * n + 1) / 24 - ties / 48)) / sqrt(2.0) AS x, n, ties FROM b LEFT JOIN w USING ({k}) WHERE n_pairs >= 3),
+subsets AS (SELECT * FROM (WITH RECURSIVE c(k, l) AS (SELECT 0, [CAST(1 AS DOUBLE)] UNION ALL SELECT k + 1, list_transform(range(0, len(l) + k + 1), lambda s: coalesce(l[s + 1], 0) + CASE WHEN s > k THEN coalesce(l[s - k], 0) ELSE 0 END) FROM c WHERE k < 50) SELECT * FROM c)),
+p AS (SELECT z.*, CASE WHEN x IS NULL THEN 1.0 WHEN n <= 50 AND ties = 0 AND n = n_pairs THEN least(1.0, 2 * list_sum(l[1:CAST(stat AS INT) + 1]) / pow(2.0, n)) ELSE (1 / (1 + 0.3275911 * x)) * (0.254829592 + (1 / (1 + 0.3275911 * x)) * (-0.284496736 + (1 / (1 + 0.3275911 * x)) * (1.421413741 + (1 / (1 + 0.3275911 * x)) * (-1.453152027 + (1 / (1 + 0.3275911 * x)) * 1.061405429)))) * exp(-x * x) END AS pv FROM z LEFT JOIN subsets ON subsets.k = z.n),
 q AS (SELECT *, pv * count(*) OVER (PARTITION BY {f}) / (rank() OVER (PARTITION BY {f} ORDER BY pv) + count(*) OVER (PARTITION BY {f}, pv) - 1) AS raw FROM p),
 e AS (SELECT *, least(1.0, min(raw) OVER (PARTITION BY {f} ORDER BY pv RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS fdr FROM q)"""
 _EFFECT_COLUMNS = "CAST(n_pairs AS BIGINT) AS n_pairs, round(mh, 6) AS median_human, round(ml, 6) AS median_llm, CASE WHEN ml > mh THEN 'llm > human' WHEN ml < mh THEN 'llm < human' ELSE 'equal' END AS direction, round(dz, 6) AS cohens_dz, round(rb, 6) AS rank_biserial, round(stat, 1) AS wilcoxon_stat, round(pv, 6) AS p_value, round(fdr, 6) AS p_fdr_bh, fdr < 0.05 AS significant"
@@ -647,6 +700,13 @@ def paired_effects_large(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(A.fdr(A.paired_tests(t, keys, exact_p=False), ["feature"]), keys)
 
 
+@query("WITH " + _TESTS.format(k="l_orderkey", f="n_pairs", src="(SELECT l_orderkey, l_quantity AS human, l_extendedprice / 1000 AS llm FROM lineitem)") + f" SELECT l_orderkey, {_EFFECT_COLUMNS} FROM e")
+def paired_effects_small(spark: SparkSession, d: str) -> DataFrame:
+    """Many small samples with exact p-values; orders with as many lines are a family."""
+    t = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("human"), (F.col("l_extendedprice") / 1000).alias("llm"))
+    return _rounded(A.fdr(A.paired_tests(t, ["l_orderkey"], exact_p=False), ["n_pairs"]), ["l_orderkey"])
+
+
 @query(
     "WITH f AS " + _features_sql(("baseline", "human_like")) + ", x AS (SELECT a.register, 'baseline vs human_like' AS comparison, a.feature, a.row_id, a.llm AS human, b.llm AS llm FROM f a JOIN f b ON a.register = b.register AND a.feature = b.feature AND a.row_id = b.row_id AND a.condition = 'baseline' AND b.condition = 'human_like'), "
     + _TESTS.format(k="register, comparison, feature", f="comparison", src="x") + f" SELECT register, comparison, feature, {_EFFECT_COLUMNS} FROM e"
@@ -829,6 +889,38 @@ def judge_parse(spark: SparkSession, d: str) -> DataFrame:
     return j.select("judge", "item_id", J.parse_response(raw).alias("p")).select("judge", "item_id", "p.*")
 
 
+@query(
+    f"""WITH c AS (SELECT judge, register, count(*) AS n, sum(CAST(correct AS INT)) AS k, count(*) FILTER (NOT is_human AND predicted = 'AI') AS tp, count(*) FILTER (is_human AND predicted = 'MÄNNISKA') AS tn, count(*) FILTER (NOT is_human AND predicted = 'MÄNNISKA') AS fn, count(*) FILTER (NOT is_human) AS ai FROM {_JUDGED_SQL} GROUP BY ALL),
+ s AS (SELECT judge, register, n, k / n AS acc, tn / nullif(tn + fn, 0) AS ph, tp / nullif(ai, 0) AS ra FROM c) SELECT judge, register, CAST(n AS BIGINT) AS n, round(acc, 6) AS accuracy, round(ph, 6) AS precision_human, round(ra, 6) AS recall_ai FROM s
+ UNION ALL SELECT judge, '_ALL_', CAST(sum(n) AS BIGINT), round(sum(n * acc) / sum(n), 6), round(sum(n * ph) / sum(n), 6), round(sum(n * ra) / sum(n), 6) FROM s GROUP BY judge"""
+)
+def participant_pooling(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy, precision for human texts and recall for machine texts of each subgroup, and their means weighted by its size."""
+    p = cut(J.pooled(judged(spark, d), ["judge"], "register"))
+    return p.select("judge", "register", "n", *[r6(F.col(c), c) for c in ("accuracy", "precision_human", "recall_ai")])
+
+
+@query(
+    f"""WITH j AS (SELECT judge, CASE WHEN is_human THEN 'MÄNNISKA' ELSE 'AI' END AS truth, predicted FROM {_JUDGED_SQL}), l AS (SELECT DISTINCT judge, unnest(['MÄNNISKA', 'AI']) AS label FROM j),
+ c AS (SELECT l.judge, label, count(*) FILTER (truth = label AND predicted = label) AS tp, count(*) FILTER (truth <> label AND predicted = label) AS fp, count(*) FILTER (truth = label AND predicted <> label) AS fn FROM l JOIN j USING (judge) GROUP BY ALL),
+ m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS re FROM c)
+ SELECT judge, label, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6) AS f1, CAST(tp + fn AS BIGINT) AS support FROM m"""
+)
+def classification_report(spark: SparkSession, d: str) -> DataFrame:
+    """Precision, recall, F1 and support of each class."""
+    j = judged(spark, d).withColumn("truth", F.when(F.col("is_human"), J.HUMAN).otherwise(J.MACHINE))
+    r = J.report(j, ["judge"], "truth", "predicted", (J.HUMAN, J.MACHINE))
+    return r.select("judge", "label", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("WITH e AS (" + ORACLES["paired_effects_full"] + ") SELECT register, condition, arg_max(feature, (abs(cohens_dz), feature)) AS feature, round(max(abs(cohens_dz)), 6) AS largest, round(max(abs(cohens_dz)) FILTER (significant), 6) AS largest_significant FROM e GROUP BY register, condition")
+def largest_effects(spark: SparkSession, d: str) -> DataFrame:
+    """The feature with the largest absolute effect in each register and condition."""
+    e = paired_effects_full(spark, d)
+    size = F.abs("cohens_dz")
+    return e.groupBy("register", "condition").agg(F.max_by("feature", F.struct(size, F.col("feature"))).alias("feature"), r6(F.max(size), "largest"), r6(F.max(F.when(F.col("significant"), size)), "largest_significant"))
+
+
 ORACLES["mtld"] = ORACLES["mtld"].replace("MTLD,", _mtld_sql("w") + ",").replace("WORDS", ALPHA.format("text"))
 QUERIES.update(modelled.queries())
 ORACLES.update(modelled.oracle_sql())

@@ -37,8 +37,7 @@ def tag_count_merge(spark: SparkSession, d: str) -> DataFrame:
 def strict_pivot(spark: SparkSession, d: str) -> DataFrame:
     """Rows per source and register side by side; a repeated cell would be an error."""
     c = table(spark, d, "documents").groupBy("source", "register").agg(F.count(F.lit(1)).alias("n"))
-    one = lambda r: F.when(F.count_if(F.col("register") == r) > 1, F.raise_error(F.lit("repeated cell"))).otherwise(F.max(F.when(F.col("register") == r, F.col("n")))).cast("bigint").alias(r)
-    return c.groupBy("source").agg(one("formal"), one("informal"))
+    return P.strict_pivot(c, "source", "register", "n", ("formal", "informal"))
 
 
 def sentence_fragmentation(spark: SparkSession, d: str) -> DataFrame:
