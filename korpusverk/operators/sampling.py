@@ -63,17 +63,19 @@ def assign_threads(df: DataFrame, thread: str, key: str, roles: dict[str, Column
     first len(roles) fitting rows of each role matter, so no more of a thread than that comes together in one place.
     """
     names = list(roles)
-    fits = df.select(thread, key, F.explode(F.array(*[F.struct(F.lit(i).alias("role"), F.coalesce(c, F.lit(False)).alias("ok")) for i, c in enumerate(roles.values())])).alias("f")).select(thread, key, "f.*").filter("ok")
-    sizes = fits.groupBy(thread, "role").agg(F.count(F.lit(1)).alias("n"))
-    order = F.array_sort(F.collect_list(F.struct("n", "role"))).alias("order")
-    turns = sizes.groupBy(thread).agg(order, F.count(F.lit(1)).alias("k")).filter(F.col("k") == len(names))
-    nearest = F.row_number().over(Window.partitionBy(thread, "role").orderBy("h", key))  # cut to a few rows in each task before the shuffle
-    few = fits.withColumn("h", seeded(seed, key)).withColumn("_r", nearest).filter(F.col("_r") <= len(names))
-    options = few.groupBy(thread, "role").agg(F.array_sort(F.collect_list(F.struct("h", F.col(key).alias("k")))).alias("rows"))
-    packed = options.groupBy(thread).agg(F.map_from_entries(F.collect_list(F.struct("role", "rows"))).alias("by"))
-    taken = F.aggregate("order", F.array().cast("array<struct<role:int,k:bigint>>"), lambda done, o: F.concat(done, F.transform(F.slice(F.filter(F.element_at("by", o["role"]), lambda r: ~F.exists(done, lambda x: x["k"] == r["k"])), 1, 1), lambda r: F.struct(o["role"].alias("role"), r["k"].cast("bigint").alias("k")))))
-    done = turns.join(packed, thread).withColumn("t", taken).filter(F.size("t") == len(names)).select(thread, F.explode("t").alias("t"))
-    return done.select(thread, F.col("t.k").alias(key), F.element_at(F.array(*map(F.lit, names)), F.col("t.role") + 1).alias("role"))
+    ok = F.array(*[F.struct(F.lit(i).alias("_role"), F.coalesce(c, F.lit(False)).alias("ok")) for i, c in enumerate(roles.values())])
+    fits = df.select(F.col(thread).alias("_thread"), F.col(key).alias("_key"), F.explode(ok).alias("f")).select("_thread", "_key", "f.*").filter("ok AND _thread IS NOT NULL")
+    sizes = fits.groupBy("_thread", "_role").agg(F.count(F.lit(1)).alias("n"))
+    turns = sizes.groupBy("_thread").agg(F.array_sort(F.collect_list(F.struct("n", "_role"))).alias("order"), F.count(F.lit(1)).alias("roles")).filter(F.col("roles") == len(names))
+    nearest = F.row_number().over(Window.partitionBy("_thread", "_role").orderBy("h", "_key"))  # cut to a few rows in each task before the shuffle
+    few = fits.withColumn("h", seeded(seed, "_key")).withColumn("_r", nearest).filter(F.col("_r") <= len(names))
+    options = few.groupBy("_thread", "_role").agg(F.array_sort(F.collect_list(F.struct("h", F.col("_key").alias("k")))).alias("rows"))
+    packed = options.groupBy("_thread").agg(F.map_from_entries(F.collect_list(F.struct("_role", "rows"))).alias("by"))
+    free = lambda done, role: F.slice(F.filter(F.element_at("by", role), lambda r: ~F.exists(done, lambda x: x["k"] == r["k"])), 1, 1)
+    none = F.array().cast(f"array<struct<role:int,k:{df.schema[key].dataType.simpleString()}>>")
+    taken = F.aggregate("order", none, lambda done, o: F.concat(done, F.transform(free(done, o["_role"]), lambda r: F.struct(o["_role"].alias("role"), r["k"].alias("k")))))
+    done = turns.join(packed, "_thread").withColumn("taken", taken).filter(F.size("taken") == len(names)).select("_thread", F.explode("taken").alias("x"))
+    return done.select(F.col("_thread").alias(thread), F.col("x.k").alias(key), F.element_at(F.array(*map(F.lit, names)), F.col("x.role") + 1).alias("role"))
 
 
 def folds(df: DataFrame, k: int, seed: int, key: str, label: str | None = None) -> DataFrame:

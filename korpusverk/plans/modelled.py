@@ -233,7 +233,7 @@ def _unrounded() -> dict[str, str]:
         "surprisal_stats": f"WITH {_NLL} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CASE WHEN count(*) > 1 THEN avg(nll) END AS mean_surprisal, CASE WHEN count(*) > 1 THEN exp(avg(nll)) END AS ppl, CASE WHEN count(*) > 1 THEN coalesce(stddev_samp(nll), 0.0) END AS std_surprisal, CASE WHEN count(*) > 1 THEN max(nll) END AS max_surprisal, CASE WHEN count(*) > 1 THEN quantile_cont(nll, 0.9) END AS p90_surprisal, CASE WHEN count(*) > 1 THEN quantile_cont(nll, 0.95) END AS p95_surprisal, CASE WHEN count(*) > 1 THEN avg(CASE WHEN nll > 10 THEN 1 ELSE 0 END) END AS frac_above FROM m GROUP BY doc_id",
         "perplexity_windows": f"WITH {_NLL}, p AS (SELECT doc_id, win, avg(nll) AS a, count(*) AS n FROM m GROUP BY ALL), q AS (SELECT doc_id, CASE WHEN sum(n) > 1 THEN exp(avg(a)) END AS perplexity, CAST(sum(n) AS BIGINT) AS n_tokens FROM p GROUP BY doc_id), s AS (SELECT doc_id, sent, exp(avg(nll)) AS e FROM m GROUP BY ALL HAVING count(*) > 1), b AS (SELECT doc_id, CASE WHEN count(*) > 1 THEN stddev_samp(e) END AS burstiness FROM s GROUP BY doc_id) SELECT q.doc_id, perplexity, n_tokens, burstiness FROM q LEFT JOIN b USING (doc_id)",
         "sliding_windows": "WITH w AS (SELECT doc_id, len(coalesce(regexp_extract_all(lower(text), '\\p{L}+'), [])) AS n FROM documents), k AS (SELECT doc_id, n, unnest(range(0, CAST(greatest(ceil((n - 128) / 64), 0) AS BIGINT) + 1)) AS k FROM w) SELECT doc_id, CAST(greatest(least(n - k * 64, 128), 0) AS INT) AS n, CAST(CASE WHEN k = 0 THEN least(n, 128) ELSE least(k * 64 + 128, n) - ((k - 1) * 64 + 128) END AS INT) AS fresh FROM k",
-        "html_extract": "SELECT row_id, trim(replace(replace(replace(replace(topic, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS title, '2016-03-04' AS date, trim(regexp_replace(replace(replace(replace(replace(human_comment, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\\n{2,}', chr(10), 'g')) AS post FROM consolidated_informal_comments_adversarial WHERE human_comment IS NOT NULL AND question IS NOT NULL",
+        "html_extract": "SELECT row_id, trim(replace(replace(replace(replace(topic, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS title, '2016-03-04' AS date, regexp_replace(regexp_replace(replace(replace(replace(replace(human_comment, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\\n{2,}', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS post FROM consolidated_informal_comments_adversarial WHERE human_comment IS NOT NULL AND question IS NOT NULL",
         "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, sum(value) AS total FROM events GROUP BY ALL HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
         "stream_totals": "SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(sum(coalesce(value, 0)), 6) AS total FROM events GROUP BY user_id",
         "sentiment_scores": """WITH p AS (SELECT row_id, cosine_similarity * 0.6 AS p, (1 - cosine_similarity) * 0.5 AS n, 1 - cosine_similarity * 0.6 - (1 - cosine_similarity) * 0.5 AS u FROM embedding_pair_cosine_formal_human_like WHERE cosine_similarity IS NOT NULL), l AS (SELECT *, CASE WHEN u >= p AND u >= n THEN 'neutral' WHEN p >= n THEN 'positive' ELSE 'negative' END AS label FROM p)

@@ -139,7 +139,7 @@ def html_threads(html: Column) -> dict[str, Column]:
     title = F.trim(F.regexp_extract(html, r"(?is)<(?:h1|title)[^>]*>(.*?)</(?:h1|title)>", 1))
     body = F.regexp_extract(html, r"(?is)<div[^>]*post_message[^>]*>(.*?)</div>", 1)
     body = F.regexp_replace(body, r"(?is)<blockquote.*?</blockquote>", "")
-    return {"title": title, "date": F.regexp_extract(html, r"(\d{4}-\d{2}-\d{2})", 1), "post": F.trim(F.regexp_replace(F.regexp_replace(body, r"(?s)<[^>]+>", "\n"), r"\n{2,}", "\n"))}
+    return {"title": title, "date": F.regexp_extract(html, r"(\d{4}-\d{2}-\d{2})", 1), "post": F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"(?s)<[^>]+>", "\n"), r"\n{2,}", "\n"), r"^\s+|\s+\z", "")}
 
 
 def sampled_ids(spark: SparkSession, low: int, high: int, n: int, seed: int) -> DataFrame:
