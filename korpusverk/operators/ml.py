@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from korpusverk.operators.skew import hash62, prefix_rank
 from korpusverk.operators.stats import auc, hanley_mcneil
 from korpusverk.plans.runtime import cut
 
+#: Folds that are fitted at the same time.
+PARALLEL = 5
+
 
 def two_samples(pairs: DataFrame, key: str, human: str, llm: str) -> DataFrame:
     """(key, label, value): the human side as 0 stacked over the machine side as 1."""
@@ -46,7 +51,7 @@ def balanced(df: DataFrame) -> DataFrame:
 
 def estimator(model: str, n_train: int, trees: int = 400):
     if model == "lr":
-        return LogisticRegression(regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False, maxIter=200, featuresCol="features", labelCol="label", weightCol="weight")
+        return LogisticRegression(regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-4, featuresCol="features", labelCol="label", weightCol="weight")
     if model == "rf":
         return RandomForestClassifier(numTrees=trees, seed=0, featuresCol="features", labelCol="label", weightCol="weight")
     return GBTClassifier(maxDepth=3, maxIter=100, stepSize=0.1, seed=0, featuresCol="features", labelCol="label", weightCol="weight")
@@ -62,17 +67,21 @@ def cross_validate(df: DataFrame, key: str, model: str = "lr", k: int = 5, seed:
     smallest = df.groupBy("label").count().agg(F.min("count")).first()[0] or 0
     k = max(2, min(k, smallest))
     data = cut(balanced(folds(df.withColumn("_key", F.col(key)), k, seed, "_key", None if grouped else "label")))
-    n, parts = data.count(), []
-    for f in range(k):
+    n = data.count()
+
+    def one(f: int) -> DataFrame:
         train, test = data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)
         if scale:
             train, test = scaled(train, test)
         fitted = estimator(model, int(n * (k - 1) / k), trees).fit(train)
-        parts.append(fitted.transform(test).select(key, "label", "fold", vector_to_array("probability")[1].alias("score"), F.col("prediction").cast("int").alias("predicted")))
+        return cut(fitted.transform(test).select(key, "label", "fold", vector_to_array("probability")[1].alias("score"), F.col("prediction").cast("int").alias("predicted")))
+
+    with ThreadPool(min(k, PARALLEL)) as pool:  # the folds' jobs share the cluster
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), range(k))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return cut(out)
+    return out
 
 
 def cv_metrics(scores: DataFrame) -> DataFrame:
@@ -101,13 +110,14 @@ def permutation_test(scores: DataFrame, key: str, permutations: int = 200, seed:
     return j.groupBy("observed").agg(F.avg("auc").alias("null_mean_auc"), ((F.count_if(F.col("auc") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"), F.count(F.lit(1)).alias("n_permutations"))
 
 
-def importance(df: DataFrame, columns: Sequence[str], model: str = "lr", trees: int = 100) -> DataFrame:
+def importance(df: DataFrame, columns: Sequence[str], model: str = "lr", trees: int = 400) -> DataFrame:
     """Signed coefficients or impurity importances of a fit on all rows, largest first."""
     data = cut(balanced(assemble(df, columns)))
     data, _ = scaled(data, data.limit(0))
     fitted = estimator(model, data.count(), trees).fit(data)
     values = (fitted.coefficients if model == "lr" else fitted.featureImportances).toArray().tolist()
-    held = [c for c in columns if df.agg(F.count(c)).first()[0]]
+    some = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    held = [c for c in columns if some[c]]
     return df.sparkSession.createDataFrame(list(zip(held, values)), "feature string, weight double").orderBy(F.abs("weight").desc(), "feature")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from korpusverk.functions import texts as T
 from korpusverk.functions.lexicons import CATEGORIES, FUNCTION_WORDS, NEGATIONS
+from korpusverk.operators import annotations as N
 from korpusverk.operators import features as X
 from korpusverk.operators import pairing as P
 from korpusverk.operators import sampling as S
@@ -441,32 +442,34 @@ def top_topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _freq_sql(side: str) -> str:
-    words = f"SELECT register, unnest({ALPHA.format(side)}) AS w FROM ({_long_sql(('baseline',))})"
-    return f"(SELECT register, w, CAST(count(*) AS BIGINT) AS n FROM ({words}) WHERE NOT list_contains({sorted(set(FUNCTION_WORDS))}, w) GROUP BY ALL)"
+    words = f"SELECT register, condition, unnest({ALPHA.format(side)}) AS w FROM ({_long_sql(P.REPORTED)})"
+    return f"(SELECT register, condition, w, CAST(count(*) AS BIGINT) AS n FROM ({words}) WHERE NOT list_contains({sorted(set(FUNCTION_WORDS))}, w) GROUP BY ALL)"
 
 
 def _top_words(spark, d, side: str, n: int = 50) -> DataFrame:
     stop = sorted(set(FUNCTION_WORDS))
-    c = corpora(spark, d, ("baseline",)).select("register", F.explode(T.alpha_tokens(F.col(side))).alias("word")).filter(~F.col("word").isin(*stop)).groupBy("register", "word").agg(F.count(F.lit(1)).alias("n"))
-    return S.first_k(c, ["register"], [F.desc("n"), F.col("word")], n)
+    c = corpora(spark, d, P.REPORTED).select("register", "condition", F.explode(T.alpha_tokens(F.col(side))).alias("word")).filter(~F.col("word").isin(*stop)).groupBy("register", "condition", "word").agg(F.count(F.lit(1)).alias("n"))
+    return S.first_k(c, ["register", "condition"], [F.desc("n"), F.col("word")], n)
 
 
 def _top_sql(side: str, n: int = 50) -> str:
-    return f"(SELECT register, w AS word, n FROM (SELECT *, row_number() OVER (PARTITION BY register ORDER BY n DESC, w) AS r FROM {_freq_sql(side)}) WHERE r <= {n})"
+    return f"(SELECT register, condition, w AS word, n FROM (SELECT *, row_number() OVER (PARTITION BY register, condition ORDER BY n DESC, w) AS r FROM {_freq_sql(side)}) WHERE r <= {n})"
 
 
-@query(f"SELECT coalesce(h.register, a.register) AS register, coalesce(h.word, a.word) AS word, coalesce(h.n, 0) AS human_count, coalesce(a.n, 0) AS ai_count, coalesce(h.n, 0) - coalesce(a.n, 0) AS diff FROM {_top_sql('human')} h FULL JOIN {_top_sql('llm')} a ON h.register = a.register AND h.word = a.word")
+@query(f"SELECT coalesce(h.register, a.register) AS register, coalesce(h.condition, a.condition) AS condition, coalesce(h.word, a.word) AS word, coalesce(h.n, 0) AS human_count, coalesce(a.n, 0) AS ai_count, coalesce(h.n, 0) - coalesce(a.n, 0) AS diff FROM {_top_sql('human')} h FULL JOIN {_top_sql('llm')} a ON h.register = a.register AND h.condition = a.condition AND h.word = a.word")
 def word_freq_compare(spark: SparkSession, d: str) -> DataFrame:
     h, a = _top_words(spark, d, "human").withColumnRenamed("n", "h"), _top_words(spark, d, "llm").withColumnRenamed("n", "a")
-    j = h.join(a, ["register", "word"], "full_outer").na.fill(0, ["h", "a"])
-    return j.select("register", "word", F.col("h").alias("human_count"), F.col("a").alias("ai_count"), (F.col("h") - F.col("a")).alias("diff"))
+    j = h.join(a, ["register", "condition", "word"], "full_outer").na.fill(0, ["h", "a"])
+    return j.select("register", "condition", "word", F.col("h").alias("human_count"), F.col("a").alias("ai_count"), (F.col("h") - F.col("a")).alias("diff"))
 
 
-@query(f"SELECT register, CASE WHEN h AND a THEN 'shared' WHEN h THEN 'human' ELSE 'ai' END AS part, CAST(count(*) AS BIGINT) AS n FROM (SELECT register, word, bool_or(s = 'h') AS h, bool_or(s = 'a') AS a FROM (SELECT register, word, 'h' AS s FROM {_top_sql('human')} UNION ALL SELECT register, word, 'a' FROM {_top_sql('llm')}) GROUP BY ALL) GROUP BY ALL")
+@query(
+    f"""SELECT register, condition, CASE WHEN h AND a THEN 'shared' WHEN h THEN 'human' ELSE 'ai' END AS part, CAST(count(*) AS BIGINT) AS n FROM (SELECT register, condition, word, bool_or(s = 'h') AS h, bool_or(s = 'a') AS a FROM (SELECT register, condition, word, 'h' AS s FROM {_top_sql('human')} UNION ALL SELECT register, condition, word, 'a' FROM {_top_sql('llm')}) GROUP BY ALL) GROUP BY ALL"""
+)
 def vocab_venn(spark: SparkSession, d: str) -> DataFrame:
     both = _top_words(spark, d, "human").withColumn("s", F.lit("h")).unionByName(_top_words(spark, d, "llm").withColumn("s", F.lit("a")))
-    w = both.groupBy("register", "word").agg(F.max((F.col("s") == "h").cast("int")).alias("h"), F.max((F.col("s") == "a").cast("int")).alias("a"))
-    return w.groupBy("register", F.when(F.col("h") + F.col("a") == 2, "shared").when(F.col("h") == 1, "human").otherwise("ai").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    w = both.groupBy("register", "condition", "word").agg(F.max((F.col("s") == "h").cast("int")).alias("h"), F.max((F.col("s") == "a").cast("int")).alias("a"))
+    return w.groupBy("register", "condition", F.when(F.col("h") + F.col("a") == 2, "shared").when(F.col("h") == 1, "human").otherwise("ai").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT r AS id FROM (SELECT DISTINCT source_row AS r FROM quiz_master_balanced WHERE register = 'formal' UNION SELECT source_row FROM embedding_pair_cosine_formal_human_like) WHERE r IS NOT NULL")
@@ -763,6 +766,40 @@ def js_distance(spark: SparkSession, d: str) -> DataFrame:
     return j.select("register", "condition", "human_total", "llm_total", r6(F.col("js_divergence"), "js_divergence"), r6(F.col("js_distance"), "js_distance"))
 
 
+def _label_sql() -> str:
+    tokens = "regexp_extract_all(s, '\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]')"
+    named = "(regexp_matches(text, '^\\p{Lu}\\p{L}*$') AND i > 0)"
+    tag = f"CASE WHEN {named} THEN 'PROPN' WHEN regexp_matches(text, '^\\p{{L}}+$') THEN 'NOUN' WHEN regexp_matches(text, '^\\p{{N}}+$') THEN 'NUM' ELSE 'PUNCT' END"
+    dep = "CASE WHEN i = 0 THEN 'ROOT' WHEN lower(text) IN ('som', 'att') THEN 'acl:relcl' ELSE 'dep' END"
+    js = "0.5 * CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + 0.5 * CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END"
+    return f"""WITH v AS (SELECT register, side AS version, t FROM ({_version_sql(_PAIRED)}) WHERE {NONEMPTY.format('t')}), s AS (SELECT register, version, unnest(string_split(regexp_replace(trim(t), '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31))) AS s FROM v),
+ k AS (SELECT register, version, unnest({tokens}) AS text, unnest(range(0, len({tokens}))) AS i FROM s), l AS (SELECT register, version, 'dep' AS kind, {dep} AS label FROM k UNION ALL SELECT register, version, 'pos', {tag} FROM k UNION ALL SELECT register, version, 'ent', CASE WHEN {named} THEN 'LOC' ELSE 'none' END FROM k),
+ c AS (SELECT register, version, kind, label, count(*) AS n FROM l GROUP BY ALL), x AS (SELECT h.register, v.version AS condition, h.kind, h.label, h.n AS a, 0 AS b FROM c h JOIN (SELECT DISTINCT register, version FROM c WHERE version <> 'human') v ON h.register = v.register AND h.version = 'human' UNION ALL SELECT register, version, kind, label, 0, n FROM c WHERE version <> 'human'),
+ t AS (SELECT register, condition, kind, label, sum(a) AS a, sum(b) AS b FROM x GROUP BY ALL), p AS (SELECT *, a / sum(a) OVER w AS p, b / sum(b) OVER w AS q FROM t WINDOW w AS (PARTITION BY register, condition, kind))
+ SELECT register, condition, kind, CAST(sum(a) AS BIGINT) AS human_total, CAST(sum(b) AS BIGINT) AS llm_total, round(sum({js}), 6) AS js_divergence, round(sqrt(sum({js})), 6) AS js_distance FROM p GROUP BY register, condition, kind"""
+
+
+def label_distances(annotation: DataFrame, versions: DataFrame) -> DataFrame:
+    """Jensen-Shannon distances of the relation, tag and entity labels of the human side and each other version.
+
+    annotation: any parser's table, with doc_id; versions: (doc_id, register, version). Tokens without entity count as none. The counts of labels are few, so each version meets them in a small join.
+    """
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("label")) for k, c in (("dep", F.col("dep")), ("pos", F.col("pos")), ("ent", F.coalesce("ent", F.lit("none"))))])
+    counts = cut(annotation.join(versions, "doc_id").select("register", "version", F.explode(kinds).alias("k")).groupBy("register", "version", "k.kind", "k.label").agg(F.count(F.lit(1)).alias("n")))
+    others = counts.filter("version <> 'human'").select("register", F.col("version").alias("condition")).distinct()
+    human = counts.filter("version = 'human'").join(others, "register").select("register", "condition", "kind", "label", "n", F.lit("human").alias("side"))
+    both = human.unionByName(counts.filter("version <> 'human'").select("register", F.col("version").alias("condition"), "kind", "label", "n", F.lit("llm").alias("side")))
+    return A.jensen_shannon(both, ["register", "condition", "kind"], "label")
+
+
+@query(_label_sql())
+def js_labels(spark: SparkSession, d: str) -> DataFrame:
+    parts = [t for _, t in _versions(spark, d, _PAIRED)]
+    texts = parts[0].unionByName(parts[1]).withColumn("doc_id", F.concat_ws("|", "register", F.col("row_id").cast("string"), "side"))
+    j = label_distances(N.from_tokens(texts, "doc_id", "t"), texts.select("doc_id", "register", F.col("side").alias("version")))
+    return j.select("register", "condition", "kind", "human_total", "llm_total", r6(F.col("js_divergence"), "js_divergence"), r6(F.col("js_distance"), "js_distance"))
+
+
 @query(
     """WITH v AS (SELECT l_returnflag, CASE WHEN l_linestatus = 'O' THEN 'human' ELSE 'llm' END AS side, CAST(l_quantity AS DOUBLE) AS v FROM lineitem), c AS (SELECT l_returnflag, v, count(*) FILTER (side = 'human') AS a, count(*) FILTER (side = 'llm') AS b FROM v GROUP BY ALL),
  s AS (SELECT l_returnflag, lead(v) OVER w - v AS gap, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY l_returnflag) - sum(b) OVER w / sum(b) OVER (PARTITION BY l_returnflag)) AS diff FROM c WINDOW w AS (PARTITION BY l_returnflag ORDER BY v)) SELECT l_returnflag, round(coalesce(sum(gap * diff), 0.0), 6) AS wasserstein FROM s GROUP BY l_returnflag"""

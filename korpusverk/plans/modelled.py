@@ -42,35 +42,63 @@ def two_sample_lr(spark: SparkSession, d: str) -> DataFrame:
 
 
 def permutation_p(spark: SparkSession, d: str) -> DataFrame:
+    """Labels shuffled over one set of held-out scores; the classifier is not fitted again for each permutation."""
     ml = _machine_learning()
-    return ml.permutation_test(ml.cross_validate(ml.from_arrays(_embedded(spark, d), "embedding"), "vec_id"), "vec_id", 100)
-
-
-def _feature_matrix(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
-    """One row per version of each thesis: the pair, 0 for the human side, and its features."""
-    wide = spread(table(spark, d, P.FORMAL[1]), "row_id")
-    pairs = P.complete(P.long_texts(wide, "formal", "Abstract", "Abstract_", ("baseline",)))
-    stacked = _machine_learning().two_samples(pairs, "row_id", "human", "llm")
-    f = X.feature_table(stacked, ["row_id", "label"], "value", "formal")
-    return cut(f), [c for c in f.columns if c not in ("row_id", "label")]
+    return ml.permutation_test(ml.cross_validate(ml.from_arrays(_embedded(spark, d), "embedding"), "vec_id"), "vec_id")
+
+
+def _feature_matrices(spark: SparkSession, d: str, pooled: bool = False) -> list[tuple[str, str, DataFrame, list[str]]]:
+    """(register, condition, rows, features) of every register and reported condition: a row for each side of a pair, 0 for the human one.
+
+    A register's features are computed once for all its versions; pooled: one matrix per register, with all versions as the machine's side.
+    """
+    out = []
+    for register, name, _, human, prefix in (P.FORMAL, P.INFORMAL):
+        wide = spread(table(spark, d, name), "row_id")
+        sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("t")) for k, c in ({"human": human} | {c: prefix + c for c in P.REPORTED}).items()]))
+        texts = wide.select("row_id", sides.alias("s")).select("row_id", "s.side", "s.t").filter(T.non_empty(F.col("t")))
+        f = cut(X.feature_table(texts, ["row_id", "side"], "t", register))
+        names = [c for c in f.columns if c not in ("row_id", "side")]
+        if pooled:
+            whole = f.groupBy("row_id").agg(F.count_if(F.col("side") == "human").alias("_h"), F.count(F.lit(1)).alias("_n")).filter("_h = 1 AND _n > 1").select("row_id")
+            out.append((register, "all", f.join(whole, "row_id", "left_semi").withColumn("label", (F.col("side") != "human").cast("int")).drop("side"), names))
+        for condition in () if pooled else P.REPORTED:
+            both = f.filter(F.col("side").isin("human", condition)).withColumn("label", (F.col("side") != "human").cast("int"))
+            whole = both.groupBy("row_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 2").select("row_id")
+            out.append((register, condition, both.join(whole, "row_id", "left_semi").drop("side"), names))
+    return out
+
+
+def _detectors(spark: SparkSession, d: str, model: str, pooled: bool = False, **options) -> DataFrame:
+    """Cross-validated metrics of a feature detector for every register and condition, both sides of a pair in the same fold."""
+    ml, out = _machine_learning(), None
+    for register, condition, f, names in _feature_matrices(spark, d, pooled):
+        m = ml.cv_metrics(ml.cross_validate(ml.assemble(f, names), "row_id", model, grouped=True, **options)).select(F.lit(register).alias("register"), F.lit(condition).alias("condition"), "*")
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 def grouped_cv_auc(spark: SparkSession, d: str) -> DataFrame:
-    """Feature detector with both sides of a pair in the same fold."""
-    ml = _machine_learning()
-    f, names = _feature_matrix(spark, d)
-    return ml.cv_metrics(ml.cross_validate(ml.assemble(f, names), "row_id", grouped=True, scale=True))
+    return _detectors(spark, d, "lr", scale=True)
 
 
 def forest_cv_auc(spark: SparkSession, d: str) -> DataFrame:
-    ml = _machine_learning()
-    f, names = _feature_matrix(spark, d)
-    return ml.cv_metrics(ml.cross_validate(ml.assemble(f, names), "row_id", "rf", grouped=True, trees=100))
+    """400 trees, the human side against all reported versions of each register."""
+    return _detectors(spark, d, "rf", pooled=True)
+
+
+def boosted_cv_auc(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees, the human side against all reported versions of each register."""
+    return _detectors(spark, d, "gbt", pooled=True)
 
 
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    f, names = _feature_matrix(spark, d)
-    return _machine_learning().importance(f, names)
+    """Signed coefficients of the detector of each register and condition."""
+    ml, out = _machine_learning(), None
+    for register, condition, f, names in _feature_matrices(spark, d):
+        m = ml.importance(f, names).select(F.lit(register).alias("register"), F.lit(condition).alias("condition"), "*")
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 def pca2(spark: SparkSession, d: str) -> DataFrame:
@@ -82,11 +110,24 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matched_control(spark: SparkSession, d: str) -> DataFrame:
-    """Two-sample test restricted to the vectors whose neighbour exists too."""
-    ml = _machine_learning()
-    e = _embedded(spark, d)
-    kept = ml.matched(e, e.select((F.col("vec_id") - 1).alias("vec_id")), ["vec_id"])
-    return ml.cv_metrics(ml.cross_validate(ml.from_arrays(kept, "embedding"), "vec_id"))
+    """Every generator's two-sample test on the documents that all generators have, beside its test on all its documents.
+
+    Where the matched documents are all of them, the two must agree; a cell with fewer than 20 documents is left out.
+    """
+    ml, q = _machine_learning(), table(spark, d, "quiz_master_balanced").filter("text IS NOT NULL AND register = 'formal'")
+    pairs = q.groupBy("pair_id").agg(*[F.min_by("text", F.when(F.col("condition") == c, F.col("item_id"))).alias(c) for c in ("human", *P.REPORTED)])
+    complete = pairs.filter(" AND ".join(f"{c} IS NOT NULL" for c in ("human", *P.REPORTED)))
+    out = None
+    for c in P.REPORTED:
+        own = pairs.filter(f"human IS NOT NULL AND {c} IS NOT NULL")
+        for name, rows in (("all", own), ("matched", ml.matched(own, complete, ["pair_id"]))):
+            if not rows.limit(1).count():
+                continue
+            f = X.feature_table(ml.two_samples(rows, "pair_id", "human", c), ["pair_id", "label"], "value", "formal")
+            names = [x for x in f.columns if x not in ("pair_id", "label")]
+            m = ml.cv_metrics(ml.cross_validate(ml.assemble(cut(f), names), "pair_id", grouped=True, scale=True)).select(F.lit(c).alias("condition"), F.lit(name).alias("documents"), "*")
+            out = m if out is None else out.unionByName(m)
+    return out
 
 
 def _annotated(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +229,7 @@ def stream_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (two_sample_lr, permutation_p, grouped_cv_auc, forest_cv_auc, feature_importance, pca2, topics, matched_control, dep_metrics, ner_rates, pos_shares, top_relations, dependency_strings, gated_hedges, map_codec, perplexity_windows, surprisal_stats, sliding_windows, sentiment_scores, csv_repair, html_extract, json_emit, sampled_ids, stream_windows, stream_sessions, stream_totals)
+    named = (two_sample_lr, permutation_p, grouped_cv_auc, forest_cv_auc, boosted_cv_auc, feature_importance, pca2, topics, matched_control, dep_metrics, ner_rates, pos_shares, top_relations, dependency_strings, gated_hedges, map_codec, perplexity_windows, surprisal_stats, sliding_windows, sentiment_scores, csv_repair, html_extract, json_emit, sampled_ids, stream_windows, stream_sessions, stream_totals)
     return {f.__name__: f for f in named}
 
 

@@ -89,19 +89,20 @@ def distance_from_human(spark: SparkSession, d: str) -> DataFrame:
     """Conditions by their median absolute effect, nearest first."""
     from korpusverk.plans import catalogue
 
-    m = catalogue.paired_effects(spark, d).groupBy("register", "condition").agg(F.round(F.median(F.abs("cohens_dz")), 6).alias("median_effect"))
+    size = F.abs("cohens_dz")
+    m = catalogue.paired_effects(spark, d).groupBy("register", "condition").agg(F.round(F.median(size), 6).alias("median_effect"), F.round(F.max(size), 6).alias("largest_effect"), F.round(F.avg(size), 6).alias("mean_effect"))
     return m.withColumn("place", F.row_number().over(Window.partitionBy("register").orderBy("median_effect", "condition")))
 
 
 def one_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Per judge and register: accuracy against chance (normal approximation of the binomial), and the t value of confidence against 75."""
+    """Per judge and register: accuracy against chance (exact binomial p and its normal approximation z), and the t value of confidence against 75."""
     from korpusverk.plans import catalogue
 
     j = catalogue.judged(spark, d)
     g = j.groupBy("judge", "register").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("int")).alias("k"), F.avg("confidence").alias("m"), F.stddev_samp("confidence").alias("s"))
     z = (F.col("k") - F.col("n") * 0.5) / F.sqrt(F.col("n") * 0.25)
     half = 1.959963984540054 * F.col("s") / F.sqrt("n")
-    return g.select("judge", "register", "n", "k", F.round(z, 6).alias("z"), F.round(F.try_divide(F.col("m") - 75, F.col("s") / F.sqrt("n")), 6).alias("t"), F.round(F.col("m") - half, 6).alias("mean_lo"), F.round(F.col("m") + half, 6).alias("mean_hi"))
+    return g.select("judge", "register", "n", "k", F.round(z, 6).alias("z"), F.round(A.mcnemar_p(F.col("k"), F.col("n") - F.col("k")), 6).alias("p_exact"), F.round(F.try_divide(F.col("m") - 75, F.col("s") / F.sqrt("n")), 6).alias("t"), F.round(F.col("m") - half, 6).alias("mean_lo"), F.round(F.col("m") + half, 6).alias("mean_hi"))
 
 
 def queries() -> dict:
@@ -122,6 +123,6 @@ def oracle_sql() -> dict[str, str]:
         "categorical_order": f"WITH c AS (SELECT condition, CAST(count(*) AS BIGINT) AS n, coalesce(nullif(list_position({list(ORDER)}, condition), 0), 1000) AS k FROM quiz_master_balanced GROUP BY condition) SELECT condition, n, CAST(row_number() OVER (ORDER BY k, condition NULLS FIRST) AS INT) AS place FROM c",
         "prompts": "SELECT row_id, concat_ws(chr(10) || chr(10), nullif(concat_ws(chr(10) || chr(10), nullif(trim(question), ''), nullif(trim(human_comment), '')), chr(0)), CASE WHEN source = 'reddit' THEN 'Skriv kort.' END) AS prompt, CASE WHEN thread_id IS NOT NULL THEN 'https://forum.invalid/t' || thread_id || '/p' || row_id END AS link FROM consolidated_informal_comments_adversarial",
         "content_flags": f"SELECT row_id, regexp_matches(lower(human_comment), '{C.re2(T.LINK)}') AS link, regexp_matches(lower(human_comment), '{C.re2(T.SENSITIVE)}') AS sensitive, regexp_matches(human_comment, '[\\x{{1F000}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]') AS pictograph FROM consolidated_informal_comments_adversarial WHERE human_comment IS NOT NULL",
-        "distance_from_human": f"WITH m AS (SELECT register, condition, round(median(abs(cohens_dz)), 6) AS median_effect FROM ({effects}) GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY register ORDER BY median_effect, condition) AS INT) AS place FROM m",
-        "one_sample": f"SELECT judge, register, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS k, round((sum(CAST(correct AS INT)) - count(*) * 0.5) / sqrt(count(*) * 0.25), 6) AS z, round((avg(confidence) - 75) / (stddev_samp(confidence) / sqrt(count(*))), 6) AS t, round(avg(confidence) - 1.959963984540054 * stddev_samp(confidence) / sqrt(count(*)), 6) AS mean_lo, round(avg(confidence) + 1.959963984540054 * stddev_samp(confidence) / sqrt(count(*)), 6) AS mean_hi FROM {C._JUDGED_SQL} GROUP BY judge, register",
+        "distance_from_human": f"WITH m AS (SELECT register, condition, round(median(abs(cohens_dz)), 6) AS median_effect, round(max(abs(cohens_dz)), 6) AS largest_effect, round(avg(abs(cohens_dz)), 6) AS mean_effect FROM ({effects}) GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY register ORDER BY median_effect, condition) AS INT) AS place FROM m",
+        "one_sample": f"SELECT judge, register, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS k, round((sum(CAST(correct AS INT)) - count(*) * 0.5) / sqrt(count(*) * 0.25), 6) AS z, round(least(1.0, 2 * list_sum(list_transform(range(0, CAST(least(sum(CAST(correct AS INT)), count(*) - sum(CAST(correct AS INT))) AS BIGINT) + 1), lambda k: exp(lgamma(count(*) + 1) - lgamma(k + 1) - lgamma(count(*) - k + 1) - count(*) * ln(2.0))))), 6) AS p_exact, round((avg(confidence) - 75) / (stddev_samp(confidence) / sqrt(count(*))), 6) AS t, round(avg(confidence) - 1.959963984540054 * stddev_samp(confidence) / sqrt(count(*)), 6) AS mean_lo, round(avg(confidence) + 1.959963984540054 * stddev_samp(confidence) / sqrt(count(*)), 6) AS mean_hi FROM {C._JUDGED_SQL} GROUP BY judge, register",
     }
