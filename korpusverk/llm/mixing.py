@@ -48,7 +48,7 @@ def mix(docs: DataFrame, targets: DataFrame, path: str | None = None, budget: in
     with its documents, tokens and actual share. budget: tokens to mix, by default the most at which every source with documents keeps its share
     (shares are taken among those sources). With a larger budget a source too small even with all repeats gives what it has, and the report
     shows it. A source without documents, or with a null or non-positive target or max_repeats, has share 0; documents with a null or
-    untargeted source or without a token are never chosen.
+    untargeted source or without a token are never chosen. A source's last document may overrun its share.
     """
     spark = docs.sparkSession
     wanted = [(r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.orderBy("source").collect() if r["source"] is not None]  # a settings table
@@ -61,15 +61,16 @@ def mix(docs: DataFrame, targets: DataFrame, path: str | None = None, budget: in
     else:
         slots = max(1, min(slots, total // BLOCK))
         block = max(1, total // slots)
-        plan = cut(schedule(spark, [(s, w) for s, w, _ in able], slots))
-        due = {r["source"]: r["n"] for r in plan.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-        rows = [(s, min(m, math.ceil(due.get(s, 0) * block / held[s][0])), held[s][0], due.get(s, 0)) for s, w, m in able]
+        plan = cut(schedule(spark, [(s, w) for s, w, _ in able], slots + slots // 32 + 64))  # spare slots, as a source may get a few less than its share
+        whole = sum(w for _, w, _ in able)
+        due = {s: round(total * w / whole) for s, w, _ in able}
+        rows = [(s, min(m, math.ceil(due[s] / held[s][0])), held[s][0], due[s]) for s, w, m in able]
         rounds = spark.createDataFrame(rows, "source string, rounds int, held bigint, due bigint").filter("rounds > 0")
         laps = sized.join(F.broadcast(rounds), "source").withColumn("lap", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
         n = sum(held[s][1] * k for s, k, _, _ in rows)
         placed = prefix_rank(laps, ["source", "lap"], hash62(F.lit(seed), "lap", "doc_id"), "doc_id", F.col("n_tokens"), rows=n)
         start = (F.col("_before") + F.col("lap") * F.col("held")).cast("bigint")
-        placed = placed.withColumn("start", start).withColumn("rank", F.expr(f"start div {block}")).filter("rank < due")
+        placed = placed.withColumn("start", start).withColumn("rank", F.expr(f"start div {block}")).filter("start < due")
         joined = placed.join(F.broadcast(plan), ["source", "rank"])  # slots rows
         place = F.col("position") * F.lit(block) + F.col("start") % F.lit(block)
         chosen = joined.groupBy("doc_id", "source", "n_tokens").agg(F.count(F.lit(1)).alias("repeats"), F.array_sort(F.collect_list(place.cast("bigint"))).alias("positions"))  # max_repeats places
