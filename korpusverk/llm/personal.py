@@ -52,9 +52,10 @@ UNITS = frozenset("kr kronor sek st euro procent mil minuter dagar veckor år ti
 DIRECTIONS = frozenset("norra södra östra västra gamla nya stora lilla övre nedre".split())
 DIGITS = frozenset("noll nolla ett en etta två tvåa tre trea fyra fem femma sex sexa sju sjua åtta nio nia plus".split())
 STREET = re.compile(r"(?:gatan|gata|vägen|väg|stigen|stig|gränden|gränd|backen|backe|allén|allé|torget|torg|esplanaden|leden|kajen|plan|parken|stråket)$")
-MAIL = re.compile(r"[\w.+-]*\w\s?(?:@|\(at\)|\[at\]|\{at\}|\ssnabel-?a\s|\(a\)|&#64;)\s?\w[\w-]*(?:\s?(?:\.|\[dot\]|\(dot\)|\(punkt\)|\spunkt\s)\s?\w[\w-]+)+", re.I)
+MAIL = re.compile(r"(?<![\w.+-])[\w.+-]*\w\s?(?:@|\(at\)|\[at\]|\{at\}|\ssnabel-?a\s|\(a\)|&#64;)\s?\w[\w-]*(?:\s?(?:\.|\[dot\]|\(dot\)|\(punkt\)|\spunkt\s)\s?\w[\w-]+)+", re.I)
 MAIL_SIGNS = re.compile(r"@|snabel|\(at\)|\[at\]|\{at\}|\(a\)|&#64;", re.I)
 HANDLE = re.compile(r"@\w+")
+LETTERS = re.compile(r"[^\W\d_]{3,30}(?:-[^\W\d_]{1,20})?")
 TOKEN = re.compile(r"\d+|[^\W\d_]+(?:-[^\W\d_]+)*(?::[^\W\d_]+)?")
 #: Words after a cue that are no names.
 NO_NAMES = frozenset("inget inte min mitt mina hans hennes din alla någon ingen svärfar svärmor mekanikern killen hon han en ett det den de jag du vi ring tack tel adress kontakt skicka maila edit uppdatering på till om".split())
@@ -186,7 +187,7 @@ def nodes(text: str, doc: int = 0) -> list[Node]:
 def starts(text: str, at: int) -> bool:
     """A text, line or sentence begins at the place."""
     left = text[max(0, at - 4) : at].rstrip(" \"'”>*-(")
-    return not text[:at].strip() or left[-1:] in ("\n", ".", "!", "?", ":", "")
+    return left[-1:] in ("\n", ".", "!", "?", ":", "")
 
 
 def features(text: str, s: Node, tokens: list, low: list[str], mixed: bool, upper: bool) -> list[str]:
@@ -243,7 +244,7 @@ def chain_type(text: str, a: Node, b: Node) -> int:
 
 
 def links(found: list[Node], texts) -> list[tuple[int, int, int]]:
-    """(i, j, type) of chain links between neighbouring tokens and of skip links to the next node of the same form, and from mailboxes to like names."""
+    """(i, j, type) of chain links between neighbouring tokens, and of skip links to the next node of the same form and from names to the first mailbox that begins with them."""
     out, last, boxes = [], {}, {}
     for i, s in enumerate(found):
         if i and found[i - 1].doc == s.doc and s.at - found[i - 1].at == 1:
@@ -254,10 +255,11 @@ def links(found: list[Node], texts) -> list[tuple[int, int, int]]:
                 out.append((last[k], i, SAME))
             last[k] = i
         elif s.kind == "mail":
-            boxes.setdefault(s.doc, []).append(i)
-    for i, s in enumerate(found):
-        if s.kind in ("name", "cap") and len(s.key) > 2 and s.doc in boxes:
-            out += [(i, j, LIKE) for j in boxes[s.doc] if found[j].key.startswith(s.key)]
+            start = LETTERS.match(s.key)
+            for n in range(3, len(start[0]) + 1 if start else 0):
+                boxes.setdefault((s.doc, s.key[:n]), i)
+    if boxes:
+        out += [(i, boxes[s.doc, s.key], LIKE) for i, s in enumerate(found) if s.kind in ("name", "cap") and (s.doc, s.key) in boxes]
     return out
 
 

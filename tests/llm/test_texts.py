@@ -404,6 +404,16 @@ def test_personal_of_odd_rows(odd, empty):
     assert personal.personal_kinds(empty, "id", "t").count() == 0
 
 
+def test_very_long_texts_take_linear_time():
+    import time
+
+    model = personal.train(steps=20)
+    long = ["a" * 200_000 + " @ x", "Anna Berg " * 20_000, "anna@post.example Anna " * 8_000, "070-123 45 67 " * 10_000, ("Ord " * 5 + ". ") * 8_000]
+    began = time.perf_counter()
+    got = personal.find(long, model)
+    assert time.perf_counter() - began < 30 and len(got) == 5
+
+
 def test_number_checks():
     assert personal.is_id("811218-9876") and personal.is_id("19811218 9876") and not personal.is_id("811318-9876")
     assert personal.is_phone("+46 (0)70-1740663") and personal.is_phone("0046701740663") and not personal.is_phone("556633-7215")
