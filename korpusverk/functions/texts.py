@@ -190,6 +190,13 @@ def prompt(base: Column, suffix: Column) -> Column:
     return F.concat_ws("\n\n", base, F.nullif(suffix, F.lit("")))
 
 
+def fill(template: Column, **values: Column) -> Column:
+    """The template with each {name} replaced by its value, '' for null; values are not searched for names again if they hold none."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    return template
+
+
 def with_question(question: Column, body: Column) -> Column:
     return F.concat_ws("\n\n", F.nullif(F.trim(question), F.lit("")), F.nullif(F.trim(body), F.lit("")))
 

@@ -335,7 +335,7 @@ def provenance(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sv_abstracts_adversarial").select("row_id", "Topic_Category")
     merged = s.filter("Topic_Category < 'N'").select("Topic_Category", F.upper("Topic_Category").alias("merged")).distinct()
     override = s.filter("row_id % 10 = 3").select("row_id", F.lit("Övrigt").alias("override"))
-    j = s.join(F.broadcast(merged), "Topic_Category", "left").join(override, "row_id", "left")
+    j = s.join(merged, "Topic_Category", "left").join(override, "row_id", "left")
     value, origin = P.provenance(F.col("Topic_Category"), F.col("merged"), F.col("override"))
     return j.select("row_id", value.alias("topic"), origin.alias("origin"))
 

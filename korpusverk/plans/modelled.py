@@ -188,7 +188,8 @@ def sentiment_scores(spark: SparkSession, d: str) -> DataFrame:
     p, n = F.col("cosine_similarity") * 0.6, (1 - F.col("cosine_similarity")) * 0.5
     neutral = 1 - p - n
     label = F.when((neutral >= p) & (neutral >= n), "neutral").when(p >= n, "positive").otherwise("negative")
-    return e.select("row_id", label.alias("label"), *[c.alias(k) for k, c in L.sentiment(label, p, n, neutral).items()])
+    shown = F.format_string("%s (%.2f)", label, F.greatest(p, n, neutral))
+    return e.select("row_id", label.alias("label"), shown.alias("shown"), *[c.alias(k) for k, c in L.sentiment(label, p, n, neutral).items()])
 
 
 def csv_repair(spark: SparkSession, d: str) -> DataFrame:
@@ -278,7 +279,7 @@ def _unrounded() -> dict[str, str]:
         "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, sum(value) AS total FROM events GROUP BY ALL HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
         "stream_totals": "SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(sum(coalesce(value, 0)), 6) AS total FROM events GROUP BY user_id",
         "sentiment_scores": """WITH p AS (SELECT row_id, cosine_similarity * 0.6 AS p, (1 - cosine_similarity) * 0.5 AS n, 1 - cosine_similarity * 0.6 - (1 - cosine_similarity) * 0.5 AS u FROM embedding_pair_cosine_formal_human_like WHERE cosine_similarity IS NOT NULL), l AS (SELECT *, CASE WHEN u >= p AND u >= n THEN 'neutral' WHEN p >= n THEN 'positive' ELSE 'negative' END AS label FROM p)
- SELECT row_id, label, round(p - n, 6) AS signed_polarity, round(1 - u, 6) AS affective_extremity, CAST(label <> 'neutral' AS INT) AS is_subjective FROM l""",
+ SELECT row_id, label, printf('%s (%.2f)', label, greatest(p, n, u)) AS shown, round(p - n, 6) AS signed_polarity, round(1 - u, 6) AS affective_extremity, CAST(label <> 'neutral' AS INT) AS is_subjective FROM l""",
     }
 
 

@@ -70,6 +70,33 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     return t.select("row_id", T.prompt(base, suffix).alias("prompt"), link.alias("link"))
 
 
+#: A template for each register and condition: (register, condition, text).
+TEMPLATES = [(r, c, f"{opening} {{label}}{style}") for r, opening in (("formal", "Skriv ett abstrakt till uppsatsen:"), ("informal", "Svara på inlägget:")) for c, style in (("baseline", ""), ("human_like", "\n\nSkriv som en människa."), ("detector_aware", "\n\nTexten ska granskas."), ("detector_evasive", "\n\nTexten ska inte kunna kännas igen."))]
+
+
+def prompt_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt of every document of both registers for every condition, from a table of eight templates."""
+    t = F.broadcast(spark.createDataFrame(TEMPLATES, "register string, condition string, template string"))  # a settings table
+    parts = [table(spark, d, name).select(F.lit(reg).alias("register"), "row_id", F.col(label).alias("label")) for reg, name, label, _, _ in (P.FORMAL, P.INFORMAL)]
+    j = parts[0].unionByName(parts[1]).join(t, "register")
+    return j.select("register", "row_id", "condition", T.fill(F.col("template"), label=F.col("label")).alias("prompt"))
+
+
+def kept_by_token_floor(spark: SparkSession, d: str, floor: int = 20) -> DataFrame:
+    """Pairs per register and condition, and how many of them the floor on either side's words keeps; empty sides are kept."""
+    parts = [P.long_texts(table(spark, d, name), reg, human, prefix, P.REPORTED) for reg, name, _, human, prefix in (P.FORMAL, P.INFORMAL)]
+    n = lambda c: F.size(T.alpha_tokens(F.col(c)))
+    return parts[0].unionByName(parts[1]).groupBy("register", "condition").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(P.token_floor(n("human"), n("llm"), floor)).alias("kept"))
+
+
+def metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A one-row summary as (metric, value) rows."""
+    from korpusverk.sources import files
+
+    c = table(spark, d, "sv_abstracts_adversarial")
+    return files.key_values(c.agg(F.count(F.lit(1)).alias("rows"), F.count("Abstract").alias("abstracts"), F.min("Year").alias("first_year"), F.max("Year").alias("last_year")))
+
+
 def content_flags(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("human_comment")
     t = table(spark, d, "consolidated_informal_comments_adversarial").filter("human_comment IS NOT NULL")
@@ -106,7 +133,7 @@ def one_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (previews, published_delta, tag_count_merge, strict_pivot, sentence_fragmentation, audit_by_condition, categorical_order, prompts, content_flags, top_effects, distance_from_human, one_sample)}
+    return {f.__name__: f for f in (previews, published_delta, tag_count_merge, strict_pivot, sentence_fragmentation, audit_by_condition, categorical_order, prompts, prompt_templates, kept_by_token_floor, metric_rows, content_flags, top_effects, distance_from_human, one_sample)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -122,6 +149,9 @@ def oracle_sql() -> dict[str, str]:
         "sentence_fragmentation": f"WITH s AS (SELECT source, len({C._sentences_sql('text')}) AS s, {C.TOKENS.format('text')} AS n, len({C.ALPHA.format('text')}) AS w, {hits('.')} AS p FROM documents WHERE text IS NOT NULL) SELECT source, round(avg(s), 6) AS sentences, round(avg(n), 6) AS tokens, round(sum(w) / nullif(sum(s), 0), 6) AS words_per_sentence, round(100.0 * sum(p) / nullif(sum(n), 0), 6) AS periods_per_100 FROM s GROUP BY source",
         "categorical_order": f"WITH c AS (SELECT condition, CAST(count(*) AS BIGINT) AS n, coalesce(nullif(list_position({list(ORDER)}, condition), 0), 1000) AS k FROM quiz_master_balanced GROUP BY condition) SELECT condition, n, CAST(row_number() OVER (ORDER BY k, condition NULLS FIRST) AS INT) AS place FROM c",
         "prompts": "SELECT row_id, concat_ws(chr(10) || chr(10), nullif(concat_ws(chr(10) || chr(10), nullif(trim(question), ''), nullif(trim(human_comment), '')), chr(0)), CASE WHEN source = 'reddit' THEN 'Skriv kort.' END) AS prompt, CASE WHEN thread_id IS NOT NULL THEN 'https://forum.invalid/t' || thread_id || '/p' || row_id END AS link FROM consolidated_informal_comments_adversarial",
+        "prompt_templates": "SELECT t.register, row_id, t.condition, replace(template, '{label}', coalesce(label, '')) AS prompt FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in TEMPLATES) + ") t(register, condition, template) JOIN (SELECT 'formal' AS register, row_id, Title AS label FROM sv_abstracts_adversarial UNION ALL SELECT 'informal', row_id, question FROM consolidated_informal_comments_adversarial) d ON d.register = t.register",
+        "kept_by_token_floor": f"WITH n AS (SELECT register, condition, len({C.ALPHA.format('human')}) AS h, len({C.ALPHA.format('llm')}) AS l FROM ({C._long_sql(P.REPORTED)})) SELECT register, condition, CAST(count(*) AS BIGINT) AS pairs, CAST(count(*) FILTER (NOT ((h > 0 AND h < 20) OR (l > 0 AND l < 20))) AS BIGINT) AS kept FROM n GROUP BY ALL",
+        "metric_rows": "SELECT unnest(['rows', 'abstracts', 'first_year', 'last_year']) AS metric, CAST(unnest([count(*), count(Abstract), min(Year), max(Year)]) AS VARCHAR) AS value FROM sv_abstracts_adversarial",
         "content_flags": f"SELECT row_id, regexp_matches(lower(human_comment), '{C.re2(T.LINK)}') AS link, regexp_matches(lower(human_comment), '{C.re2(T.SENSITIVE)}') AS sensitive, regexp_matches(human_comment, '[\\x{{1F000}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]') AS pictograph FROM consolidated_informal_comments_adversarial WHERE human_comment IS NOT NULL",
         "distance_from_human": f"WITH m AS (SELECT register, condition, round(median(abs(cohens_dz)), 6) AS median_effect, round(max(abs(cohens_dz)), 6) AS largest_effect, round(avg(abs(cohens_dz)), 6) AS mean_effect FROM ({effects}) GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY register ORDER BY median_effect, condition) AS INT) AS place FROM m",
         "one_sample": f"SELECT judge, register, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS k, round((sum(CAST(correct AS INT)) - count(*) * 0.5) / sqrt(count(*) * 0.25), 6) AS z, round(least(1.0, 2 * list_sum(list_transform(range(0, CAST(least(sum(CAST(correct AS INT)), count(*) - sum(CAST(correct AS INT))) AS BIGINT) + 1), lambda k: exp(lgamma(count(*) + 1) - lgamma(k + 1) - lgamma(count(*) - k + 1) - count(*) * ln(2.0))))), 6) AS p_exact, round((avg(confidence) - 75) / (stddev_samp(confidence) / sqrt(count(*))), 6) AS t, round(avg(confidence) - 1.959963984540054 * stddev_samp(confidence) / sqrt(count(*)), 6) AS mean_lo, round(avg(confidence) + 1.959963984540054 * stddev_samp(confidence) / sqrt(count(*)), 6) AS mean_hi FROM {C._JUDGED_SQL} GROUP BY judge, register",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 from collections.abc import Sequence
 
@@ -23,7 +24,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder of checkpoint(): the session's own setting wins.
 
-    Only where none is set, and only in local mode, a folder on this machine is taken.
+    Only where none is set, and only in local mode, a folder on this machine is taken; it goes with the session.
     """
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
@@ -33,7 +34,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not asked:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        asked = os.path.join(tempfile.gettempdir(), f"korpusverk-checkpoint-{os.getuid()}")
+        asked = tempfile.mkdtemp(prefix="korpusverk-checkpoint-")
+        atexit.register(shutil.rmtree, asked, ignore_errors=True)
     sc.setCheckpointDir(asked)
     return asked
 

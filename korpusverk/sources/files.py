@@ -94,6 +94,14 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("dataset",
     df.write.mode(mode).partitionBy(*by).parquet(path)
 
 
+def write_vectors(df: DataFrame, path: str, key: str, vector: str, mode: str = "overwrite") -> None:
+    """(key, vector ARRAY<FLOAT>) as Parquet; vectors of different lengths are an error, null ones stay null."""
+    size = df.agg(F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b")).first()
+    if size["a"] is not None and size["a"] != size["b"]:
+        raise ValueError(f"vectors of {size['a']} to {size['b']} numbers")
+    df.select(key, F.col(vector).cast("array<float>").alias(vector)).write.mode(mode).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, header=True, escape='"')
 

@@ -118,3 +118,25 @@ def test_sinks(spark, tmp_path):
     assert files.first_existing(spark, [str(tmp_path / "none"), str(tmp_path / "p")]).endswith("/p")
     assert "| formal |" in files.markdown_table(df)
     assert files.annotate(df, lambda rows: [{"v": r["v"] * 2} for r in rows], "v int").agg(F.sum("v")).first()[0] == 6
+
+
+def test_sources_by_name_and_schema(spark, tmp_path):
+    for name, text in (("detection_results_gpt.csv", 'id,text\n1,"a\nb"\n'), ("detection_results_claude.csv", 'id,text\n2,"sa ""hej"""\n'), ("other.txt", "x")):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    scan = files.csv_scan(spark, str(tmp_path / "detection_results_*.csv"), "id int, text string").withColumn("judge", files.entity_of_file(r"detection_results_(.+)\.csv"))
+    assert sorted(map(tuple, scan.collect())) == [(1, "a\nb", "gpt"), (2, 'sa "hej"', "claude")]
+    with pytest.raises(FileNotFoundError):
+        files.first_existing(spark, [str(tmp_path / "none")])
+
+
+def test_vectors(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "k int, v array<double>")
+    files.write_vectors(df, str(tmp_path / "v"), "k", "v")
+    assert dict(spark.read.parquet(str(tmp_path / "v")).dtypes)["v"] == "array<float>"
+    with pytest.raises(ValueError):
+        files.write_vectors(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], df.schema), str(tmp_path / "v"), "k", "v")
+
+
+def test_templates(spark):
+    df = spark.createDataFrame([("{a} och {b}", "x", None)], "t string, a string, b string")
+    assert df.select(T.fill(F.col("t"), a=F.col("a"), b=F.col("b")).alias("r")).first()["r"] == "x och "
