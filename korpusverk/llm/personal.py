@@ -335,7 +335,7 @@ def parse(line: str, doc: int) -> tuple[str, list[Node]]:
     return text, found
 
 
-def train(lines: list[str] | None = None, steps: int = 250, rate: float = 0.3, decay: float = 5e-5) -> Crf:
+def train(lines: list[str] | None = None, steps: int = 160, rate: float = 0.3, decay: float = 5e-5) -> Crf:
     """Weights by likelihood, with the beliefs of the same message passing as expectations, from generated documents; deterministic, a fixed number of them."""
     texts, found = [], []
     for i, line in enumerate(documents(sorted(NAMES)) if lines is None else lines):
@@ -369,6 +369,12 @@ def train(lines: list[str] | None = None, steps: int = 250, rate: float = 0.3, d
     return Crf(index, unary, pair)
 
 
+@lru_cache(1)
+def trained() -> Crf:
+    """The model of the generated documents, fitted once a session."""
+    return train()
+
+
 def groups(found: list[Node], labels: np.ndarray, texts) -> Iterator[tuple[str, list[Node]]]:
     """Runs of linked neighbours with one label; phone and identity numbers count as one kind."""
     run: list[Node] = []
@@ -438,7 +444,7 @@ def redact_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     empty result; other columns are not read.
     """
     src = clash_free(df, id_col, text_col)
-    shared = df.sparkSession.sparkContext.broadcast(train())  # fixed size: trained on the sentences of this package
+    shared = df.sparkSession.sparkContext.broadcast(trained())  # fixed size: fitted on a fixed number of generated documents
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

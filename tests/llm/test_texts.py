@@ -339,7 +339,7 @@ HELD_OUT = [
 
 
 def test_personal_information_on_held_out_sentences():
-    model = personal.train()
+    model = personal.trained()
     got = [{k for _, _, k in g} for g in personal.find([t for t, _ in HELD_OUT], model)]
     assert [(t, w, g) for (t, w), g in zip(HELD_OUT, got) if w != g] == []
 
@@ -357,7 +357,7 @@ def scored(model, lines):
 
 def test_chain_and_skip_links_decide():
     """On documents of another seed nearly all is found; without the pair potentials more than a third of it is lost."""
-    model, lines = personal.train(), personal.documents(sorted(personal.NAMES), 600, seed=77)
+    model, lines = personal.trained(), personal.documents(sorted(personal.NAMES), 600, seed=77)
     right, whole, wrong = scored(model, lines)
     assert right > 0.95 * whole and wrong < 0.02 * whole
     alone = scored(personal.Crf(model.index, model.unary, np.zeros_like(model.pair)), lines)[0]
@@ -373,13 +373,13 @@ OTHER_SHAPES = [
 
 
 def test_personal_information_in_other_shapes():
-    got = [{k for *_, k in g} for g in personal.find([t for t, _ in OTHER_SHAPES], personal.train())]
+    got = [{k for *_, k in g} for g in personal.find([t for t, _ in OTHER_SHAPES], personal.trained())]
     assert sum(w == g for (_, w), g in zip(OTHER_SHAPES, got)) >= len(OTHER_SHAPES) - 1, [(t, w, g) for (t, w), g in zip(OTHER_SHAPES, got) if w != g]
 
 
 def test_skip_links_carry_a_name():
     """A later mention without any sign of its own follows the sure one; without the skip potentials it does not."""
-    model = personal.train()
+    model = personal.trained()
     text = "Hon heter Tuulikki. Vi väntade länge på besked. Sen kom tuulikki hem."
     assert personal.redact(text, personal.find([text], model)[0]) == "Hon heter [NAMN]. Vi väntade länge på besked. Sen kom [NAMN] hem."
     pair = model.pair.copy()
@@ -389,12 +389,12 @@ def test_skip_links_carry_a_name():
 
 def test_spellings_that_the_patterns_take_are_searched():
     texts = ["skriv till kalle(a)example.se", "Ring plus fyra sex åtta fyra fem ett två tre", "Ring sju-sju-ett-två-tre-fyra-fem", "Ring fyra, fem, ett, två, tre, sex, åtta"]
-    assert [[k for *_, k in f] for f in personal.find(texts, personal.train())] == [["email"], ["phone"], ["phone"], ["phone"]]
+    assert [[k for *_, k in f] for f in personal.find(texts, personal.trained())] == [["email"], ["phone"], ["phone"], ["phone"]]
 
 
 def test_mentions_of_a_name_that_only_a_cue_shows():
     texts = ["Hon heter Tuulikki. Sen kom tuulikkis bror och TUULIKKI själv hem. Vi såg Tuulikki sen.", "Handläggaren Dag Ekström svarade. En dag och natt gick. I dag är det bra."]
-    got = [personal.redact(t, f) for t, f in zip(texts, personal.find(texts, personal.train()))]
+    got = [personal.redact(t, f) for t, f in zip(texts, personal.find(texts, personal.trained()))]
     assert got == ["Hon heter [NAMN]. Sen kom [NAMN] bror och [NAMN] själv hem. Vi såg [NAMN] sen.", "Handläggaren [NAMN] svarade. En dag och natt gick. I dag är det bra."]
 
 
