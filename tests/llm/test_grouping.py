@@ -136,3 +136,19 @@ def test_subset_of_many_and_large_sizes():
         target = round(sum(s * n for s, n in huge.items()) * share)
         took = subset(huge, target)
         assert sum(s * t for s, t in took.items()) == target and all(took[s] <= n for s, n in huge.items())
+
+
+def test_queries_agree_with_their_sql(spark, sf):
+    import glob
+    import os
+
+    import duckdb
+
+    from korpusverk.llm import grouping
+
+    con = duckdb.connect()
+    for f in glob.glob(sf.replace("0.001", "0.01") + "/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    for name, sql in grouping.oracle_sql().items():
+        got, want = grouping.queries()[name](spark, sf.replace("0.001", "0.01")).toPandas(), con.execute(sql).df()
+        assert sorted(map(tuple, got[sorted(got.columns)].values)) == sorted(map(tuple, want[sorted(want.columns)].values)), name
