@@ -695,6 +695,20 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     return t.select("register", "condition", F.concat(F.lit("other vs "), "condition").alias("comparison"), X.group_of(F.col("feature")).alias("feature_group"), *t.columns[2:])
 
 
+_AFFECTIVE = ("booster_rate", "negation_rate", "hedge_rate")
+
+
+@query(
+    "WITH " + _native_pairs_sql(_version_sql(_PAIRED), "human").replace("x AS (", "every AS (") + f", x AS (SELECT *, 'human vs machine' AS comparison FROM every WHERE feature IN {_AFFECTIVE}), "
+    + _TESTS.format(k="comparison, register, condition, feature", f="comparison", src="x") + f" SELECT comparison, register, condition, feature, {_EFFECT_COLUMNS} FROM e"
+)
+def affective_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Marker families of attitude, as a stand-in for a sentiment model, with one family of tests over all registers and conditions of the comparison."""
+    keys = ["comparison", "register", "condition", "feature"]
+    x = native_pairs(spark, d, _PAIRED, "human").filter(F.col("feature").isin(*_AFFECTIVE)).withColumn("comparison", F.lit("human vs machine"))
+    return _rounded(A.fdr(A.paired_tests(x, keys, exact_p=False), ["comparison"]), keys)
+
+
 @query("WITH " + _TESTS.format(k="feature, l_returnflag, l_linestatus", f="feature", src="(SELECT unnest(['price', 'tax']) AS feature, l_returnflag, l_linestatus, l_quantity AS human, unnest([l_extendedprice / 1000, l_tax * 500]) AS llm FROM lineitem)") + f" SELECT feature, l_returnflag, l_linestatus, {_EFFECT_COLUMNS} FROM e")
 def paired_effects_large(spark: SparkSession, d: str) -> DataFrame:
     rows = F.array(F.struct(F.lit("price").alias("feature"), (F.col("l_extendedprice") / 1000).alias("llm")), F.struct(F.lit("tax").alias("feature"), (F.col("l_tax") * 500).alias("llm")))

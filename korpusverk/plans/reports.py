@@ -89,6 +89,13 @@ def kept_by_token_floor(spark: SparkSession, d: str, floor: int = 20) -> DataFra
     return parts[0].unionByName(parts[1]).groupBy("register", "condition").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(P.token_floor(n("human"), n("llm"), floor)).alias("kept"))
 
 
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten theses of an explicit order."""
+    from korpusverk.sources import files
+
+    return files.head(table(spark, d, "sv_abstracts_adversarial").filter("Abstract IS NOT NULL").select("row_id", "Year", "Level"), 10, "row_id")
+
+
 def metric_rows(spark: SparkSession, d: str) -> DataFrame:
     """A one-row summary as (metric, value) rows."""
     from korpusverk.sources import files
@@ -133,7 +140,7 @@ def one_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (previews, published_delta, tag_count_merge, strict_pivot, sentence_fragmentation, audit_by_condition, categorical_order, prompts, prompt_templates, kept_by_token_floor, metric_rows, content_flags, top_effects, distance_from_human, one_sample)}
+    return {f.__name__: f for f in (previews, published_delta, tag_count_merge, strict_pivot, sentence_fragmentation, audit_by_condition, categorical_order, prompts, prompt_templates, kept_by_token_floor, first_rows, metric_rows, content_flags, top_effects, distance_from_human, one_sample)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -151,6 +158,7 @@ def oracle_sql() -> dict[str, str]:
         "prompts": "SELECT row_id, concat_ws(chr(10) || chr(10), nullif(concat_ws(chr(10) || chr(10), nullif(trim(question), ''), nullif(trim(human_comment), '')), chr(0)), CASE WHEN source = 'reddit' THEN 'Skriv kort.' END) AS prompt, CASE WHEN thread_id IS NOT NULL THEN 'https://forum.invalid/t' || thread_id || '/p' || row_id END AS link FROM consolidated_informal_comments_adversarial",
         "prompt_templates": "SELECT t.register, row_id, t.condition, replace(template, '{label}', coalesce(label, '')) AS prompt FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in TEMPLATES) + ") t(register, condition, template) JOIN (SELECT 'formal' AS register, row_id, Title AS label FROM sv_abstracts_adversarial UNION ALL SELECT 'informal', row_id, question FROM consolidated_informal_comments_adversarial) d ON d.register = t.register",
         "kept_by_token_floor": f"WITH n AS (SELECT register, condition, len({C.ALPHA.format('human')}) AS h, len({C.ALPHA.format('llm')}) AS l FROM ({C._long_sql(P.REPORTED)})) SELECT register, condition, CAST(count(*) AS BIGINT) AS pairs, CAST(count(*) FILTER (NOT ((h > 0 AND h < 20) OR (l > 0 AND l < 20))) AS BIGINT) AS kept FROM n GROUP BY ALL",
+        "first_rows": "SELECT row_id, Year, Level FROM sv_abstracts_adversarial WHERE Abstract IS NOT NULL ORDER BY row_id LIMIT 10",
         "metric_rows": "SELECT unnest(['rows', 'abstracts', 'first_year', 'last_year']) AS metric, CAST(unnest([count(*), count(Abstract), min(Year), max(Year)]) AS VARCHAR) AS value FROM sv_abstracts_adversarial",
         "content_flags": f"SELECT row_id, regexp_matches(lower(human_comment), '{C.re2(T.LINK)}') AS link, regexp_matches(lower(human_comment), '{C.re2(T.SENSITIVE)}') AS sensitive, regexp_matches(human_comment, '[\\x{{1F000}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]') AS pictograph FROM consolidated_informal_comments_adversarial WHERE human_comment IS NOT NULL",
         "distance_from_human": f"WITH m AS (SELECT register, condition, round(median(abs(cohens_dz)), 6) AS median_effect, round(max(abs(cohens_dz)), 6) AS largest_effect, round(avg(abs(cohens_dz)), 6) AS mean_effect FROM ({effects}) GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY register ORDER BY median_effect, condition) AS INT) AS place FROM m",
