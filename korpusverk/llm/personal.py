@@ -187,7 +187,7 @@ def nodes(text: str, doc: int = 0) -> list[Node]:
 def starts(text: str, at: int) -> bool:
     """A text, line or sentence begins at the place."""
     left = text[max(0, at - 4) : at].rstrip(" \"'”>*-(")
-    return left[-1:] in ("\n", ".", "!", "?", ":", "")
+    return left[-1:] in ("\n", ".", "!", "?", ":", ";", "")
 
 
 def features(text: str, s: Node, tokens: list, low: list[str], mixed: bool, upper: bool) -> list[str]:
