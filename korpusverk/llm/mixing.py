@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from korpusverk.llm.tokens import count_tokens
 from korpusverk.operators.skew import hash62, prefix_rank
-from korpusverk.plans.runtime import cut
+from korpusverk.plans.runtime import clash_free, cut
 
 SLOTS = 1 << 16
 #: Tokens of a block at least: small corpora have fewer slots.
@@ -51,7 +51,7 @@ def mix(docs: DataFrame, targets: DataFrame, path: str | None = None, budget: in
     untargeted source or without a token are never chosen. A source's last document may overrun its share.
     """
     spark = docs.sparkSession
-    wanted = [(r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.orderBy("source").collect() if r["source"] is not None]  # a settings table
+    wanted = [(r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in clash_free(targets, "source", "target_share", "max_repeats").orderBy("source").collect() if r["source"] is not None]  # a settings table
     sized = cut(count_tokens(docs, "doc_id", "text", "source", path=path).filter("n_tokens > 0 AND source IS NOT NULL"))
     held = {r["source"]: (r["t"], r["n"]) for r in sized.filter(F.col("source").isin([s for s, _, _ in wanted])).groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     able = [(s, w, m) for s, w, m in wanted if s in held and w > 0 and m > 0]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from korpusverk.functions.keys import letters_and_digits
 from korpusverk.llm.components import components
 from korpusverk.operators.skew import hash62, hot_join, prefix_rank
-from korpusverk.plans.runtime import cut
+from korpusverk.plans.runtime import clash_free, cut
 
 #: Canonical forms of stand-ins for a missing title.
 STAND_INS = ("", "nan", "null", "none", "na", "titelsaknas", "utantitel", "ingentitel", "okändtitel", "saknas", "saknartitel", "untitled", "notitle", "titel", "title", "xxx", "tbd")
@@ -35,7 +35,7 @@ def link_groups(records: DataFrame, group: str = "group_id", key: str = "link_ke
 
     Each key is tied to its smallest group, so a key of a third of all rows costs one partial aggregate and a join that splits hot keys.
     """
-    pairs = cut(records.select(F.col(group).alias("g"), F.col(key).alias("k")).filter("g IS NOT NULL").distinct())
+    pairs = cut(clash_free(records, group, key).toDF("g", "k").filter("g IS NOT NULL").distinct())
     keyed = pairs.filter("k IS NOT NULL")
     low = keyed.groupBy("k").agg(F.min("g").alias("low"))
     return components(hot_join(keyed, low, "k").select("low", "g"), pairs, "low", "g", "g")
@@ -118,11 +118,13 @@ def assign_splits(members: DataFrame, names: Sequence[str] = ("train", "validati
     """(root, split) from members(root, weight): all of a root in one split.
 
     weight is the number of records; the histogram of sizes that goes to the driver has at most sqrt(2 x records) rows. Components of
-    the same size are told apart by a seeded hash order. An empty table gives an empty result.
+    the same size are told apart by a seeded hash order. Null weights count as 0, roots without weight go into the first split, rows without a root are
+    left out. An empty table gives an empty result.
     """
-    sized = cut(members.groupBy("root").agg(F.sum("weight").alias("size")))
+    rooted = clash_free(members, "root", "weight").filter("root IS NOT NULL")
+    sized = cut(rooted.groupBy("root").agg(F.greatest(F.coalesce(F.sum("weight"), F.lit(0)), F.lit(0)).cast("bigint").alias("size")))
     spark = members.sparkSession
-    histogram = {r["size"]: r["n"] for r in sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    histogram = {r["size"]: r["n"] for r in sized.filter("size > 0").groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     takes, rows = quotas(histogram, shares), []
     for size in histogram:
         at = 0
@@ -132,5 +134,6 @@ def assign_splits(members: DataFrame, names: Sequence[str] = ("train", "validati
     if not rows:
         return sized.select("root", F.lit(names[0]).alias("split"))
     plan = spark.createDataFrame(rows, "size bigint, split string, low bigint, high bigint").filter("high > low")
-    ranked = prefix_rank(sized, ["size"], hash62(F.lit(seed), "root"), "root")
-    return hot_join(ranked, plan, "size").filter("_before >= low AND _before < high").select("root", "split")
+    ranked = prefix_rank(sized.filter("size > 0"), ["size"], hash62(F.lit(seed), "root"), "root")
+    placed = hot_join(ranked, plan, "size").filter("_before >= low AND _before < high").select("root", "split")
+    return placed.unionByName(sized.filter("size = 0").select("root", F.lit(names[0]).alias("split")))

@@ -127,6 +127,16 @@ def test_assign_splits_keeps_groups_whole(spark):
     assert assign_splits(spark.createDataFrame([], "root string, weight bigint")).count() == 0
 
 
+def test_splits_with_nulls_zeros_and_clashing_names(spark):
+    rows = [("a", 3, 0), ("a", None, 0), ("b", None, 0), ("c", 0, 0), (None, 5, 0), ("d", 2, 0)]
+    df = spark.createDataFrame(rows, "root string, weight bigint, ROOT bigint")
+    got = {r["root"]: r["split"] for r in assign_splits(df, ("x", "y"), (0.6, 0.4)).collect()}
+    assert got == {"a": "x", "d": "y", "b": "x", "c": "x"}
+    linked = spark.createDataFrame([("a", "k", 1), ("b", "k", 2), (None, "k", 3), ("c", None, 4)], "group_id string, link_key string, Group_Id int")
+    assert dict(tuple(r) for r in link_groups(linked).collect()) == {"a": "a", "b": "a", "c": "c"}
+    assert link_groups(linked.limit(0)).count() == 0
+
+
 def test_subset_of_many_and_large_sizes():
     """Thousands of sizes, and one component with a third of all: the total is met exactly, in bounded memory."""
     sizes = {s: 1 for s in range(1, 2001)}

@@ -113,6 +113,14 @@ def test_mix_with_a_larger_budget_reports_what_is_missing(spark):
     assert more["b"]["actual_share"] < 0.4 and more["b"]["most_repeats"] == 2 and more["c"]["tokens"] == 0 and chosen.filter("repeats > 2").count() == 0
 
 
+def test_mix_with_clashing_names_and_nulls(spark):
+    docs = spark.createDataFrame([(1, "ett två", "a", "x"), (2, None, "a", "x"), (None, "tre", "a", "x"), (3, "fyra", None, "x")], "doc_id bigint, text string, source string, SOURCE string")
+    targets = spark.createDataFrame([("a", 1.0, 1, 9), (None, None, None, 9), ("b", None, None, 9)], "source string, target_share double, max_repeats int, Source int")
+    chosen, shares = mixing.mix(docs, targets)
+    assert {r["doc_id"] for r in chosen.collect()} <= {1, None} and chosen.count() >= 1
+    assert {r["source"]: r["actual_share"] for r in shares.collect()} == {"a": 1.0, "b": 0.0}
+
+
 def test_mix_of_nothing(spark):
     chosen, shares = mixing.mix(spark.createDataFrame([], "doc_id bigint, text string, source string"), spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int"))
     assert chosen.count() == 0 and shares.first()["actual_share"] == 0
