@@ -68,11 +68,28 @@ def paired_tests(pairs: DataFrame, keys: Sequence[str], human: str = "human", ll
     (exact_p: by the error function, otherwise by a rational approximation of it that SQL can express).
     Medians and ranks follow from the counts of distinct values and their running sums, so a key of any size is spread over tasks.
     """
-    d = pairs.select(*keys, F.col(human).cast("double").alias("h"), F.col(llm).cast("double").alias("l")).filter("h IS NOT NULL AND l IS NOT NULL AND NOT isnan(h) AND NOT isnan(l)")
-    d = d.withColumn("d", F.round(F.col("l") - F.col("h"), 12))
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v"), up.alias("up")) for k, v, up in (("h", F.col("h"), F.lit(0)), ("l", F.col("l"), F.lit(0)), ("d", F.abs("d"), (F.col("d") > 0).cast("int")))])
-    values = d.select(*keys, F.explode(kinds).alias("x")).select(*keys, "x.*").filter("kind <> 'd' OR v <> 0")
-    cells = cut(values.groupBy(*keys, "kind", "v").agg(F.count(F.lit(1)).alias("t"), F.sum("up").alias("up")))  # read three times below
+    kinds = F.array(*_kinds(F.col(human), F.col(llm)))
+    return _tests(pairs.select(*keys, F.explode(kinds).alias("x")).select(*keys, "x.*"), keys, exact_p)
+
+
+def paired_tests_wide(wide: DataFrame, keys: Sequence[str], pairs: dict[str, tuple[Column, Column]], exact_p: bool = True) -> DataFrame:
+    """paired_tests of several features that stand side by side, by keys and feature: each row is taken apart once."""
+    kinds = [k.withField("feature", F.lit(name)) for name, (h, l) in pairs.items() for k in _kinds(h, l)]
+    return _tests(wide.select(*keys, F.explode(F.array(*kinds)).alias("x")).select(*keys, "x.*"), ["feature", *keys], exact_p)
+
+
+def _kinds(human: Column, llm: Column) -> list[Column]:
+    """What counts of a pair: both values, and the size of their difference with its sign; all null where a value is missing."""
+    h, l = human.cast("double"), llm.cast("double")
+    ok = h.isNotNull() & l.isNotNull() & ~F.isnan(h) & ~F.isnan(l)
+    d = F.round(l - h, 12)
+    return [F.struct(F.lit(k).alias("kind"), F.when(ok, v).alias("v"), up.alias("up")) for k, v, up in (("h", h, F.lit(0)), ("l", l, F.lit(0)), ("d", F.abs(d), (d > 0).cast("int")))]
+
+
+def _tests(values: DataFrame, keys: Sequence[str], exact_p: bool) -> DataFrame:
+    """The tests from (keys, kind, v, up), counted by distinct values first."""
+    some = values.filter("v IS NOT NULL AND (kind <> 'd' OR v <> 0)")
+    cells = cut(some.groupBy(*keys, "kind", "v").agg(F.count(F.lit(1)).alias("t"), F.sum("up").alias("up")))  # read three times below
     totals = cells.filter("kind = 'h'").groupBy(*keys).agg(F.sum("t").alias("_all"))
     ranked = null_safe_join(cumulate(cells, [*keys, "kind"], "v", ["t"]), totals, keys)
     middle = lambda k, at: F.max(F.when((F.col("kind") == k) & (F.col("below_t") <= at) & (F.col("below_t") + F.col("t") > at), F.col("v")))

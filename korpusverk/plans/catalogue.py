@@ -711,10 +711,10 @@ def affective_effects(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + _TESTS.format(k="feature, l_returnflag, l_linestatus", f="feature", src="(SELECT unnest(['price', 'tax']) AS feature, l_returnflag, l_linestatus, l_quantity AS human, unnest([l_extendedprice / 1000, l_tax * 500]) AS llm FROM lineitem)") + f" SELECT feature, l_returnflag, l_linestatus, {_EFFECT_COLUMNS} FROM e")
 def paired_effects_large(spark: SparkSession, d: str) -> DataFrame:
-    rows = F.array(F.struct(F.lit("price").alias("feature"), (F.col("l_extendedprice") / 1000).alias("llm")), F.struct(F.lit("tax").alias("feature"), (F.col("l_tax") * 500).alias("llm")))
-    t = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").alias("human"), F.explode(rows).alias("r")).select("l_returnflag", "l_linestatus", "human", "r.*")
-    keys = ["feature", "l_returnflag", "l_linestatus"]
-    return _rounded(A.fdr(A.paired_tests(t, keys, exact_p=False), ["feature"]), keys)
+    quantity = F.col("l_quantity")
+    pairs = {"price": (quantity, F.col("l_extendedprice") / 1000), "tax": (quantity, F.col("l_tax") * 500)}
+    t = A.paired_tests_wide(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], pairs, exact_p=False)
+    return _rounded(A.fdr(t, ["feature"]), ["feature", "l_returnflag", "l_linestatus"])
 
 
 @query("WITH " + _TESTS.format(k="l_orderkey", f="n_pairs", src="(SELECT l_orderkey, l_quantity AS human, l_extendedprice / 1000 AS llm FROM lineitem)") + f" SELECT l_orderkey, {_EFFECT_COLUMNS} FROM e")
