@@ -116,7 +116,10 @@ def _tests(values: DataFrame, keys: Sequence[str], exact_p: bool) -> DataFrame:
 
 
 def fdr(tests: DataFrame, family: Sequence[str], p: str = "p_value", level: float = 0.05) -> DataFrame:
-    """Adds p_fdr_bh (Benjamini-Hochberg within the family) and significant. Ties in p are broken by nothing: they get the same q."""
+    """Adds p_fdr_bh (Benjamini-Hochberg within the family) and significant. Ties in p are broken by nothing: they get the same q.
+
+    A family is one task: it holds a row for each test, features times conditions, not for each pair.
+    """
     m = F.count(p).over(Window.partitionBy(*family))
     rank = F.rank().over(Window.partitionBy(*family).orderBy(p)) + F.count(F.lit(1)).over(Window.partitionBy(*family, p)) - 1
     raw = tests.withColumn("_q", F.col(p) * m / rank)
