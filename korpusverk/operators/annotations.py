@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from korpusverk.functions.lexicons import SUBORDINATE
+from korpusverk.plans.runtime import null_safe_join
 
 ENTITIES = ("LOC", "PRS", "ORG", "TME", "WRK", "MSR", "OBJ", "EVN")
 UPOS = ("ADJ", "ADP", "ADV", "AUX", "CCONJ", "DET", "INTJ", "NOUN", "NUM", "PART", "PRON", "PROPN", "PUNCT", "SCONJ", "SYM", "VERB", "X")
@@ -63,19 +64,51 @@ def top_relations(annotation: DataFrame, k: int = 12) -> DataFrame:
 
 
 def inspection(annotation: DataFrame) -> DataFrame:
-    """token/relation/head triples and text:label entities of each sentence, in order."""
-    heads = annotation.select("doc_id", "sent", F.col("i").alias("head_i"), F.col("text").alias("head"))
-    j = annotation.join(heads, ["doc_id", "sent", "head_i"], "left")
+    """token/relation/head triples and text:label entities of each sentence, in order.
+
+    Heads come by a sort-merge join: they are as many as the tokens, but the planner sees only the size of the texts that tokens are taken from, and would broadcast them all.
+    """
+    heads = annotation.select(F.col("doc_id").alias("_doc"), F.col("sent").alias("_sent"), F.col("i").alias("_i"), F.col("text").alias("head")).hint("merge")
+    j = annotation.join(heads, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("sent") == F.col("_sent")) & (F.col("head_i") == F.col("_i")), "left")
     g = j.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("i", F.concat_ws("/", "text", "dep", "head").alias("s"), F.when(F.coalesce(F.col("ent"), F.lit("")) != "", F.concat_ws(":", "text", "ent")).alias("e")))).alias("a"))
     return g.select("doc_id", "sent", F.array_join("a.s", " | ").alias("dependencies"), F.array_join("a.e", " | ").alias("entities"))
 
 
+TOKEN = r"(\p{L}+|\p{N}+|[^\s\p{L}\p{N}])"
+
+
+def _sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"(?<=[.!?])\s+")).alias("sent", "s"))
+
+
+def _rules(i: Column, text: Column) -> dict[str, Column]:
+    """pos, dep, head_i and ent of the token that is number i of its sentence."""
+    word = text.rlike(r"^\p{L}+$")
+    name = (i > 0) & text.rlike(r"^\p{Lu}") & word
+    return {
+        "pos": F.when(name, "PROPN").when(word, "NOUN").when(text.rlike(r"^\p{N}+$"), "NUM").otherwise("PUNCT"),
+        "dep": F.when(i == 0, "ROOT").when(F.lower(text).isin("som", "att"), "acl:relcl").otherwise("dep"), "head_i": F.greatest(i - 1, F.lit(0)), "ent": F.when(name, "LOC"),
+    }
+
+
 def from_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A stand-in annotation by rule, for texts that no parser has seen: each token hangs on the one before it, capitalised inner words are entities."""
-    sents = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"(?<=[.!?])\s+")).alias("sent", "s"))
-    toks = sents.select("doc_id", "sent", F.posexplode(F.regexp_extract_all("s", F.lit(r"(\p{L}+|\p{N}+|[^\s\p{L}\p{N}])"), F.lit(1))).alias("i", "text"))
-    word = F.col("text").rlike(r"^\p{L}+$")
-    return toks.select(
-        "doc_id", "sent", "i", "text", F.lower("text").alias("lemma"), F.when(word & F.col("text").rlike(r"^\p{Lu}") & (F.col("i") > 0), "PROPN").when(word, "NOUN").when(F.col("text").rlike(r"^\p{N}+$"), "NUM").otherwise("PUNCT").alias("pos"),
-        F.when(F.col("i") == 0, "ROOT").when(F.lower("text").isin("som", "att"), "acl:relcl").otherwise("dep").alias("dep"), F.greatest(F.col("i") - 1, F.lit(0)).alias("head_i"),
-        F.when(word & F.col("text").rlike(r"^\p{Lu}") & (F.col("i") > 0), "LOC").alias("ent"))
+    toks = _sentences(docs, id_col, text_col).select("doc_id", "sent", F.posexplode(F.regexp_extract_all("s", F.lit(TOKEN), F.lit(1))).alias("i", "text"))
+    rules = _rules(F.col("i"), F.col("text"))
+    return toks.select("doc_id", "sent", "i", "text", F.lower("text").alias("lemma"), *[c.alias(k) for k, c in rules.items()])
+
+
+def inspection_by_rule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """inspection(from_tokens(docs)), each sentence made where its text is read: no token is shuffled or joined.
+
+    Only the texts of an id that several rows have are taken apart into tokens, as their sentences are put together by number.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
+    some = not repeated.isEmpty()
+    t = F.col("t")
+    toks = _sentences(null_safe_join(docs, repeated, ["doc_id"], "left_anti") if some else docs, "doc_id", "_text").select("doc_id", "sent", F.regexp_extract_all("s", F.lit(TOKEN), F.lit(1)).alias("t")).filter(F.size("t") > 0)
+    triple = lambda x, i: F.concat_ws("/", x, _rules(i, x)["dep"], F.get(t, _rules(i, x)["head_i"]))
+    entity = lambda x, i: F.concat(x, F.lit(":"), _rules(i, x)["ent"])
+    out = toks.select("doc_id", "sent", F.array_join(F.transform(t, triple), " | ").alias("dependencies"), F.array_join(F.transform(t, entity), " | ").alias("entities"))
+    return out.unionByName(inspection(from_tokens(null_safe_join(docs, repeated, ["doc_id"], "left_semi"), "doc_id", "_text"))) if some else out
