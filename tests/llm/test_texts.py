@@ -205,6 +205,27 @@ def test_measures_by_hand(spark):
     assert pmi.tolist() == [0, 0, 0] and excess.tolist() == pytest.approx([0, 0, np.log(counts[1] / 4)])
 
 
+def test_rare_pairs_count(spark, monkeypatch):
+    """Where few words and pairs are common enough to be broadcast, all others still have their exact counts: the same numbers as with every count broadcast, by hand too."""
+    from collections import Counter
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"ord{int(w)}" for w in rng.zipf(1.4, 30) % 400) for _ in range(60)] + ["en hund", "en hund", "hund", "", None, "ensam", "billig matta " * 9]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "id bigint, t string")
+    get = lambda: sorted(map(tuple, stuffing.page_features(df, "id", "t").select("id", "words", "mean_pmi", "fragment_share").collect()))
+    whole = get()
+    monkeypatch.setattr(stuffing, "SHARE", 16)
+    assert len(stuffing.count_corpus(df, "t")[5]) <= 16
+    for a, b in zip(get(), whole, strict=True):
+        assert a == pytest.approx(b)
+    words = [(t or "").split() for t in texts]
+    single, double = Counter(w for ws in words for w in ws), Counter(p for ws in words for p in zip(ws, ws[1:]))
+    for i in (5, 60):
+        own = Counter(zip(words[i], words[i][1:]))
+        pmi = sum(h * np.log(max(double[p] - h, 0.5) * sum(single.values()) / single[p[0]] / single[p[1]]) for p, h in own.items() if double[p] > 1) / (len(words[i]) - 1)
+        assert any(r[0] == i // 2 and r[2] == pytest.approx(pmi) for r in whole)
+
+
 def test_fragments_by_hand():
     found = stuffing.Batch(["rea, skor och mer\nen hel mening utan tecken", "www.a.example/x - b.example", "", "a\x01b \x02 c"], marks=True)
     assert found.fragments.tolist() == pytest.approx([4 / 9, 1, 0, 1]) and found.sizes.tolist() == [9, 2, 0, 3] and found.link_share[1] > 0.8
