@@ -13,6 +13,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from korpusverk.operators import forest
 from korpusverk.operators.sampling import folds
 from korpusverk.operators.skew import hash62, prefix_rank
 from korpusverk.operators.stats import auc, hanley_mcneil
@@ -67,6 +68,8 @@ def cross_validate(df: DataFrame, key: str, model: str = "lr", k: int = 5, seed:
     smallest = df.groupBy("label").count().agg(F.min("count")).first()[0] or 0
     k = max(2, min(k, smallest))
     data = cut(balanced(folds(df.withColumn("_key", F.col(key)), k, seed, "_key", None if grouped else "label")))
+    if model == "rf":
+        return forest.scores(data, key, k, trees, seed)
     n = data.count()
 
     def one(f: int) -> DataFrame:

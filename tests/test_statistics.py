@@ -205,3 +205,36 @@ def test_thread_assignment_takes_one_row_per_role(spark):
     df = spark.createDataFrame([(i, "big" if i < 500 else f"t{i % 7}" if i < 540 else "tiny") for i in range(542)], "row_id bigint, thread_id string")
     got = S.assign_threads(df, "thread_id", "row_id", {r: F.lit(True) for r in "abc"}, 2).groupBy("thread_id").agg(F.array_sort(F.collect_list("role")).alias("r"), F.count_distinct("row_id").alias("n")).collect()
     assert len(got) == 8 and all(r["r"] == ["a", "b", "c"] and r["n"] == 3 for r in got)
+
+
+def test_forest(spark):
+    """The forest is as good as pyspark.ml's, the same on every partitioning, and its histograms give the counts of a plain loop, shared between folds or not."""
+    from pyspark.ml.functions import array_to_vector
+
+    from korpusverk.operators import forest, ml
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 5)).round(3)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] + rng.normal(size=400) > 0).astype(int)
+    df = spark.createDataFrame([(i // 2, int(y[i]), x[i].tolist()) for i in range(400)], "id bigint, label int, x array<double>").withColumn("features", array_to_vector("x"))
+    got = [{(r["id"], r["label"], r["fold"], round(r["score"], 9), r["predicted"]) for r in ml.cross_validate(d, "id", "rf", grouped=True, trees=30).collect()} for d in (df, df.repartition(7))]
+    assert got[0] == got[1] and len({g[2] for g in got[0]}) == 5
+    score = lambda rows: np.mean([(p[3] > n[3]) + 0.5 * (p[3] == n[3]) for p in rows if p[1] for n in rows if not n[1]])
+    held = df.withColumn("weight", F.lit(1.0)).withColumn("far", F.col("id") % 5 == 0)
+    fit = ml.estimator("rf", 0, 30).fit(held.filter("NOT far"))
+    theirs = [(0, r["label"], 0, float(r["probability"][1])) for r in fit.transform(held.filter("far")).collect()]
+    assert score(list(got[0])) > score(theirs) - 0.08
+
+    bins, fold, row = forest.binned(x, [np.quantile(x[:, i], np.arange(1, 32) / 32) for i in range(5)]), np.arange(400) % 3, rng.integers(1 << 32, size=400, dtype=np.uint32)
+    feature, cut_at = np.array([[[0], [0], [3]], [[1], [2], [4]]]), np.array([[[9], [9], [20]], [[9], [9], [9]]])
+    out = np.zeros((2, 3, 3, 2, 2, forest.BINS), np.uint32)
+    forest.histograms((bins, y.astype(np.int64), fold, row), 1, feature, cut_at, 3, 0, out)
+    plain = np.zeros_like(out)
+    for t in range(2):
+        w, of = forest.draws(row, t, 0), forest.subsets(t, 1, 5, 0)
+        for f in range(3):
+            for i in np.flatnonzero(fold != f):
+                node = int(bins[i, feature[t, f, 0]] > cut_at[t, f, 0])
+                for j in range(3):
+                    plain[t, f, j, node, y[i], bins[i, of[node, j]]] += w[i]
+    assert (out == plain).all() and 0.9 < forest.draws(rng.integers(1 << 32, size=10_000, dtype=np.uint32), 1, 0).mean() < 1.1
